@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
-from . import rules
+from . import langid, mixing, rules
 from .textkit import table
 
 
+def op5_source_mixing(spark, sf_dir):
+    return mixing.op5(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark, sf_dir):
+    return langid.op7(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark, sf_dir):
     return rules.op10(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_mask"
     )
 
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op5_source_mixing": op5_source_mixing,
+    "op7_language_id": op7_language_id,
+    "op10_quality_rules": op10_quality_rules,
+}
+ORACLES: dict[str, str] = {"op5_source_mixing": mixing.ORACLE}
