@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -159,6 +160,8 @@ class WordTokenizer:
     """Ids of whole texts, with a bounded cache of chunks."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)

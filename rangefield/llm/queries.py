@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, rules
+from . import embeddings, langid, mixing, packing, rules
 from .textkit import table
 
 
@@ -14,6 +14,14 @@ def op7_language_id(spark, sf_dir):
     return langid.op7(table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark, sf_dir):
+    return packing.op8(table(spark, sf_dir, "documents"))
+
+
+def op9_embedding_near_dedup(spark, sf_dir):
+    return embeddings.op9(table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality_rules(spark, sf_dir):
     return rules.op10(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_mask"
@@ -23,6 +31,8 @@ def op10_quality_rules(spark, sf_dir):
 QUERIES = {
     "op5_source_mixing": op5_source_mixing,
     "op7_language_id": op7_language_id,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {"op5_source_mixing": mixing.ORACLE}
