@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import id_part, map_text, span_sums
+from .textkit import array_rows, id_part, map_text, span_sums, sum_arrays, text_slices
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
@@ -80,8 +80,6 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     place = {x: i for i, x in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .textkit import text_slices
-
         total = np.zeros((len(names), BUCKETS), np.int64)
         for batch in batches:
             for part in text_slices(batch):
@@ -91,33 +89,15 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                 for bucket, inside in grams(codes, letters, bounds):
                     key = bucket + (np.repeat(lang, size).astype(np.uint32) * np.uint32(BUCKETS))
                     total += np.bincount(key[inside], minlength=total.size).reshape(total.shape)
-        rows = np.flatnonzero(total.any(1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.int32()), pa.array([total[r].tobytes() for r in rows], pa.binary())], ["lang", "counts"]
-        )
-
-    def add(key: tuple[pa.Scalar, ...], frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for frame in frames:
-            for x in frame.column("counts"):
-                total += np.frombuffer(x.as_buffer(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["lang", "counts"])
+        yield array_rows({int(r): total[r] for r in np.flatnonzero(total.any(1))})
 
     counts = np.zeros((len(names), BUCKETS))
-    partial = named.mapInArrow(count, "lang int, counts binary")
-    for row in summed(partial, add):
-        counts[row["lang"]] = np.frombuffer(row["counts"], np.int64)
+    for lang, found in sum_arrays(named.mapInArrow(count, "part int, counts binary")).items():
+        counts[lang] = found
     smooth = counts + SMOOTHING
     return names, np.log(smooth / smooth.sum(1, keepdims=True)).T.astype(np.float32).copy()
 
 
-def summed(partial: DataFrame, add) -> list:
-    """Adds the tasks' matrices per language in two steps, by language and a salt and then by language; streams both."""
-    salted = partial.withColumn("salt", F.spark_partition_id() % 16)
-    first = salted.groupBy("lang", "salt").applyInArrow(add, "lang int, counts binary")
-    return first.groupBy("lang").applyInArrow(add, "lang int, counts binary").collect()
-
-
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`columns` of docs with lang_pred and score, the posterior probability of that language."""
     spark = docs.sparkSession

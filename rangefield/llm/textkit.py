@@ -201,3 +201,31 @@ def id_part(n: int, column: str = "doc_id") -> Column:
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _add(key: tuple[pa.Scalar, ...], frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for frame in frames:
+        for x in frame.column("counts"):
+            part = np.frombuffer(x.as_buffer(), np.int64)
+            total = part.copy() if total is None else total + part
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
+
+
+def sum_arrays(partial: DataFrame) -> dict[int, np.ndarray]:
+    """Sums of the int64 arrays in partial(part int, counts binary) by part.
+
+    They are added in two streaming steps, by part and a salt and then by part;
+    the caller bounds the number of parts and the size of an array.
+    """
+    fields = "part int, counts binary"
+    salted = partial.withColumn("salt", F.spark_partition_id() % 16)
+    first = salted.groupBy("part", "salt").applyInArrow(_add, fields)
+    return {r["part"]: np.frombuffer(r["counts"], np.int64) for r in first.groupBy("part").applyInArrow(_add, fields).collect()}
+
+
+def array_rows(arrays: dict[int, np.ndarray]) -> pa.RecordBatch:
+    """Rows for `sum_arrays`."""
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(arrays), pa.int32()), pa.array([x.astype(np.int64).tobytes() for x in arrays.values()], pa.binary())], ["part", "counts"]
+    )
