@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, langid, mixing, ngramjoin, packing, rules
+from . import classlm, embeddings, langid, mixing, ngramjoin, packing, rules
 from .textkit import table
 
 
@@ -10,6 +10,10 @@ def op2_ngram_jaccard_join(spark, sf_dir):
     return ngramjoin.op2(table(spark, sf_dir, "documents"))
 
 
+def op3_class_lm(spark, sf_dir):
+    return classlm.op3(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark, sf_dir):
     return mixing.op5(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op10_quality_rules(spark, sf_dir):
 
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_class_lm": op3_class_lm,
     "op5_source_mixing": op5_source_mixing,
     "op7_language_id": op7_language_id,
     "op8_best_fit_packing": op8_best_fit_packing,
