@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classlm, embeddings, langid, mixing, ngramjoin, packing, rules
+from . import classlm, embeddings, langid, mixing, ngramjoin, packing, rules, stringkernel
 from .textkit import table
 
 
@@ -14,6 +14,10 @@ def op3_class_lm(spark, sf_dir):
     return classlm.op3(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark, sf_dir):
+    return stringkernel.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_source_mixing(spark, sf_dir):
     return mixing.op5(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_quality_rules(spark, sf_dir):
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_class_lm": op3_class_lm,
+    "op4_toxicity": op4_toxicity,
     "op5_source_mixing": op5_source_mixing,
     "op7_language_id": op7_language_id,
     "op8_best_fit_packing": op8_best_fit_packing,

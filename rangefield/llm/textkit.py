@@ -229,3 +229,18 @@ def array_rows(arrays: dict[int, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(list(arrays), pa.int32()), pa.array([x.astype(np.int64).tobytes() for x in arrays.values()], pa.binary())], ["part", "counts"]
     )
+
+
+def labelled(docs: DataFrame, labels: DataFrame, target: str, train: Column, per_class: int) -> DataFrame:
+    """doc_id, text, target of up to `per_class` labelled rows of each class for which `train` holds.
+
+    The rows with the least hashes of their ids are taken; a doc_id with
+    several labels counts with the largest, one with several texts with one.
+    """
+    marks = labels.filter(F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(target).cast("int").alias(target)).filter(train)
+    some = None
+    for value in (0, 1):
+        part = marks.filter(F.col(target) == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        some = part if some is None else some.union(part)
+    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most 2 * per_class ids
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first(target).alias(target))
