@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import classlm, embeddings, langid, mixing, ngramjoin, packing, rules, stringkernel
+from . import classlm, embeddings, factorization, langid, licenses, mixing, ngramjoin, packing, rules, stringkernel
 from .textkit import table
 
 
+def op1_quality_fm(spark, sf_dir):
+    return factorization.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_ngram_jaccard_join(spark, sf_dir):
     return ngramjoin.op2(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op5_source_mixing(spark, sf_dir):
     return mixing.op5(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark, sf_dir):
+    return licenses.op6(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark, sf_dir):
     return langid.op7(table(spark, sf_dir, "documents"))
 
@@ -41,13 +49,15 @@ def op10_quality_rules(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_quality_fm": op1_quality_fm,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_class_lm": op3_class_lm,
     "op4_toxicity": op4_toxicity,
     "op5_source_mixing": op5_source_mixing,
+    "op6_license_scan": op6_license_scan,
     "op7_language_id": op7_language_id,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {"op5_source_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op5_source_mixing": mixing.ORACLE, "op6_license_scan": licenses.ORACLE}

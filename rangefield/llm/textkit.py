@@ -55,9 +55,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of a slice: byte spans, and for each document its range of words."""
+    """The words of a slice: byte spans, and for each document its range of words.
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    `keep` tells which bytes make words, in place of all but white space.
+    """
+
+    def __init__(self, texts: pa.Array, lower: bool = False, keep: np.ndarray | None = None):
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         _, offsets, data = texts.buffers()
         off = np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8)
@@ -66,7 +69,7 @@ class Words:
         self.off = off - off[0]
         self.n_docs = len(texts)
         self.buf = LOWER[self.raw] if lower else self.raw
-        solid = ~SPACE[self.buf]
+        solid = ~SPACE[self.buf] if keep is None else keep[self.buf]
         n = len(solid)
         first = np.zeros(n + 1, bool)
         first[self.off] = True
