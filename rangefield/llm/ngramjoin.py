@@ -41,7 +41,7 @@ SIZE = 5
 #: Counters of the frequency sketch, in parts of PART; they set the order only.
 SKETCH = 1 << 20
 PART = 1 << 14
-#: Bits of the filter that picks the texts to verify; it grows no further.
+#: Bits of the filters that pick texts to verify and groups of several rows; they grow no further.
 FILTER = 1 << 24
 SMALL = 8
 CHUNK = 200_000
@@ -208,26 +208,37 @@ def _second_round(percent: int):
     return run
 
 
-def _needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id may be among ids(doc_id), by a bit filter of fixed size."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
-    words = ids.select(place.alias("p")).groupBy(F.expr("int(shiftright(p, 6))").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(pmod(p, 64))))").alias("bits"))
+def _place(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(FILTER))
+
+
+def _bit_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """FILTER flags, set at the places of ids(column): a test without false negatives that never grows."""
+    words = ids.select(_place(column).alias("p")).groupBy(F.expr("int(shiftright(p, 6))").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(pmod(p, 64))))").alias("bits"))
     found = words.toArrow()
     bits = np.zeros(FILTER // 64, np.int64)
     bits[found.column("w").to_numpy()] = found.column("bits").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool))
+    return bits.view(np.uint8)
+
+
+def _pick(df: DataFrame, bits: np.ndarray, column: str, flagged: bool = True) -> DataFrame:
+    """The rows of df whose id's flag is set, or is not set."""
+    shared = df.sparkSession.sparkContext.broadcast(bits)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(shared.value[batch.column("p").to_numpy()])).drop_columns(["p"])
+            at = batch.column("p").to_numpy()
+            here = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == flagged
+            yield batch.filter(pa.array(here)).drop_columns(["p"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("p", place).mapInArrow(pick, "doc_id long, text string")
+    return df.withColumn("p", _place(column)).mapInArrow(pick, df.schema)
 
 
 def verify(pairs: DataFrame, units: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
     """The pairs(a, b) of units whose texts are similar enough; saved."""
     used = save(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct().join(units.select("uid", "doc_id"), "uid"))
-    texts = save(_needed(docs, used.select("doc_id")).join(used, "doc_id").select("uid", "text"))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = save(_pick(read, _bit_filter(used, "doc_id"), "doc_id").join(used, "doc_id").select("uid", "text"))
     first = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), "a")
     both = first.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
@@ -269,11 +280,15 @@ def join(docs: DataFrame, percent: int = 75, size: int = SIZE) -> DataFrame:
     book = save(digests(docs, frequencies(docs, size), percent, size))
     full = book.filter("n > 0")
     units = save(full.groupBy("uid").agg(F.min("doc_id").alias("doc_id"), F.first("gid").alias("gid"), F.first("n").alias("n")))
-    hubs = full.groupBy("gid").agg(F.min(F.struct("uid", "n", "prefix")).alias("h")).select("h.*")
+    # only groups of several rows have to meet before one of their rows is posted
+    shared = _bit_filter(full.groupBy("gid").count().filter("count > 1"), "gid")
+    rows = full.select("gid", "uid", "n", "prefix")
+    met = _pick(rows, shared, "gid").groupBy("gid").agg(F.min(F.struct("uid", "n", "prefix")).alias("h")).select("h.*")
+    hubs = _pick(rows, shared, "gid", False).select("uid", "n", "prefix").union(met)
     several = save(units.groupBy("gid").agg(F.count("*").alias("k"), F.min("uid").alias("hub")).filter("k > 1"))
     inside = units.join(several, "gid").select(F.col("gid").alias("token"), "uid", F.shiftleft("n", 32).alias("at"))
     postings = hubs.mapInArrow(_explode, "token long, uid long, at long").union(inside)
-    dealt = postings.repartition(F.col("token")).sortWithinPartitions("token", "at", "uid")
+    dealt = postings.repartition(F.col("token")).sortWithinPartitions("token", F.shiftright("at", 32), "uid")
     found = save(dealt.mapInArrow(_first_round(percent), "a long, b long, token long, at long"))
 
     pairs = save(found.filter("token IS NULL").select("a", "b").distinct())
@@ -290,7 +305,7 @@ def join(docs: DataFrame, percent: int = 75, size: int = SIZE) -> DataFrame:
     big = save(found.filter("token IS NOT NULL").select("token", F.col("a").alias("uid"), "at").distinct().join(of_hub, "uid"))
     open_tokens = save(big.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("token"))
     rest = big.join(open_tokens, "token").select("token", "uid", "at", "part")
-    rest = rest.repartition(F.col("token")).sortWithinPartitions("token", "at", "uid")
+    rest = rest.repartition(F.col("token")).sortWithinPartitions("token", F.shiftright("at", 32), "uid")
     late = rest.mapInArrow(_second_round(percent), "a long, b long, token long, at long").select("a", "b")
     candidates = late.union(pairs).distinct()
     for side in ("a", "b"):
@@ -310,9 +325,22 @@ def join(docs: DataFrame, percent: int = 75, size: int = SIZE) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def distinct(docs: DataFrame, percent: int = 75, size: int = SIZE) -> DataFrame:
+    """docs with one row of each component: the one that names it; rows that are the same in id and text count as one."""
+    found = save(join(docs, percent, size).select("doc_id", "component_id"))
+    by_id = found.groupBy("doc_id").agg(F.min((F.col("component_id") != F.col("doc_id")).cast("int")).alias("goes"), F.count("*").alias("k"))
+    noted = save(by_id.filter("goes = 1 OR k > 1"))
+    bits = _bit_filter(noted, "doc_id")
+    plain = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    seen = _pick(plain, bits, "doc_id").join(noted, "doc_id", "left").filter("coalesce(goes, 0) = 0")
+    once = seen.filter("coalesce(k, 1) = 1").select(*docs.columns)
+    repeated = seen.filter("k > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return _pick(plain, bits, "doc_id", False).select(*docs.columns).union(once).union(repeated)
+
+
 def op2(docs: DataFrame) -> DataFrame:
     """Five-word shingles, similarity of at least 0.75."""
     return join(docs, 75, SIZE)
 
 
-__all__ = ["digests", "frequencies", "join", "op2", "verify"]
+__all__ = ["digests", "distinct", "frequencies", "join", "op2", "verify"]
