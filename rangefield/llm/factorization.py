@@ -165,11 +165,11 @@ def score(docs: DataFrame, machine: Machine | float, columns: tuple[str, ...] =
 
     def kernel(batch: pa.RecordBatch) -> dict:
         own = shared.value
-        value = np.full(batch.num_rows, own) if isinstance(own, float) else own.probability(*features(batch.column("__text")))
+        value = np.full(batch.num_rows, own) if isinstance(own, float) else own.probability(*features(batch.column("text")))
         return {c: batch.column(c) for c in columns} | {"score": value}
 
     fields = "".join(f"{c} {t}, " for c, t in kinds.items()) + "score double"
-    return map_text(docs.select(*columns, F.col("text").alias("__text")), kernel, fields, "__text")
+    return map_text(docs.select(*dict.fromkeys([*columns, "text"])), kernel, fields)
 
 
 def op1(docs: DataFrame, labels: DataFrame) -> DataFrame:

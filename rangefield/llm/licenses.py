@@ -163,8 +163,8 @@ def op6(docs: DataFrame) -> DataFrame:
 def _oracle() -> str:
     rows = ", ".join(f"('{n}', {i}, '{t.replace(chr(39), chr(39) * 2)}')" for i, (n, t) in enumerate((n, t) for n, ts in TEMPLATES.items() for t in ts))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    words = f"list_filter(string_split_regex(translate({{}}, '{upper}', '{lower}'), '[^a-z0-9]+'), x -> x <> '')"
-    pairs = "list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]))"
+    words = f"list_filter(string_split_regex(translate({{}}, '{upper}', '{lower}'), '[^a-z0-9]+'), lambda x: x <> '')"
+    pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
     return f"""
 WITH templates AS (SELECT name, id, {pairs} AS b FROM (SELECT name, id, {words.format("t")} AS w FROM (VALUES {rows}) AS v(name, id, t))),
 units AS (

@@ -27,6 +27,7 @@ extra columns are not looked at.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -218,12 +219,23 @@ class Machine:
 def choose(bags: list[list[bytes]], toxic: np.ndarray, most: int) -> list[bytes]:
     """Word beginnings of 4 to LONGEST bytes that mark toxic texts."""
     inside, outside = Counter(), Counter()
+    seen: set = set()
     for bag, bad in zip(bags, toxic, strict=True):
+        # copies of one text, told by the least checksum of their long strings, count once
+        key = (bool(bad), min((zlib.crc32(x) for x in bag if len(x) >= 8), default=len(seen)))
+        if key in seen:
+            continue
+        seen.add(key)
         starts = {x[:k] for x in bag for k in range(4, min(len(x), LONGEST) + 1)}
         (inside if bad else outside).update(starts)
     odds = max(1, int(toxic.sum())) / max(1, int((~toxic).sum()))
-    least = max(4, int(0.025 * toxic.sum()))
-    good = {x: n for x, n in inside.items() if n >= least and n >= 20 * odds * outside.get(x, 0)}
+    # many beginnings are tried, so a few texts prove nothing: a share of the toxic texts, and a log-likelihood far from chance
+    least = max(6, int(0.03 * toxic.sum()))
+    good = {
+        x: n
+        for x, n in inside.items()
+        if n >= least and n >= 20 * odds * outside.get(x, 0) and n * np.log(n / (odds * (outside.get(x, 0) + 0.5))) >= 25
+    }
     picked: list[bytes] = []
     for x in sorted(good, key=lambda x: (-good[x], -len(x), x)):
         longer = x
@@ -360,11 +372,11 @@ def score(docs: DataFrame, machine: Machine, columns: tuple[str, ...] = ("doc_id
             if _CACHE.get("of") is not own:
                 _CACHE.clear()
                 _CACHE["of"], _CACHE["cache"] = own, {}
-            value = own.probability(own.texts(batch.column("__text"), _CACHE["cache"]))
+            value = own.probability(own.texts(batch.column("text"), _CACHE["cache"]))
         return {c: batch.column(c) for c in columns} | {"score": value}
 
     fields = "".join(f"{c} {t}, " for c, t in kinds.items()) + "score double"
-    return map_text(docs.select(*columns, F.col("text").alias("__text")), kernel, fields, "__text")
+    return map_text(docs.select(*dict.fromkeys([*columns, "text"])), kernel, fields)
 
 
 def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:
