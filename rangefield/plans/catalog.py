@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from ..functions.dialect import duck_sql, spark_sql
+from . import calibration, geometry, ingest
+from .relations import with_
+
 FLAGSHIP = "l09_room_aware"
+SQL: dict[str, str] = {}
+for _module in (ingest, geometry, calibration):
+    SQL |= {k: with_(v) for k, v in _module.QUERIES.items()}
 
 
 def queries() -> dict:
-    return {}
+    """Every query; each takes (spark, sf_dir)."""
+    return {k: spark_sql(v) for k, v in SQL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL by query."""
+    return {k: duck_sql(v) for k, v in SQL.items()}
