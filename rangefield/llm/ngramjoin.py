@@ -8,8 +8,8 @@ n - ceil(T * n) + 1 shingles, the prefix.
 Documents with equal sets are one unit, and units with equal prefix and size
 are one group.  Only one unit of each group, its hub, is posted under the
 prefix shingles.  Buckets of up to SMALL hubs give all their pairs that pass
-the size and position filters; a larger bucket first gives the chain of its
-hubs, ordered by size, and keeps its members.  The members of a group of
+the size and position filters; a larger bucket first gives chains of its
+hubs, ordered by size and value, and keeps its members.  The members of a group of
 several units form one more bucket.  Pairs are verified on their texts, and
 verified links joined into components.  Then the exact remainder: every pair
 of a large bucket, or of members of paired groups, that passes the filters and
@@ -35,36 +35,61 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .scratch import drop, save
-from .textkit import Words, array_rows, map_text, mix, ragged, shingles, sum_arrays, text_slices
+from .textkit import Words, map_text, mix, ragged, shingles, text_slices
 
 SIZE = 5
 #: Counters of the frequency sketch, in parts of PART; they set the order only.
-SKETCH = 1 << 20
-PART = 1 << 14
+SKETCH = 1 << 23
+PART = 1 << 15
 #: Bits of the filters that pick texts to verify and groups of several rows; they grow no further.
 FILTER = 1 << 24
 SMALL = 8
+#: Neighbours within a large bucket that a unit is compared with in the first round.
+NEIGHBOURS = 8
 CHUNK = 200_000
 
 
+def _adder(kind: str):
+    """Adds arrays of `kind` by part and gives uint16 arrays, cut off at their maximum."""
+
+    def add(key: tuple[pa.Scalar, ...], frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(PART, np.uint32)
+        for frame in frames:
+            for x in frame.column("counts"):
+                total += np.frombuffer(x.as_buffer(), kind)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 65535).astype("<u2").tobytes()], pa.binary())], ["part", "counts"])
+
+    return add
+
+
 def frequencies(docs: DataFrame, size: int = SIZE) -> np.ndarray:
-    """Counts of the shingles of all documents, hashed into SKETCH counters."""
+    """Counts of the shingles of all documents, hashed into SKETCH counters.
+
+    A task counts up to 255 per counter; that and chance meetings of shingles
+    shift the order only, never the result.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(SKETCH, np.uint32)
         for batch in batches:
             for part in text_slices(batch):
                 words = Words(part.column("text"), lower=True)
                 if len(words.start):
                     _, found = shingles(words, words.hashes(), size)
-                    total += np.bincount((found & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        if total.any():
-            yield array_rows({i: total[i * PART : (i + 1) * PART] for i in range(SKETCH // PART)})
-
-    out = np.zeros(SKETCH, np.int64)
-    for i, found in sum_arrays(docs.select("text").mapInArrow(count, "part int, counts binary")).items():
-        out[i * PART : (i + 1) * PART] = found
-    return np.minimum(out, (1 << 31) - 1).astype(np.uint32)
+                    np.add.at(total, (found & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
+        small = np.minimum(total, 255).astype(np.uint8)
+        for i in range(SKETCH // PART):
+            own = small[i * PART : (i + 1) * PART]
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["part", "counts"])
+
+    fields = "part int, counts binary"
+    partial = docs.select("text").mapInArrow(count, fields).withColumn("salt", F.spark_partition_id() % 4)
+    met = partial.groupBy("part", "salt").applyInArrow(_adder("<u1"), fields)
+    out = np.zeros(SKETCH, np.uint16)
+    for r in met.groupBy("part").applyInArrow(_adder("<u2"), fields).collect():
+        out[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["counts"], "<u2")
+    return out
 
 
 def _sets(texts: pa.Array, size: int, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -174,10 +199,20 @@ def _first_round(percent: int):
             token, uid, at, many = token[keep], uid[keep], at[keep], many[keep]
             left, right = [], []
             for k in range(1, SMALL):
-                i = np.flatnonzero((token[k:] == token[:-k]) & ((many[k:] <= SMALL) | (k == 1)))
+                i = np.flatnonzero((token[k:] == token[:-k]) & (many[k:] <= SMALL))
                 i = i[_pass(at, i, i + k, percent) & (uid[i] != uid[i + k])]
                 left.append(uid[i])
                 right.append(uid[i + k])
+            # of a large bucket: chains of the units that can pass with others of their size
+            n = at >> 32
+            fit = np.flatnonzero((many > SMALL) & ((100 + percent) * (n - (at & 0xFFFFFFFF)) >= 2 * percent * n))
+            for k in range(1, NEIGHBOURS + 1):
+                i, j = fit[:-k], fit[k:]
+                ok = token[i] == token[j]
+                i, j = i[ok], j[ok]
+                ok = _pass(at, i, j, percent) & (uid[i] != uid[j])
+                left.append(uid[i[ok]])
+                right.append(uid[j[ok]])
             a, b = np.concatenate(left), np.concatenate(right)
             if len(a):
                 yield _pair_batch(a, b)
