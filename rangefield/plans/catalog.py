@@ -2,21 +2,60 @@
 
 from __future__ import annotations
 
-from ..functions.dialect import duck_sql, spark_sql
-from . import calibration, geometry, ingest
-from .relations import with_
+import re
+import uuid
+
+from pyspark import StorageLevel
+
+from ..functions.dialect import duck_sql, render, spark_sql
+from ..operators import folds, solvers
+from . import calibration, geometry, ingest, locate
+from .relations import RELATIONS, with_
 
 FLAGSHIP = "l09_room_aware"
+#: Relations that locators read many times: they are computed once per query and kept on the executors.
+SHARED = ("fixes", "trust2", "pair_fits")
 SQL: dict[str, str] = {}
 for _module in (ingest, geometry, calibration):
     SQL |= {k: with_(v) for k, v in _module.QUERIES.items()}
 
 
+def shared_views(spark, sf_dir: str, names: tuple[str, ...] = SHARED) -> dict[str, str]:
+    """Temporary views of relations, each persisted; a lost executor's part is computed again."""
+    views = {}
+    for name in names:
+        frame = spark.sql(render(with_(f"SELECT * FROM {name}"), "spark", lambda t: f"parquet.`{sf_dir}/{t}.parquet`"))
+        views[name] = f"rangefield_{name}_{uuid.uuid4().hex[:8]}"
+        frame.persist(StorageLevel.MEMORY_AND_DISK).createOrReplaceTempView(views[name])
+    return views
+
+
+def locating(sql: str):
+    """The query of a locator: its shared relations as views, its centroids over arrays."""
+    text = with_(sql, SHARED).replace("{idw}", locate.idw_arrays())
+    used = tuple(x for x in SHARED if re.search(rf"\b(?:FROM|JOIN)\s+{x}\b", text))
+
+    def query(spark, sf_dir):
+        own = text
+        for name, view in shared_views(spark, sf_dir, used).items():
+            own = re.sub(rf"\b(FROM|JOIN)\s+{name}\b", rf"\1 {view}", own)
+        return spark.sql(render(own, "spark", lambda t: f"parquet.`{sf_dir}/{t}.parquet`"))
+
+    return query
+
+
 def queries() -> dict:
     """Every query; each takes (spark, sf_dir)."""
-    return {k: spark_sql(v) for k, v in SQL.items()}
+    out = {k: spark_sql(v) for k, v in SQL.items()}
+    out |= {k: locating(v) for k, v in locate.QUERIES.items()}
+    return out | folds.QUERIES | solvers.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query."""
-    return {k: duck_sql(v) for k, v in SQL.items()}
+    out = {k: duck_sql(v) for k, v in SQL.items()}
+    out |= {k: duck_sql(with_(v.replace("{idw}", locate.idw_relational()))) for k, v in locate.QUERIES.items()}
+    return out | {k: duck_sql(v) for k, v in folds.ORACLES.items()}
+
+
+__all__ = ["FLAGSHIP", "RELATIONS", "SQL", "locating", "oracle_sql", "queries", "shared_views"]

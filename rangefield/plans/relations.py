@@ -104,9 +104,9 @@ def _needs(sql: str) -> list[str]:
     return [x for x in RELATIONS if re.search(rf"\b(?:FROM|JOIN)\s+{x}\b", sql, re.I)]
 
 
-def with_(sql: str) -> str:
-    """A query with the relations that it needs in front, each after those that it depends on."""
-    order: list[str] = []
+def with_(sql: str, given: tuple[str, ...] = ()) -> str:
+    """A query with the relations that it needs in front, each after those that it depends on, but for those `given`."""
+    order: list[str] = list(given)
 
     def visit(text: str) -> None:
         for name in _needs(text):
@@ -116,7 +116,7 @@ def with_(sql: str) -> str:
                     order.append(name)
 
     visit(sql)
-    body = ", ".join(f"{x} AS ({RELATIONS[x]})" for x in order)
+    body = ", ".join(f"{x} AS ({RELATIONS[x]})" for x in order if x not in given)
     if not body:
         return sql
     if sql.lstrip().upper().startswith("WITH RECURSIVE"):
