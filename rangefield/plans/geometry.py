@@ -54,11 +54,10 @@ QUERIES: dict[str, str] = {
         FROM (SELECT u.seq, u.x, u.y, f.room_id AS r, f.v, least(greatest(((u.x - f.ax) * (f.bx - f.ax) + (u.y - f.ay) * (f.b_y - f.ay)) / ((f.bx - f.ax) * (f.bx - f.ax) + (f.b_y - f.ay) * (f.b_y - f.ay)), 0.0D), 1.0D) AS t FROM upstream u CROSS JOIN edges f) p
         JOIN edges e ON p.r = e.room_id AND p.v = e.v GROUP BY p.seq, e.room_id""",
     "g19_node_rooms": "SELECT node_id, room_id FROM node_rooms",
-    "g20_circle_hits": """SELECT a.device_id, a.node_id AS a, b.node_id AS b, round(CASE WHEN s < 0 THEN -1.0D ELSE 1.0D END * 0.0D + a.x + h * (b.x - a.x) / g - s * k * (b.y - a.y) / g, 6) AS x, round(a.y + h * (b.y - a.y) / g + s * k * (b.x - a.x) / g, 6) AS y
-        FROM (SELECT a.device_id, a.i AS i, b.i AS j, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS g, (a.d * a.d - b.d * b.d + (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) / (2.0D * sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) AS h,
-            sqrt(greatest(a.d * a.d - power((a.d * a.d - b.d * b.d + (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) / (2.0D * sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))), 2.0D), 0.0D)) AS k
-          FROM fixes a JOIN fixes b ON a.device_id = b.device_id AND a.i < b.i WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) > 1e-6 AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= a.d + b.d
-            AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) >= abs(a.d - b.d)) z
+    "g20_circle_hits": """SELECT a.device_id, a.node_id AS a, b.node_id AS b, round(a.x + h * (b.x - a.x) / g - s * sqrt(greatest(a.d * a.d - h * h, 0.0D)) * (b.y - a.y) / g, 4) AS x,
+          round(a.y + h * (b.y - a.y) / g + s * sqrt(greatest(a.d * a.d - h * h, 0.0D)) * (b.x - a.x) / g, 4) AS y
+        FROM (SELECT device_id, i, j, g, (ra * ra - rb * rb + g * g) / (2.0D * g) AS h FROM (SELECT a.device_id, a.i AS i, b.i AS j, a.d AS ra, b.d AS rb, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS g
+            FROM fixes a JOIN fixes b ON a.device_id = b.device_id AND a.i < b.i) q WHERE g > 1e-6 AND g <= ra + rb AND g >= abs(ra - rb)) z
         JOIN fixes a ON z.device_id = a.device_id AND z.i = a.i JOIN fixes b ON z.device_id = b.device_id AND z.j = b.i CROSS JOIN (SELECT 1.0D AS s UNION ALL SELECT -1.0D) sign""",
     "g21_location": f"WITH {INSIDE} SELECT device_id, seq, room_id, CASE WHEN room_id IS NOT NULL OR (x >= 0 AND x <= 12 AND y >= 0 AND y <= 10) THEN 'first_floor' END AS floor_id FROM located",
     "g22_reported_room": f"WITH {INSIDE} SELECT seq, CASE WHEN seq % 3 = 0 THEN 'outside' ELSE room_id END AS room_id, seq % 3 <> 1 AS room_reported FROM located",
