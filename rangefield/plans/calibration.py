@@ -56,6 +56,6 @@ QUERIES: dict[str, str] = {
     "w16_cycles": "SELECT {div: t_ms; 300000} AS cycle, listener_id, count(*) AS n FROM gt_samples GROUP BY {div: t_ms; 300000}, listener_id",
     "w10_rate_limit": "SELECT node_id, seq, t_ms FROM (SELECT *, lag(t_ms) OVER (PARTITION BY node_id ORDER BY t_ms, seq) AS before FROM settings) s WHERE before IS NULL OR t_ms - before >= 10000",
     "w17_rebuild": "SELECT listener_id, count(*) AS kept, count(DISTINCT transmitter_id) AS pairs FROM ring WHERE n >= 1.5D AND n <= 8.0D GROUP BY listener_id",
-    "a22_recent_audit": "SELECT sum(CASE WHEN t_ms >= (SELECT max(t_ms) FROM settings) - 3600 THEN 1 ELSE 0 END) AS n FROM settings",
+    "a22_recent_audit": "SELECT count(CASE WHEN t_ms >= c.last_ms - 3600 THEN 1 END) AS n FROM settings s CROSS JOIN (SELECT max(t_ms) AS last_ms FROM settings) c",
     "a27_totals": "SELECT (SELECT count(*) FROM gt_samples) AS residuals, (SELECT count(*) FROM pins) AS pins, (SELECT count(DISTINCT node_id) FROM parsed WHERE kind = 'status' AND lower(trim(payload)) = 'online') AS online",
 }

@@ -40,7 +40,7 @@ QUERIES: dict[str, str] = {
     "g05_room_anchor": f"WITH {CENTROIDS} SELECT c.room_id, round(CASE WHEN c.cx > r.x0 AND c.cx < r.x1 AND c.cy > r.y0 AND c.cy < r.y1 THEN c.cx ELSE (r.x0 + r.x1) / 2 END, 6) AS x FROM centroids c JOIN rooms r ON c.room_id = r.room_id",
     "g06_adjacency": "SELECT a, b FROM shared_edges",
     "g08_segment_hits": f"WITH {WALLS} SELECT a, b, wall, round(t, 6) AS t, round(hx, 6) AS x, round(hy, 6) AS y FROM crossed",
-    "g09_crossings": f"WITH {WALLS} SELECT a, b, interior, exterior, doors FROM counted",
+    "g09_crossings": f"WITH {WALLS} SELECT a, b, CAST(interior AS BIGINT) AS interior, CAST(exterior AS BIGINT) AS exterior, CAST(doors AS BIGINT) AS doors FROM counted",
     "g10_obstruction_loss": f"WITH {WALLS} SELECT a, b, 4.0D * interior + 10.0D * exterior + 0.0D * doors AS loss_db FROM counted",
     "g11_pair_loss": f"WITH {WALLS} SELECT g.listener_id, g.transmitter_id, count(*) AS n, max(4.0D * c.interior + 10.0D * c.exterior) AS loss_db FROM gt_samples g JOIN counted c ON least(g.listener_id, g.transmitter_id) = c.a AND greatest(g.listener_id, g.transmitter_id) = c.b GROUP BY g.listener_id, g.transmitter_id",
     "g12_heatmap": """WITH gx AS (SELECT {unnest: 0; 59} AS i), gy AS (SELECT {unnest: 0; 49} AS j)

@@ -52,7 +52,7 @@ QUERIES: dict[str, str] = {
     "w09_changes": "SELECT device_id, seq, name FROM (SELECT device_id, seq, name, lag(name) OVER (PARTITION BY device_id ORDER BY t_ms, seq) AS before FROM obs) o WHERE before IS NULL OR before <> name",
     "w13_away": "SELECT device_id, seq, t_ms + 2000 AS away_ms FROM (SELECT device_id, seq, t_ms, lead(t_ms) OVER (PARTITION BY device_id ORDER BY t_ms, seq) AS next_ms FROM obs) o WHERE next_ms IS NULL OR next_ms - t_ms > 2000",
     "w14_retention": "SELECT device_id, max(t_ms) AS last_seen FROM obs GROUP BY device_id HAVING (SELECT max(t_ms) FROM obs) - max(t_ms) <= 3000",
-    "w12_pin_sessions": """SELECT device_id, session, count(*) AS n, min(t_ms) AS start_ms, max(t_ms) + 1800 AS end_ms FROM (SELECT *, sum(fresh) OVER (PARTITION BY device_id ORDER BY t_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session
+    "w12_pin_sessions": """SELECT device_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(t_ms) AS start_ms, max(t_ms) + 1800 AS end_ms FROM (SELECT *, sum(fresh) OVER (PARTITION BY device_id ORDER BY t_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session
         FROM (SELECT *, CASE WHEN t_ms - lag(t_ms) OVER (PARTITION BY device_id ORDER BY t_ms, seq) <= 1800 THEN 0 ELSE 1 END AS fresh FROM obs) a) b GROUP BY device_id, session""",
     "x01_distances": "SELECT a.node_id AS a, b.node_id AS b, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), 6) AS d2, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), 6) AS d3 FROM nodes a JOIN nodes b ON a.node_id < b.node_id",
     "x02_forward_rssi": "SELECT seq, round(-59.0D - 30.0D * log10(greatest(1.0D, raw)), 6) AS rssi FROM obs_raw",
@@ -73,7 +73,7 @@ QUERIES: dict[str, str] = {
     "x24_inches": "SELECT seq, round(raw / 0.0254D, 1) AS inches, CAST(floor(round(raw / 0.0254D, 1) / 12.0D) AS BIGINT) AS feet FROM obs_raw",
     "x25_relative": "SELECT device_id, CASE WHEN age < 60 THEN 's' WHEN age < 3600 THEN 'm' WHEN age < 86400 THEN 'h' ELSE 'd' END AS unit, age FROM (SELECT device_id, {div: (SELECT max(t_ms) FROM obs) - max(t_ms); 10} AS age FROM obs GROUP BY device_id) a",
     "x27_topics": "SELECT DISTINCT 'site/' || device_id || '/' || room_id || '/state' AS topic FROM fixes WHERE room_id IS NOT NULL",
-    "a15_ruler_scale": """SELECT round(m.median, 6) AS median, m.n, round(avg(CASE WHEN NOT (m.n >= 3 AND abs(r.s - m.median) > 0.03D) THEN r.s END), 6) AS trimmed, sum(CASE WHEN m.n >= 3 AND abs(r.s - m.median) > 0.03D THEN 1 ELSE 0 END) AS outliers
+    "a15_ruler_scale": """SELECT round(m.median, 6) AS median, m.n, round(avg(CASE WHEN NOT (m.n >= 3 AND abs(r.s - m.median) > 0.03D) THEN r.s END), 6) AS trimmed, count(CASE WHEN m.n >= 3 AND abs(r.s - m.median) > 0.03D THEN 1 END) AS outliers
         FROM (SELECT actual_distance / config_distance AS s FROM ruler WHERE config_distance > 0) r CROSS JOIN (SELECT max(CASE WHEN k = {div: n; 2} + 1 THEN s END) AS median, max(n) AS n FROM (
           SELECT actual_distance / config_distance AS s, row_number() OVER (ORDER BY actual_distance / config_distance, id) AS k, count(*) OVER () AS n FROM ruler WHERE config_distance > 0) o) m GROUP BY m.median, m.n""",
     "p05_ruler_class": "SELECT id, CASE WHEN abs(actual_distance / config_distance - 1.0D) < 0.03D THEN 'good' WHEN abs(actual_distance / config_distance - 1.0D) < 0.1D THEN 'fair' ELSE 'bad' END AS class FROM ruler WHERE config_distance > 0",

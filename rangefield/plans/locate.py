@@ -105,7 +105,7 @@ QUERIES: dict[str, str] = {
     "a10_room_vote": f"WITH {FIXES}, {VOTE} SELECT id AS device_id, room_id FROM vote",
     "a14_outliers": f"WITH {FIXES}, {idw()}, {OUTLIERS} SELECT id AS device_id, node_id, round(r, 4) AS residual, rejected = 1 AS rejected FROM flagged",
     "l06_outlier_wrapped_idw": f"WITH {FIXES}, {idw()}, {OUTLIERS} SELECT f.id AS device_id, round(sum(f.x / (f.d * f.d + 1e-6)) / sum(1.0D / (f.d * f.d + 1e-6)), 4) AS x, round(sum(f.y / (f.d * f.d + 1e-6)) / sum(1.0D / (f.d * f.d + 1e-6)), 4) AS y, count(*) AS kept FROM fx f JOIN flagged g ON f.id = g.id AND f.node_id = g.node_id WHERE g.rejected = 0 GROUP BY f.id",
-    "u08_rejected_flags": f"WITH {FIXES}, {idw()}, {OUTLIERS} SELECT id AS device_id, sum(rejected) AS dropped, sum(1 - rejected) AS kept, round(max(r), 4) AS worst FROM flagged GROUP BY id",
+    "u08_rejected_flags": f"WITH {FIXES}, {idw()}, {OUTLIERS} SELECT id AS device_id, CAST(sum(rejected) AS BIGINT) AS dropped, CAST(sum(1 - rejected) AS BIGINT) AS kept, round(max(r), 4) AS worst FROM flagged GROUP BY id",
     "a02_leave_one_out": f"WITH {LEFT_OUT}, {ROOM_AWARE} SELECT o.node_id, count(*) AS n, round(avg(o.d - sqrt((p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y) + (p.z - o.z) * (p.z - o.z))), 4) AS mean FROM room_aware p JOIN fixes o ON p.id = o.device_id || '/' || o.node_id GROUP BY o.node_id",
     "j04_fix_pairs": f"WITH {FIXES}, {CROSSINGS} SELECT id AS device_id, na, nb, round(g, 4) AS apart FROM meets",
     "j05_consensus": f"WITH {FIXES}, {ROOM_AWARE} SELECT id AS device_id, na, nb, s, round(cons, 4) AS consensus FROM backed",
@@ -113,11 +113,11 @@ QUERIES: dict[str, str] = {
         FROM (SELECT f.id, (f.x - p.x) / {R2} AS ux, (f.y - p.y) / {R2} AS uy FROM fx f JOIN s4 p ON f.id = p.id WHERE {R2} > 1e-3) f GROUP BY f.id) a WHERE k >= 2""",
     "a17_weighted_rmse": f"WITH {FIXES}, {idw()} SELECT f.id AS device_id, round(sqrt(sum((f.d - {R3}) * (f.d - {R3}) / (f.d * f.d + 1e-6)) / sum(1.0D / (f.d * f.d + 1e-6))), 4) AS rmse FROM fx f JOIN s4 p ON f.id = p.id GROUP BY f.id",
     "a04_compare": f"{BOTH} {APART} SELECT id AS device_id, algorithm, round(delta, 4) AS delta, in_out FROM apart",
-    "a05_pooled": f"{BOTH} {APART} SELECT algorithm, count(*) AS n, round(avg(delta), 4) AS mean, round(stddev_pop(delta), 4) AS sigma, sum(in_out) AS in_out FROM apart GROUP BY algorithm",
+    "a05_pooled": f"{BOTH} {APART} SELECT algorithm, count(*) AS n, round(avg(delta), 4) AS mean, round(stddev_pop(delta), 4) AS sigma, CAST(sum(in_out) AS BIGINT) AS in_out FROM apart GROUP BY algorithm",
     "a26_legend_means": f"{BOTH} {APART} SELECT algorithm, round(sum(delta) / count(*), 3) AS mean FROM apart GROUP BY algorithm",
     "a29_headline": f"{BOTH} {APART} SELECT max(CASE WHEN near = 1 THEN algorithm END) AS closest, max(CASE WHEN far = 1 THEN algorithm END) AS farthest FROM (SELECT algorithm, row_number() OVER (ORDER BY round(avg(delta), 9), algorithm) AS near, row_number() OVER (ORDER BY round(avg(delta), 9) DESC, algorithm) AS far FROM apart GROUP BY algorithm) z",
     "j18_alternatives": f"{BOTH} {APART} SELECT a.id AS device_id, a.algorithm, b.algorithm AS other, round(abs(a.delta - b.delta), 4) AS gap FROM apart a JOIN apart b ON a.id = b.id AND a.algorithm < b.algorithm",
     "l14_bundle": f"{BOTH} z AS (SELECT id, 'room_aware' AS algorithm, x, y FROM room_aware UNION ALL SELECT id, algorithm, x, y FROM alternatives) SELECT id AS device_id, algorithm, round(x, 4) AS x, round(y, 4) AS y FROM z",
     "p01_position_rows": f"WITH {FIXES}, {ROOM_AWARE} SELECT id AS device_id, {ROUND}, 'room_aware' AS algorithm, room_id IS NOT NULL AS room_reported FROM room_aware",
-    "f14_positioned": f"WITH {FIXES}, {ROOM_AWARE} SELECT count(*) AS devices, sum(CASE WHEN confidence >= 0.5D THEN 1 ELSE 0 END) AS sure FROM room_aware",
+    "f14_positioned": f"WITH {FIXES}, {ROOM_AWARE} SELECT count(*) AS devices, count(CASE WHEN confidence >= 0.5D THEN 1 END) AS sure FROM room_aware",
 }
