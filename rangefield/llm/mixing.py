@@ -8,15 +8,19 @@ exceeds u.  Documents are exploded by their counts and shuffled globally by a
 second hash of id and copy number.
 
 The distribution function is tabulated once per source: one row per source
-with an array of doubles whose length follows from the rate.  Up to
+with an array of doubles whose length follows from the rate.  A rate above
+PART_RATE is cut into equal parts of at most that: a document draws once for
+each part, by a hash of its own, and its count is the sum, which has the
+Poisson distribution of the whole rate.  So no rate is too high, and a source
+of any size reaches its target weight.  Up to
 BROADCAST_SOURCES sources the table is broadcast (their number is counted
 first); beyond that it joins by source, where Spark splits a hot source's
 partition.
 
 Defined cases: a null source is a source of its own; a null text has no
 characters; a source without characters, or whose target weight is 0, has
-rate 0; repeated rows with one id draw the same count, each for itself; an
-empty table stays empty; extra columns pass through (those named `n_copies`,
+rate 0; repeated rows with one id draw the same count, each for itself; a
+count beyond 2 ** 31 - 1 raises an error; an empty table stays empty; extra columns pass through (those named `n_copies`,
 `copy_no` or `mix_key` are replaced).
 """
 
@@ -27,8 +31,10 @@ from pyspark.sql import functions as F
 
 SEED = "mix-1"
 EPOCHS = 1.0
-#: Highest mean rate: exp(-rate) must stay a normal double.
-MAX_RATE = 700.0
+#: Highest mean rate of one draw: exp(-rate) must stay a normal double.
+PART_RATE = 700.0
+#: Copies made at once from a row, so that no row needs an array of all its copies.
+BLOCK = 1000
 #: Most sources whose table is broadcast.
 BROADCAST_SOURCES = 10_000
 
@@ -53,7 +59,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
     return weighed.crossJoin(F.broadcast(total)).select(  # one row
         "source",
         "chars",
-        F.when((F.col("all_weight") > 0) & (F.col("chars") > 0), F.least(rate, F.lit(MAX_RATE))).otherwise(0.0).alias("rate"),
+        F.when((F.col("all_weight") > 0) & (F.col("chars") > 0), rate).otherwise(0.0).alias("rate"),
     )
 
 
@@ -78,15 +84,28 @@ def replicate(
     found = table.limit(BROADCAST_SOURCES + 1).collect()
     if len(found) <= BROADCAST_SOURCES:
         table = F.broadcast(docs.sparkSession.createDataFrame(found, table.schema))
-    plan = table.select("__source", cumulative(F.col("rate")).alias("__cdf"))
+    parts = F.greatest(F.ceil(F.col("rate") / F.lit(PART_RATE)), F.lit(1).cast("long"))
+    plan = table.withColumn("__parts", parts).select("__source", "__parts", cumulative(F.col("rate") / F.col("__parts")).alias("__cdf"))
+
+    def draw(u: Column) -> Column:
+        return F.size(F.filter("__cdf", lambda x: x <= u)).cast("long")
+
+    more = F.aggregate(
+        F.sequence(F.lit(1).cast("long"), F.col("__parts") - 1),
+        F.lit(0).cast("long"),
+        lambda total, j: total + draw(unit(F.lit(seed), F.lit("part"), F.col(key), j)),
+    )
     drawn = (
         docs.withColumn("__u", unit(F.lit(seed), F.col(key)))
         .join(plan, F.col("source").eqNullSafe(F.col("__source")))
-        .withColumn("n_copies", F.size(F.filter("__cdf", lambda x: x <= F.col("__u"))))
-        .drop("__source", "__cdf", "__u")
+        .withColumn("n_copies", (draw(F.col("__u")) + F.when(F.col("__parts") > 1, more).otherwise(0)).cast("int"))
+        .drop("__source", "__parts", "__cdf", "__u")
         .filter("n_copies > 0")
     )
-    copies = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
+    blocks = drawn.withColumn("__block", F.explode(F.sequence(F.lit(0), F.expr(f"int((n_copies - 1) div {BLOCK})"))))
+    first = F.col("__block") * BLOCK
+    # the last block ends with the last copy; written so that nothing passes the largest int
+    copies = blocks.withColumn("copy_no", F.explode(F.sequence(first, first + (F.least(F.col("n_copies") - first, F.lit(BLOCK)) - 1)))).drop("__block")
     mixed = copies.withColumn("mix_key", unit(F.lit(seed), F.lit("order"), F.col(key), F.col("copy_no")))
     return mixed.repartition(F.col("mix_key")).sortWithinPartitions("mix_key")
 

@@ -176,6 +176,19 @@ def test_mixing_handles_odd_rows(spark):
     assert mixing.replicate(docs(spark, ODD), {}).count() == 0
 
 
+def test_mixing_of_a_rare_source(spark):
+    # b holds 60 of 400,060 characters: its rate of some 3,334 takes several draws
+    rows = [(i, "x" * 20_000, "en", "a") for i in range(20)] + [(1000 + i, "y", "en", "b") for i in range(60)]
+    out = mixing.replicate(docs(spark, rows), {"a": 0.5, "b": 0.5}).filter("source = 'b'")
+    by = out.groupBy("doc_id").agg({"copy_no": "max", "*": "count", "n_copies": "max"}).collect()
+    n = np.array([r["count(1)"] for r in by])
+    rate = 0.5 * 400_060 / 60
+    assert len(n) == 60 and abs(n.sum() - 60 * rate) < 4 * np.sqrt(60 * rate)
+    assert 0.4 * rate < n.var(ddof=1) < 1.8 * rate
+    assert all(r["count(1)"] == r["max(n_copies)"] == r["max(copy_no)"] + 1 for r in by)
+    assert out.select("doc_id", "copy_no").distinct().count() == n.sum()
+
+
 def test_language_of_odd_rows(spark):
     got = langid.op7(docs(spark, ODD)).collect()
     assert len(got) == len(ODD)
