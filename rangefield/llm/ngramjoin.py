@@ -225,17 +225,18 @@ def _first_round(percent: int):
 
 
 def _second_round(percent: int):
-    """Pairs of different components within the large buckets."""
+    """Pairs within the large buckets of different components, or with a hub whose group spans several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, uid, at, part in _runs(batches, 0):
+        for token, uid, at, part, mixed in _runs(batches, 0):
             n = at >> 32
             i, k = np.arange(len(token) - 1), 1
             while len(i):
                 # rows are ordered by size: once too large, the later ones are too
                 i = i[i + k < len(token)]
                 i = i[(token[i] == token[i + k]) & (100 * n[i] >= percent * n[i + k])]
-                good = i[_pass(at, i, i + k, percent) & (part[i] != part[i + k]) & (uid[i] != uid[i + k])]
+                apart = (part[i] != part[i + k]) | (mixed[i] + mixed[i + k] > 0)
+                good = i[_pass(at, i, i + k, percent) & apart & (uid[i] != uid[i + k])]
                 if len(good):
                     yield _pair_batch(uid[good], uid[good + k])
                 k += 1
@@ -332,14 +333,14 @@ def join(docs: DataFrame, percent: int = 75, size: int = SIZE) -> DataFrame:
 
     # what is left: large buckets and groups of several units that still span components
     member = several.select("gid", "hub").join(parts.select("gid", "uid", "part"), "gid")
-    mixed = member.groupBy("hub").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
-    of_hub = parts.select("uid", "part").join(mixed, F.col("uid") == F.col("hub"), "left").select(
-        "uid", F.when(F.col("lo") == F.col("hi"), F.col("part")).when(F.col("hub").isNull(), F.col("part")).otherwise(F.col("uid")).alias("part")
-    )
+    groups = member.groupBy("hub").agg((F.min("part") != F.max("part")).cast("long").alias("mixed"))
+    # a mixed hub stands for members of several components: it is apart from every other unit, those of its own component too
+    of_hub = parts.select("uid", "part").join(groups, F.col("uid") == F.col("hub"), "left").select("uid", "part", F.coalesce("mixed", F.lit(0).cast("long")).alias("mixed"))
     of_hub = save(of_hub)
     big = save(found.filter("token IS NOT NULL").select("token", F.col("a").alias("uid"), "at").distinct().join(of_hub, "uid"))
-    open_tokens = save(big.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("token"))
-    rest = big.join(open_tokens, "token").select("token", "uid", "at", "part")
+    spans = big.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.max("mixed").alias("mixed"))
+    open_tokens = save(spans.filter("lo <> hi OR mixed = 1").select("token"))
+    rest = big.join(open_tokens, "token").select("token", "uid", "at", "part", "mixed")
     rest = rest.repartition(F.col("token")).sortWithinPartitions("token", F.shiftright("at", 32), "uid")
     late = rest.mapInArrow(_second_round(percent), "a long, b long, token long, at long").select("a", "b")
     candidates = late.union(pairs).distinct()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from rangefield.llm import ngramjoin
@@ -100,5 +102,26 @@ def test_units_of_one_group(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_mixed_hub_that_is_the_root_of_its_component(spark, monkeypatch):
+    # h and m share prefix and size, not their words; a chain of small buckets leads from h to x, and only m is like x besides
+    monkeypatch.setattr(ngramjoin, "SMALL", 2)
+    monkeypatch.setattr(ngramjoin, "NEIGHBOURS", 1)
+    for seed in range(1000):
+        a, b = ([f"{c}{seed}x{i}" for i in range(14)] for c in "ab")
+        p, s = ([f"{c}{seed}x{i}" for i in range(8)] for c in "ps")
+        h, m = [s[0], *p[:5], *a], [s[0], *p[:5], *b]
+        chain = [[s[k - 1], s[k], *p[:5], *a[2 * k :], *b[: 2 * k]] for k in range(1, 8)]
+        texts = [" ".join(x) for x in (h, m, *chain)]
+        found, bounds = ngramjoin._sets(pa.array(texts), 1, None)
+        uid = ngramjoin._prints(found, bounds, np.diff(bounds), 1).view(np.int64)
+        if uid[0] == uid.min() and uid[-1] != uid[2:].min():
+            break
+    # makes the words of a and b the most frequent ones
+    texts += [" ".join([*a, *b, *(f"f{i}x{j}" for j in range(100))]) for i in range(20)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in ngramjoin.join(table, 75, 1).collect()}
+    assert got == {i: 0 if i < 9 else i for i in range(29)}
+
+
 def test_empty(spark):
     assert run(spark, []) == []
