@@ -80,7 +80,10 @@ RELATIONS: dict[str, str] = {
           CASE WHEN syy > 0 THEN least(greatest(1.0D - greatest(syy - 2 * (sxy / sxx) * sxy + (sxy / sxx) * (sxy / sxx) * sxx, 0.0D) / syy, 0.0D), 1.0D) END AS r2 FROM node_stats WHERE w >= 5""",
     "upstream": """SELECT o_orderkey AS seq, 'dev_' || CAST(o_custkey % 150 AS STRING) AS device_id, o_totalprice % 14.0D - 1.0D AS x, (o_totalprice / 7.0D) % 12.0D - 1.0D AS y,
           o_orderkey % 120 AS confidence, {days: o_orderdate; 1995-01-01} * CAST(20 AS BIGINT) AS t_ms FROM {t:orders}""",
-    "pins": """SELECT 'dev_' || CAST(c_custkey % 15 AS STRING) AS device_id, c_custkey AS pin_ts, c_custkey * 37 % 120 / 10.0D AS x, c_custkey * 53 % 100 / 10.0D AS y, 1.0D AS z FROM {t:customer} WHERE c_custkey < 45""",
+    # three pins a device, over as many devices as the events have
+    "pin_devices": "SELECT count(DISTINCT user_id) AS n FROM {t:events}",
+    "pins": """SELECT 'dev_' || CAST(c_custkey % n AS STRING) AS device_id, c_custkey AS pin_ts, c_custkey * 37 % 120 / 10.0D AS x, c_custkey * 53 % 100 / 10.0D AS y, 1.0D AS z
+        FROM {t:customer} CROSS JOIN pin_devices WHERE c_custkey < 3 * n""",
     "ruler": """SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS config_distance, p_size * p_retailprice / 950.0D AS actual_distance, CASE WHEN p_partkey % 3 = 0 THEN 'Wall: ' || p_name ELSE p_brand END AS label FROM {t:part}""",
     # the latest fixes of each device as of its last message, one per node, within 30 s, in order of first sight
     "fix_last": """SELECT device_id, node_id, seq, t_ms, distance, rssi FROM (

@@ -27,6 +27,13 @@ def test_flagship(spark):
     assert not oracle.difference(catalog.queries()[name](spark, SMALL), catalog.oracle_sql()[name], SMALL)
 
 
+@pytest.mark.parametrize("devices,size", [(15, "sf0.001"), (150, "sf0.01")])
+def test_pins_follow_the_number_of_devices(spark, devices, size):
+    got = catalog.queries()["t05_pins_newest"](spark, f"/root/testdata/{size}").collect()
+    want = {(f"dev_{k % devices}", k, 3 - k // devices) for k in range(3 * devices)}  # FIXTURES.md 2.2
+    assert len(got) == len(want) and {(r.device_id, r.pin_ts, r.place) for r in got} == want
+
+
 def test_every_query_has_sql():
     assert set(catalog.queries()) == set(catalog.oracle_sql())
 
