@@ -4,14 +4,15 @@ The strings of a text are its words without marks inside them, and runs of
 single letters ("i d i o t") read as one word.  The kernel counts common
 subsequences of ORDER letters, each weighted by DECAY to the power of the
 stretches that it spans in both strings, so a gap or an inserted character
-costs a factor and not the match.  It is taken as 0 where string and landmark
+costs a factor and not the match.  Strings of fewer than SHORT letters stand
+between two marks, so they match short strings only.  It is taken as 0 where string and landmark
 share no subsequence of at least SHARE of the landmark's letters, which a
 bit-parallel test finds for all landmarks at once.
 
 A string's kernel with a landmark is that of its best stretch of about the
 landmark's length, normalised by both norms.  Landmarks are word beginnings that
-occur in far more toxic than clean labelled texts, and the stretches of clean
-strings closest to those.  The feature map is the
+occur in far more toxic than clean labelled texts, as many as pass that test,
+and the stretches of clean strings closest to those.  The feature map is the
 Nystroem one, K_mm^(-1/2) k_m(x); a linear support vector machine (squared
 hinge) is trained on labelled sentences: the strings of toxic texts that match
 a toxic landmark, and those landmarks with a letter inserted, are positive, and
@@ -40,12 +41,18 @@ from .textkit import Words, id_part, labelled, map_text
 ORDER = 3
 DECAY = 0.7
 SHARE = 0.8
-LANDMARKS = 64
+#: Texts that a toxic landmark has to occur in at least; the log-likelihood test mostly asks for more.
+LEAST = 6
+#: What that test asks for beyond the logarithm of the number of beginnings tried: one chance landmark in a thousand models.
+CERTAIN = np.log(1000)
+#: Strings of fewer letters stand between two marks that no text has, and match as a whole.
+SHORT = 4
 #: Labelled rows of each class that training takes at most.
 SAMPLE = 2000
 LONGEST = 12
 #: A landmark is compared with stretches of its own length and of so many letters more.
 GAPS = (0, 3)
+#: Least number of clean landmarks; half as many as toxic ones if that is more.
 NEAR = 24
 WINDOW = 48
 SLOTS = 1 << 20
@@ -167,6 +174,17 @@ def windows(letters: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
     return np.where(inside, letters[np.minimum(at, max(len(letters) - 1, 0))], 0).astype(np.uint8), owner
 
 
+def framed(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The byte matrix with short strings between the marks 1 and 2."""
+    out = np.zeros((len(rows), max(rows.shape[1], SHORT + 1)), np.uint8)
+    out[:, : rows.shape[1]] = rows
+    short = np.flatnonzero(size < SHORT)
+    out[short, 1:] = out[short, :-1]
+    out[short, 0] = 1
+    out[short, size[short] + 1] = 2
+    return out
+
+
 class Machine:
     """A trained model; `weights` are per landmark, after the Nystroem map was folded in."""
 
@@ -195,13 +213,14 @@ class Machine:
         value = cache["values"][slot]
         todo = np.flatnonzero((cache["keys"][slot] != hashes) | (np.arange(len(start)) >= n))
         value[todo] = self.bias
-        todo = todo[end[todo] - start[todo] >= 4]
+        todo = todo[end[todo] > start[todo]]
         if len(todo):
             joined = todo[todo >= n]
             plain = todo[todo < n]
             _, first, back = np.unique(hashes[plain], return_index=True, return_inverse=True)
             pick = np.concatenate([plain[first], joined])
             rows, owner = windows(letters, start[pick], end[pick])
+            rows = framed(rows, (end - start)[pick][owner])
             found = np.full(len(pick), -np.inf)
             for lo in range(0, len(rows), 50_000):
                 np.maximum.at(found, owner[lo : lo + 50_000], self.strings(rows[lo : lo + 50_000]))
@@ -216,8 +235,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * values + self.offset, -50, 50)))
 
 
-def choose(bags: list[list[bytes]], toxic: np.ndarray, most: int) -> list[bytes]:
-    """Word beginnings of 4 to LONGEST bytes that mark toxic texts."""
+def choose(bags: list[list[bytes]], toxic: np.ndarray) -> list[bytes]:
+    """Word beginnings of SHORT to LONGEST bytes, and whole short strings, that mark toxic texts."""
     inside, outside = Counter(), Counter()
     seen: set = set()
     for bag, bad in zip(bags, toxic, strict=True):
@@ -226,16 +245,18 @@ def choose(bags: list[list[bytes]], toxic: np.ndarray, most: int) -> list[bytes]
         if key in seen:
             continue
         seen.add(key)
-        starts = {x[:k] for x in bag for k in range(4, min(len(x), LONGEST) + 1)}
+        starts = {x[:k] for x in bag if x[:1] != b"\x01" for k in range(SHORT, min(len(x), LONGEST) + 1)} | {x for x in bag if x[:1] == b"\x01"}
         (inside if bad else outside).update(starts)
     odds = max(1, int(toxic.sum())) / max(1, int((~toxic).sum()))
-    # many beginnings are tried, so a few texts prove nothing: a share of the toxic texts, and a log-likelihood far from chance
-    least = max(6, int(0.03 * toxic.sum()))
-    good = {
-        x: n
-        for x, n in inside.items()
-        if n >= least and n >= 20 * odds * outside.get(x, 0) and n * np.log(n / (odds * (outside.get(x, 0) + 0.5))) >= 25
-    }
+    # many beginnings are tried, so a few texts prove nothing: the binomial log-likelihood has to be far from chance for as many tries
+    tried = {x: n for x, n in inside.items() if n >= LEAST}
+    share = sum(bad for bad, _ in seen) / max(1, len(seen))
+    need = np.log(max(1, len(tried))) + CERTAIN
+
+    def evidence(n: int, k: int) -> float:
+        return n * np.log(n / ((n + k) * share)) + (k * np.log(k / ((n + k) * (1 - share))) if k else 0.0)
+
+    good = {x: n for x, n in tried.items() if n >= 20 * odds * outside.get(x, 0) and evidence(n, outside.get(x, 0)) >= need}
     picked: list[bytes] = []
     for x in sorted(good, key=lambda x: (-good[x], -len(x), x)):
         longer = x
@@ -246,24 +267,22 @@ def choose(bags: list[list[bytes]], toxic: np.ndarray, most: int) -> list[bytes]
             longer = max(more, key=lambda y: good[y])
         if not any(longer.startswith(y) or y.startswith(longer) for y in picked):
             picked.append(longer)
-        if len(picked) == most:
-            break
     return picked
 
 
 def fit(bags: list[list[bytes]], toxic: np.ndarray) -> Machine:
     """The machine for bags of strings."""
-    picked = choose(bags, toxic, LANDMARKS - LANDMARKS // 4) if toxic.any() and not toxic.all() else []
+    picked = choose(bags, toxic) if toxic.any() and not toxic.all() else []
     if not picked:
         return Machine(None)
-    every = sorted({x[:WINDOW] for bag in bags for x in bag if len(x) >= 4})
+    every = sorted({x[:WINDOW] for bag in bags for x in bag})
     place = {x: i for i, x in enumerate(every)}
     matrix = padded(every, max(map(len, every)))
     first = Landmarks(picked)
     i, j, k = first.values(matrix)
     nearest = np.zeros(len(every))
     np.maximum.at(nearest, i, k)
-    clean = {x[:WINDOW] for bag, bad in zip(bags, toxic, strict=True) if not bad for x in bag if len(x) >= 4}
+    clean = {x[:WINDOW] for bag, bad in zip(bags, toxic, strict=True) if not bad for x in bag}
     near: list[bytes] = []
     for x in sorted((x for x in clean if nearest[place[x]] > 0), key=lambda x: (-nearest[place[x]], x)):
         # the stretch of a clean string that is closest to a landmark
@@ -272,12 +291,12 @@ def fit(bags: list[list[bytes]], toxic: np.ndarray) -> Machine:
         best = cuts[int(a[v.argmax()])] if len(a) else x[:8]
         if best not in near and best not in picked:
             near.append(best)
-        if len(near) == NEAR:
+        if len(near) == max(NEAR, len(picked) // 2):
             break
     marks = Landmarks(picked + near)
     m, bad_marks = len(marks.strings), len(picked)
     # the landmarks with a letter put in or taken twice are labelled like them
-    gapped = sorted({x[:a] + y + x[a:] for x in picked for a in range(1, len(x)) for y in (b"x", b"q", x[a - 1 : a])} - clean)
+    gapped = sorted({x[:a] + y + x[a:] for x in picked if x[:1] != b"\x01" for a in range(1, len(x)) for y in (b"x", b"q", x[a - 1 : a])} - clean)
     rows = np.vstack([matrix, padded(gapped, matrix.shape[1])])
     i, j, k = marks.values(rows)
     order = np.unique(i)
@@ -286,7 +305,8 @@ def fit(bags: list[list[bytes]], toxic: np.ndarray) -> Machine:
     row = {every[x]: y for y, x in enumerate(order) if x < len(every)}
     members = [[row[x[:WINDOW]] for x in bag if x[:WINDOW] in row] for bag in bags]
     a, b = np.divmod(np.arange(m * m), m)
-    full = (kernel(marks.matrix[a], marks.matrix[b]) * marks.scale[a] * marks.scale[b]).reshape(m, m)
+    cells = [kernel(marks.matrix[a[k]], marks.matrix[b[k]]) for k in np.split(np.arange(m * m), range(8192, m * m, 8192))]
+    full = (np.concatenate(cells) * marks.scale[a] * marks.scale[b]).reshape(m, m)
     values, vectors = np.linalg.eigh(full + 1e-6 * np.eye(m))
     root = vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T
     features = dense @ root
@@ -345,8 +365,10 @@ def _bag_kernel(batch: pa.RecordBatch) -> dict:
     raw = letters.tobytes()
     bags: list[set] = [set() for _ in range(batch.num_rows)]
     for a, b, d in zip(start.tolist(), end.tolist(), doc.tolist(), strict=True):
-        if b - a >= 4:
+        if b - a >= SHORT:
             bags[d].add(raw[a:b])
+        elif b > a:
+            bags[d].add(b"\x01" + raw[a:b] + b"\x02")
     return {"toxic": batch.column("toxic"), "bag": pa.array([sorted(x) for x in bags], pa.list_(pa.binary()))}
 
 
