@@ -1,9 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training adds up, over all labelled documents, how often each hashed n-gram
-occurs per language; every task sends one count matrix of fixed size
-(languages x BUCKETS), so what is shuffled does not grow with its texts.  The
-log-probability matrix has the same fixed size and is broadcast.  Scoring sums
+occurs per language, BLOCK languages at a time; every task sends one count
+matrix (languages x BUCKETS), so what is shuffled does not grow with its texts.
+The log-probability matrix of all languages is broadcast: 256 KB a language.  Scoring sums
 its rows over the n-grams of a text in numpy.
 
 Defined cases: a text that is null or has no letter is `und` with score 0;
@@ -29,8 +29,8 @@ from .textkit import array_rows, id_part, map_text, span_sums, sum_arrays, text_
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 SMOOTHING = 0.1
-#: Most languages that a model holds; more raise an error instead of growing the broadcast.
-MAX_LANGUAGES = 128
+#: Languages counted in one pass over the training texts; more take further passes.
+BLOCK = 128
 _SEEDS = [np.uint32(x) for x in (0, 2654435761, 2246822519, 3266489917)]
 
 
@@ -73,10 +73,19 @@ def grams(codes: np.ndarray, letters: np.ndarray, bounds: np.ndarray):
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """The languages and the float32 matrix of log-probabilities (BUCKETS x languages) of docs(text, lang)."""
     named = docs.filter(F.col("lang").isNotNull()).select("text", "lang")
-    found = [r[0] for r in named.groupBy("lang").count().select("lang").limit(MAX_LANGUAGES + 1).collect()]
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = [r[0] for r in named.groupBy("lang").count().select("lang").collect()]
     names = sorted(found)
+    logs = np.zeros((BUCKETS, len(names)), np.float32)
+    for lo in range(0, len(names), BLOCK):
+        own = names[lo : lo + BLOCK]
+        counts = _counts(named if len(names) <= BLOCK else named.filter(F.col("lang").isin(own)), own)
+        smooth = counts + SMOOTHING
+        logs[:, lo : lo + BLOCK] = np.log(smooth / smooth.sum(1, keepdims=True)).T
+    return names, logs
+
+
+def _counts(named: DataFrame, names: list[str]) -> np.ndarray:
+    """The n-gram counts (languages x BUCKETS) of named(text, lang), all of whose languages are in `names`."""
     place = {x: i for i, x in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,8 +103,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     counts = np.zeros((len(names), BUCKETS))
     for lang, found in sum_arrays(named.mapInArrow(count, "part int, counts binary")).items():
         counts[lang] = found
-    smooth = counts + SMOOTHING
-    return names, np.log(smooth / smooth.sum(1, keepdims=True)).T.astype(np.float32).copy()
+    return counts
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:

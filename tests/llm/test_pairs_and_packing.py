@@ -196,6 +196,15 @@ def test_language_of_odd_rows(spark):
         assert (r.lang_pred == "und") == (r.doc_id in (1, 2, 3)) and 0 <= r.score <= 1
 
 
+def test_more_languages_than_a_block(spark):
+    # 130 languages, each with a word of its own
+    names = [f"l{i:03}" for i in range(130)]
+    words = {x: "".join(chr(97 + (i * 7 + k * k * (i // 26 + 3)) % 26) for k in range(12)) for i, x in enumerate(names)}
+    table = docs(spark, [(i, f"{words[x]} " * 20, x) for i, x in enumerate(names)])
+    got = {r.doc_id: r.lang_pred for r in langid.predict(table, langid.train(table)).collect()}
+    assert len(set(words.values())) == 130 and got == dict(enumerate(names))
+
+
 def test_language_held_out_accuracy(spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     rows = langid.op7(table).filter("held_out").join(table.select("doc_id", "lang"), "doc_id").collect()
