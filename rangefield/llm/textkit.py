@@ -11,6 +11,7 @@ text counts as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -155,6 +156,26 @@ def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.Reco
         yield batch.slice(int(lo), int(hi - lo))
 
 
+def release() -> None:
+    """Gives the memory that a task has freed back to the machine; Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names for helper columns that no input column has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def map_text(
     df: DataFrame, kernel: Callable[[pa.RecordBatch], dict | Iterable[dict] | None], schema: str, column: str = "text"
 ) -> DataFrame:
@@ -170,6 +191,7 @@ def map_text(
                 out = kernel(part)
                 if out is not None:
                     yield to_batch(out, arrow)
+        release()
 
     return df.mapInArrow(run, schema)
 

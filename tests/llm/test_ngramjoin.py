@@ -102,6 +102,41 @@ def test_units_of_one_group(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_blocks_and_spread_shingles(spark, monkeypatch):
+    # tiny blocks and keys: hot shingles are posted under several keys, large buckets compared block by block
+    monkeypatch.setattr(ngramjoin, "BLOCK", 24)
+    monkeypatch.setattr(ngramjoin, "SPREAD", 30)
+    rows = variants(5, 2, 150, 80, 7) + variants(6, 1, 90, 60, 2)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_difference_bound_drops_no_link():
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 60, 400, 3000):
+        for _ in range(30):
+            base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            other = np.concatenate([base[rng.integers(0, n // 3 + 1) :], rng.integers(0, 1 << 63, rng.integers(0, n // 3 + 1), dtype=np.uint64)])
+            both = [np.unique(base), np.unique(other)]
+            values, bounds = np.concatenate(both), np.array([0, len(both[0]), len(both[0]) + len(both[1])])
+            bits = ngramjoin._bits(ngramjoin._parities(values, bounds).to_numpy(zero_copy_only=False))
+            apart, ok = ngramjoin._near(bits[:1], bits[1:], np.array([len(values)]), 75)
+            common = len(np.intersect1d(*both))
+            assert apart[0] <= len(values) - 2 * common
+            assert ok[0] or 100 * common < 75 * (len(values) - common)
+
+
+def test_no_id_and_other_columns(spark):
+    text = " ".join(f"t{i}" for i in range(40))
+    rows = [(None, text), (None, text), (3, text), (4, text + " more"), (5, "short"), (None, "short"), (6, None), (7, ""), (4, text + " more")]
+    table = spark.createDataFrame([(d, t, 1, "x", 2.0, b"y", 4) for d, t in rows], "doc_id int, text string, goes int, k string, p double, place binary, key int")
+    joined = sorted(((r.doc_id or 0), r.n_shingles, r.component_id) for r in ngramjoin.join(table).collect())
+    assert joined == [(0, 1, 5), (0, 36, 3), (0, 36, 3), (3, 36, 3), (4, 37, 3), (4, 37, 3), (5, 1, 5), (6, 0, 6), (7, 0, 7)]
+    kept = ngramjoin.distinct(table)
+    assert kept.columns == table.columns and kept.schema == table.schema
+    assert sorted((r.doc_id or 0, r.goes, r.k, r.p, bytes(r.place), r.key) for r in kept.collect()) == [(d, 1, "x", 2.0, b"y", 4) for d in (0, 0, 0, 3, 5, 6, 7)]
+
+
 def test_mixed_hub_that_is_the_root_of_its_component(spark, monkeypatch):
     # h and m share prefix and size, not their words; a chain of small buckets leads from h to x, and only m is like x besides
     monkeypatch.setattr(ngramjoin, "SMALL", 2)
