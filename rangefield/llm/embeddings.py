@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, forest
 from .scratch import save
 from .textkit import mix
 
@@ -100,24 +100,6 @@ def _to_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from each node of the links a-b to the least node of its component."""
-    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    i, j = flat[: len(a)], flat[len(a) :]
-    low = np.arange(len(nodes))
-    while True:
-        least = np.minimum(low[i], low[j])
-        new = low.copy()
-        np.minimum.at(new, i, least)
-        np.minimum.at(new, j, least)
-        new = new[new]
-        if (new == low).all():
-            break
-        low = new
-    moved = low != np.arange(len(nodes))
-    return nodes[moved], nodes[low[moved]]
-
-
 def _pairs(rows: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(cid, links) and (a, b) of sorted rows that hold whole task keys."""
     key = rows.column("bucket").to_numpy()
@@ -177,7 +159,7 @@ def _emit(a, b, meets, tab, cid, mult):
         return
     nodes, flat = np.unique(np.concatenate([cid[a], cid[b]]), return_inverse=True)
     links = np.bincount(flat, weights=np.concatenate([mult[b], mult[a]])).astype(np.int64)
-    yield (nodes, links, *_forest(cid[a], cid[b]))
+    yield (nodes, links, *forest(cid[a], cid[b]))
 
 
 def links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

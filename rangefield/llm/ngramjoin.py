@@ -414,6 +414,18 @@ def _pick(df: DataFrame, bits: Broadcast, size: int, column: str, flagged: bool
     return df.withColumn(place, _place(column, 8 * size)).mapInArrow(pick, df.schema)
 
 
+def _matching(size: int):
+    """Keeps the rows (uid, text) whose text is that of the unit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                found, bounds = _sets(part.column("text"), size, None)
+                yield part.filter(pa.array(_prints(found, bounds, np.diff(bounds), 1).view(np.int64) == part.column("uid").to_numpy()))
+
+    return run
+
+
 def verify(pairs: DataFrame, units: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
     """The pairs(a, b) of units whose texts are similar enough; saved."""
     used = save(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct().join(units.select("uid", "doc_id"), "uid"))
@@ -422,6 +434,10 @@ def verify(pairs: DataFrame, units: DataFrame, docs: DataFrame, percent: int, si
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     texts = save(_pick(read, shared, len(bits), "doc_id").join(used, "doc_id").select("uid", "text"))
     shared.destroy()
+    if texts.count() > used.count():  # an id of several rows: one that holds the unit's text is enough
+        own = texts.mapInArrow(_matching(size), texts.schema).dropDuplicates(["uid"])
+        texts, several = save(own), texts
+        drop(several)
     first = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), "a")
     both = first.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
@@ -432,7 +448,7 @@ def verify(pairs: DataFrame, units: DataFrame, docs: DataFrame, percent: int, si
                 for side in ("a", "b"):
                     found, bounds = _sets(part.column(f"text_{side}"), size, None)
                     n = np.diff(bounds)
-                    # a doc_id may stand for several rows: only the text that the unit names counts
+                    # a doc_id may stand for another text than the one that the unit names
                     ok &= _prints(found, bounds, n, 1).view(np.int64) == part.column(side).to_numpy()
                     sets.append((found, n))
                 (x, n), (y, m) = sets
@@ -447,7 +463,7 @@ def verify(pairs: DataFrame, units: DataFrame, docs: DataFrame, percent: int, si
                 yield part.select(["a", "b"]).take(at)
         release()
 
-    out = save(both.mapInArrow(check, "a long, b long").distinct())
+    out = save(both.mapInArrow(check, "a long, b long"))
     drop(used)
     drop(texts)
     return out
@@ -528,8 +544,7 @@ def join(docs: DataFrame, percent: int = 75, size: int = SIZE) -> DataFrame:
     drop(repeated)
 
     pairs = save(found.filter("token IS NULL").select("a", "b").distinct())
-    big = save(found.filter("token IS NOT NULL").select("token", F.col("a").alias("hub"), "at").distinct())
-    drop(found)
+    big = found.filter("token IS NOT NULL").select("token", F.col("a").alias("hub"), "at")
     links = verify(pairs, units, docs, percent, size)
     parts = _parts(units, links)
     for closest in (True, False):
@@ -546,7 +561,7 @@ def join(docs: DataFrame, percent: int = 75, size: int = SIZE) -> DataFrame:
         drop(rest)
     names = save(parts.groupBy("part").agg(F.min("doc_id").alias("component_id")))
     by_unit = save(parts.join(names, "part").select("uid", "component_id"))
-    for x in (units, several, big, parts, names):
+    for x in (units, several, found, parts, names):
         drop(x)
     out = book.select("doc_id", F.col("n").alias("n_shingles"), "uid").join(by_unit, "uid", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
