@@ -14,11 +14,20 @@ landmark's length, normalised by both norms.  Landmarks are word beginnings that
 occur in far more toxic than clean labelled texts, as many as pass that test,
 and the stretches of clean strings closest to those.  The feature map is the
 Nystroem one, K_mm^(-1/2) k_m(x); a linear support vector machine (squared
-hinge) is trained on labelled sentences: the strings of toxic texts that match
-a toxic landmark, and those landmarks with a letter inserted, are positive, and
-every string of a clean text is negative.  A text scores as its highest string, mapped to a probability by
-logistic calibration.  Strings repeat a lot, so scores are kept in a bounded
-cache per process.
+hinge) is trained on the strings of labelled texts: those of toxic texts that
+match a toxic landmark, and such landmarks with one or two letters put in, are
+positive, and every string of a clean text is negative.
+
+A text is scored by all its different strings on the toxic side of the machine,
+each weighted by the landmark that it is closest to.  A logistic regression on
+the labelled texts finds these weights, so that a landmark that clean texts
+hold by chance has to be met by several strings, and by more of them in a long
+text.  A landmark that clean texts never hold decides alone: the text's margin
+is at least the log-odds of the labelled texts that meet it.
+A landmark that is split over
+words ("tra sh") counts where a word begins with it once blanks and marks are
+left out.  Strings repeat a lot, so their values are kept in a bounded cache
+during a task.
 
 Defined cases: a null or empty text has no string and gets the score of the
 bias; texts of any length are read whole; repeated rows score alike; without
@@ -30,25 +39,31 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .textkit import Words, id_part, labelled, map_text
+from .textkit import Words, id_part, labelled, map_text, release, text_slices, to_batch
 
 ORDER = 3
-DECAY = 0.7
+DECAY = 0.8
 SHARE = 0.8
 #: Texts that a toxic landmark has to occur in at least; the log-likelihood test mostly asks for more.
 LEAST = 6
 #: What that test asks for beyond the logarithm of the number of beginnings tried: one chance landmark in a thousand models.
 CERTAIN = np.log(1000)
+#: How much more common a toxic landmark is among toxic texts, at least.
+RATIO = 8
 #: Strings of fewer letters stand between two marks that no text has, and match as a whole.
 SHORT = 4
-#: Labelled rows of each class that training takes at most.
+#: Labelled rows of each class that training takes at most, and the bytes of text up to which it takes them: the driver gets no more than both allow.
 SAMPLE = 2000
+TRAINING_BYTES = 1 << 15
 LONGEST = 12
 #: A landmark is compared with stretches of its own length and of so many letters more.
 GAPS = (0, 3)
@@ -57,6 +72,12 @@ NEAR = 24
 WINDOW = 48
 SLOTS = 1 << 20
 PREDICT_AT = 0.7
+NOTHING = -50.0
+DOUBT = 4
+#: Weight of the landmarks with letters put in, against that of the strings found.
+GAPPED = 4.0
+#: Penalty on squared weights of the regression over texts.
+RIDGE = 0.05
 
 _INNER = np.zeros(256, bool)  # what stays of a word
 _INNER[97:123] = True
@@ -140,23 +161,31 @@ class Landmarks:
         return i, j, out
 
 
+def fragments(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, end, document) of the words of a slice without marks, those without a letter left out."""
+    inner = _INNER[words.buf]
+    total = np.zeros(len(inner) + 1, np.int64)
+    np.cumsum(inner, out=total[1:])
+    start, end = total[words.start], total[words.end]
+    full = end > start
+    return words.buf[inner], start[full], end[full], words.doc[full]
+
+
 def strings_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, start, end, document) of the strings of a slice: stripped words, then joined single letters."""
     inner = _INNER[words.buf]
     total = np.zeros(len(inner) + 1, np.int64)
     np.cumsum(inner, out=total[1:])
-    letters = words.buf[inner]
-    start, end = total[words.start], total[words.end]
-    doc = words.doc
-    one = (end - start == 1).astype(np.int8)
-    edge = np.zeros(len(one) + 1, bool)
-    edge[words.range] = True
-    run_start = one.astype(bool) & (np.concatenate([[True], one[:-1] == 0]) | edge[:-1]) if len(one) else np.zeros(0, bool)
-    run_end = one.astype(bool) & (np.concatenate([one[1:] == 0, [True]]) | edge[1:]) if len(one) else np.zeros(0, bool)
-    a, b = np.flatnonzero(run_start), np.flatnonzero(run_end)
-    long = b - a >= 3
-    a, b = a[long], b[long]
-    return letters, np.concatenate([start, start[a]]), np.concatenate([end, end[b]]), np.concatenate([doc, doc[a]])
+    letters, first, last, of = fragments(words)
+    # runs of single letters, whatever marks stand between them
+    one = last - first == 1
+    joined = np.zeros(len(one), bool)
+    joined[1:] = one[1:] & one[:-1] & (of[1:] == of[:-1])
+    run = np.flatnonzero(joined & ~np.concatenate([[False], joined[:-1]])) - 1 if len(one) else np.zeros(0, np.int64)
+    stop = np.flatnonzero(joined & ~np.concatenate([joined[1:], [False]])) if len(one) else np.zeros(0, np.int64)
+    long = stop - run >= 3
+    run, stop = run[long], stop[long]
+    return letters, np.concatenate([total[words.start], first[run]]), np.concatenate([total[words.end], last[stop]]), np.concatenate([words.doc, of[run]])
 
 
 def windows(letters: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,33 +215,59 @@ def framed(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Machine:
-    """A trained model; `weights` are per landmark, after the Nystroem map was folded in."""
+    """A trained model; `weights` are per landmark, after the Nystroem map was folded in, `votes` and `alone` per toxic landmark."""
 
-    def __init__(self, landmarks: Landmarks | None, weights=None, bias: float = 0.0, slope: float = 0.0, offset: float = -50.0):
-        self.landmarks, self.weights, self.bias, self.slope, self.offset = landmarks, weights, bias, slope, offset
+    def __init__(self, landmarks: Landmarks | None, weights=None, bias: float = 0.0, votes=None, alone=None, offset: float = 0.0, per_word: float = 0.0):
+        self.landmarks, self.weights, self.bias = landmarks, weights, bias
+        self.votes, self.alone, self.offset, self.per_word = votes, alone, offset, per_word
 
-    def strings(self, rows: np.ndarray) -> np.ndarray:
-        """The decision value of each row of a byte matrix."""
-        out = np.full(len(rows), self.bias)
+    def sides(self, rows: np.ndarray, marks: int) -> tuple[np.ndarray, np.ndarray]:
+        """How far each row of a byte matrix is on the toxic side, from 0 to 1, and the toxic landmark closest to it."""
+        value, kind = np.zeros(len(rows)), np.zeros(len(rows), np.int64)
         for lo in range(0, len(rows), 20_000):
             part = rows[lo : lo + 20_000]
             i, j, k = self.landmarks.values(part)
-            out[lo : lo + len(part)] += np.bincount(i, weights=k * self.weights[j], minlength=len(part))
-        return out
+            total = self.bias + np.bincount(i, weights=k * self.weights[j], minlength=len(part))
+            met = np.zeros((len(part), marks))
+            toxic = j < marks
+            met[i[toxic], j[toxic]] = k[toxic]
+            value[lo : lo + len(part)] = np.where(met.any(1), np.clip(total, 0, 1), 0.0)
+            kind[lo : lo + len(part)] = met.argmax(1)
+        return value, kind
+
+    def strings(self, rows: np.ndarray) -> np.ndarray:
+        """(vote, evidence) of each row of a byte matrix: what it adds to a text's margin, and the margin that it gives alone."""
+        value, kind = self.sides(rows, len(self.votes))
+        return np.stack([value * self.votes[kind], np.where(value > 0.5, (2 * value - 1) * self.alone[kind], NOTHING)], 1)
+
+    def split(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(document, vote and evidence) of toxic landmarks that begin with a word and go on in the next ones."""
+        letters, start, end, doc = fragments(words)
+        out = [(np.zeros(0, np.int64), np.zeros((0, 2)))]
+        own = [x for x in self.landmarks.strings[: len(self.votes)] if x[:1] != b"\x01"]
+        if len(start) and own:
+            last = np.searchsorted(doc, doc, "right") - 1
+            for x, found in zip(own, self.strings(padded(own, WINDOW)), strict=True):
+                to = start + len(x)
+                at = np.flatnonzero((to > end) & (to <= end[last]) & (letters[start] == x[0]))
+                for k in range(1, len(x)):
+                    at = at[letters[start[at] + k] == x[k]]
+                at = np.unique(doc[at])
+                out.append((at, np.repeat(found[None, :], len(at), 0)))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
     def texts(self, column: pa.Array, cache: dict) -> np.ndarray:
-        """The highest decision value of each text's strings."""
+        """The margin of each text."""
         words = Words(column, lower=True)
-        best = np.full(words.n_docs, self.bias)
         letters, start, end, doc = strings_of(words)
         n = len(words.start)
-        hashes = np.concatenate([words.hashes(), np.zeros(len(start) - n, np.uint64)])
+        hashes = np.concatenate([words.hashes(), np.arange(len(start) - n, dtype=np.uint64)])
         if not cache:
-            cache["keys"], cache["values"] = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS)
+            cache["keys"], cache["values"] = np.zeros(SLOTS, np.uint64), np.zeros((SLOTS, 2), np.float32)
         slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
-        value = cache["values"][slot]
+        value = cache["values"][slot].astype(np.float64)
         todo = np.flatnonzero((cache["keys"][slot] != hashes) | (np.arange(len(start)) >= n))
-        value[todo] = self.bias
+        value[todo] = (0.0, NOTHING)
         todo = todo[end[todo] > start[todo]]
         if len(todo):
             joined = todo[todo >= n]
@@ -221,42 +276,66 @@ class Machine:
             pick = np.concatenate([plain[first], joined])
             rows, owner = windows(letters, start[pick], end[pick])
             rows = framed(rows, (end - start)[pick][owner])
-            found = np.full(len(pick), -np.inf)
+            found = np.tile([0.0, NOTHING], (len(pick), 1))
             for lo in range(0, len(rows), 50_000):
                 np.maximum.at(found, owner[lo : lo + 50_000], self.strings(rows[lo : lo + 50_000]))
             value[plain] = found[: len(first)][back]
             value[joined] = found[len(first) :]
-        fresh = np.arange(n)
-        cache["keys"][slot[fresh]], cache["values"][slot[fresh]] = hashes[fresh], value[fresh]
-        np.maximum.at(best, doc, value)
-        return best
-
-    def probability(self, values: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * values + self.offset, -50, 50)))
+        cache["keys"][slot[:n]], cache["values"][slot[:n]] = hashes[:n], value[:n]
+        # every different string of a text votes once
+        at = np.flatnonzero(value[:, 0] > 0)
+        order = at[np.lexsort((hashes[at], doc[at]))]
+        new = np.ones(len(order), bool)
+        new[1:] = (doc[order[1:]] != doc[order[:-1]]) | (hashes[order[1:]] != hashes[order[:-1]])
+        at = order[new]
+        of, more = self.split(words)
+        of, found = np.concatenate([doc[at], of]), np.concatenate([value[at], more])
+        total = self.offset + np.bincount(of, weights=found[:, 0], minlength=words.n_docs) - self.per_word * np.log1p(words.count)
+        best = np.full(words.n_docs, NOTHING)
+        np.maximum.at(best, of, found[:, 1])
+        return np.maximum(total, best)
+
+    def probability(self, margins: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(margins, -50, 50)))
+
+
+def _alike(bags: list[list[bytes]]) -> list[tuple]:
+    """A key per bag that near copies mostly share: the least checksums of its longer strings under four functions, by pairs."""
+    out = []
+    for i, bag in enumerate(bags):
+        sums = np.array([zlib.crc32(x) for x in bag if len(x) >= 6], np.uint64)
+        if len(sums) < 8:
+            out.append(((i,),))
+            continue
+        low = [int((sums * np.uint64(k) % np.uint64(4294967291)).min()) for k in (1, 2654435761, 40503, 2246822519)]
+        out.append(tuple((a, b, low[a], low[b]) for a in range(4) for b in range(a)))
+    return out
 
 
 def choose(bags: list[list[bytes]], toxic: np.ndarray) -> list[bytes]:
     """Word beginnings of SHORT to LONGEST bytes, and whole short strings, that mark toxic texts."""
     inside, outside = Counter(), Counter()
     seen: set = set()
-    for bag, bad in zip(bags, toxic, strict=True):
-        # copies of one text, told by the least checksum of their long strings, count once
-        key = (bool(bad), min((zlib.crc32(x) for x in bag if len(x) >= 8), default=len(seen)))
-        if key in seen:
+    texts = [0, 0]
+    for bag, bad, keys in zip(bags, toxic, _alike(bags), strict=True):
+        # near copies of one text count once
+        own = {(bool(bad), *x) for x in keys}
+        if own & seen:
             continue
-        seen.add(key)
+        seen |= own
+        texts[int(bad)] += 1
         starts = {x[:k] for x in bag if x[:1] != b"\x01" for k in range(SHORT, min(len(x), LONGEST) + 1)} | {x for x in bag if x[:1] == b"\x01"}
         (inside if bad else outside).update(starts)
-    odds = max(1, int(toxic.sum())) / max(1, int((~toxic).sum()))
+    odds = max(1, texts[1]) / max(1, texts[0])
     # many beginnings are tried, so a few texts prove nothing: the binomial log-likelihood has to be far from chance for as many tries
     tried = {x: n for x, n in inside.items() if n >= LEAST}
-    share = sum(bad for bad, _ in seen) / max(1, len(seen))
+    share = texts[1] / max(1, sum(texts))
     need = np.log(max(1, len(tried))) + CERTAIN
 
     def evidence(n: int, k: int) -> float:
         return n * np.log(n / ((n + k) * share)) + (k * np.log(k / ((n + k) * (1 - share))) if k else 0.0)
 
-    good = {x: n for x, n in tried.items() if n >= 20 * odds * outside.get(x, 0) and evidence(n, outside.get(x, 0)) >= need}
+    good = {x: n for x, n in tried.items() if n >= RATIO * odds * outside.get(x, 0) and evidence(n, outside.get(x, 0)) >= need}
     picked: list[bytes] = []
     for x in sorted(good, key=lambda x: (-good[x], -len(x), x)):
         longer = x
@@ -270,8 +349,8 @@ def choose(bags: list[list[bytes]], toxic: np.ndarray) -> list[bytes]:
     return picked
 
 
-def fit(bags: list[list[bytes]], toxic: np.ndarray) -> Machine:
-    """The machine for bags of strings."""
+def fit(bags: list[list[bytes]], toxic: np.ndarray, sizes: np.ndarray) -> Machine:
+    """The machine for bags of strings; sizes: the words of each text."""
     picked = choose(bags, toxic) if toxic.any() and not toxic.all() else []
     if not picked:
         return Machine(None)
@@ -295,8 +374,11 @@ def fit(bags: list[list[bytes]], toxic: np.ndarray) -> Machine:
             break
     marks = Landmarks(picked + near)
     m, bad_marks = len(marks.strings), len(picked)
-    # the landmarks with a letter put in or taken twice are labelled like them
-    gapped = sorted({x[:a] + y + x[a:] for x in picked if x[:1] != b"\x01" for a in range(1, len(x)) for y in (b"x", b"q", x[a - 1 : a])} - clean)
+    # the landmarks with a letter put in or taken twice, and with letters put in at two places, are labelled like them
+    plain = [x for x in picked if x[:1] != b"\x01"]
+    gapped = {x[:a] + y + x[a:] for x in plain for a in range(1, len(x)) for y in (b"x", b"q", x[a - 1 : a])}
+    gapped |= {x[:a] + b"x" + x[a:b] + b"q" + x[b:] for x in plain for a in range(1, len(x)) for b in range(a, len(x))}
+    gapped = sorted(gapped - clean)
     rows = np.vstack([matrix, padded(gapped, matrix.shape[1])])
     i, j, k = marks.values(rows)
     order = np.unique(i)
@@ -319,13 +401,21 @@ def fit(bags: list[list[bytes]], toxic: np.ndarray) -> Machine:
     x = np.vstack([features[held], features[made], features[negatives], np.zeros((1, m))])
     y = np.concatenate([np.ones(len(held) + len(made)), -np.ones(len(negatives) + 1)])
     share = 1 / np.bincount(kind, minlength=bad_marks)[kind] / bad_marks
-    weight = np.concatenate([share, np.full(len(made), 0.5 / max(1, len(made))), np.full(len(negatives) + 1, 4.0 / (len(negatives) + 1))])
+    weight = np.concatenate([share, np.full(len(made), GAPPED / max(1, len(made))), np.full(len(negatives) + 1, 4.0 / (len(negatives) + 1))])
     u, c = _svm(x, y, weight)
     weights = root @ u
     machine = Machine(marks, weights, c)
-    value = features @ u + c
-    top = np.array([max([c, *(value[r] for r in own)]) for own in members])
-    machine.slope, machine.offset = _calibrate(top, toxic)
+    side, closest = machine.sides(matrix, bad_marks)
+    counts, met = np.zeros((len(bags), bad_marks)), np.zeros((len(bags), bad_marks), bool)
+    for d, bag in enumerate(bags):
+        for x in bag:
+            at = place[x[:WINDOW]]
+            if side[at] > 0:
+                counts[d, closest[at]] += side[at]
+                met[d, closest[at]] |= side[at] >= 0.5
+    machine.votes, machine.per_word, machine.offset = _weigh(counts, np.log1p(sizes), toxic)
+    # the log-odds of a text that meets a landmark, as if DOUBT more clean texts had met it
+    machine.alone = np.log((met[toxic].sum(0) + 0.5) / (met[~toxic].sum(0) + 0.5 + DOUBT))
     return machine
 
 
@@ -345,18 +435,28 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3)
     return theta[:-1], float(theta[-1])
 
 
-def _calibrate(value: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, with smoothed targets and at least a slope of 1."""
-    up, down = int(toxic.sum()), int((~toxic).sum())
-    target = np.where(toxic, (up + 1) / (up + 2), 1 / (down + 2))
-    weight = np.where(toxic, 0.5 / up, 0.5 / down) * len(toxic)
-    theta = np.array([1.0, 0.0])
-    z = np.stack([value, np.ones(len(value))], 1)
-    for _ in range(50):
+def _weigh(counts: np.ndarray, length: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Weights of the landmarks and of the length, neither below 0, and the offset of a logistic regression."""
+    z = np.hstack([counts, -length[:, None], np.ones((len(counts), 1))])
+    theta = np.zeros(z.shape[1])
+    theta[-1] = -1.0
+    free = np.zeros(len(theta), bool)
+    free[-1] = True
+    target = toxic.astype(np.float64)
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ theta, -30, 30)))
-        h = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2)
-        theta = theta + np.clip(np.linalg.solve(h, z.T @ (weight * (target - p)) - 1e-3 * theta), -2, 2)
-    return max(1.0, float(theta[0])), float(theta[1])
+        slope = z.T @ (target - p) - RIDGE * theta * ~free
+        # what stands at 0 and is pushed below stays there
+        live = free | (theta > 0) | (slope > 0)
+        own = z[:, live]
+        step = np.linalg.solve((own * (p * (1 - p) + 1e-6)[:, None]).T @ own + RIDGE * np.eye(live.sum()), slope[live])
+        new = theta.copy()
+        new[live] += np.clip(step, -2, 2)
+        new[~free] = np.maximum(new[~free], 0)
+        if np.abs(new - theta).max() < 1e-7:
+            break
+        theta = new
+    return theta[:-2], float(theta[-2]), float(theta[-1])
 
 
 def _bag_kernel(batch: pa.RecordBatch) -> dict:
@@ -369,36 +469,32 @@ def _bag_kernel(batch: pa.RecordBatch) -> dict:
             bags[d].add(raw[a:b])
         elif b > a:
             bags[d].add(b"\x01" + raw[a:b] + b"\x02")
-    return {"toxic": batch.column("toxic"), "bag": pa.array([sorted(x) for x in bags], pa.list_(pa.binary()))}
+    return {"toxic": batch.column("toxic"), "size": words.count, "bag": pa.array([sorted(x) for x in bags], pa.list_(pa.binary()))}
 
 
 def train(docs: DataFrame, labels: DataFrame, where) -> Machine:
     """A machine from at most SAMPLE labelled rows of each class for which `where` holds."""
-    rows = map_text(labelled(docs, labels, "toxic", where, SAMPLE).select("text", "toxic"), _bag_kernel, "toxic int, bag array<binary>").toArrow()
-    return fit(rows.column("bag").to_pylist(), rows.column("toxic").to_numpy() > 0)
-
-
-_CACHE: dict = {}
+    some = labelled(docs, labels, "toxic", where, SAMPLE).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAINING_BYTES)
+    rows = map_text(some.select("text", "toxic"), _bag_kernel, "toxic int, size long, bag array<binary>").toArrow()
+    return fit(rows.column("bag").to_pylist(), rows.column("toxic").to_numpy() > 0, rows.column("size").to_numpy())
 
 
-def score(docs: DataFrame, machine: Machine, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`columns` of docs with `score`, the probability of toxicity."""
+def score(docs: DataFrame, machine: Machine, columns: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """`columns` of docs with the probability of toxicity as `name`."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    kinds = {c: docs.schema[c].dataType.simpleString() for c in columns}
-
-    def kernel(batch: pa.RecordBatch) -> dict:
-        own = shared.value
-        if own.landmarks is None:
-            value = np.zeros(batch.num_rows)
-        else:
-            if _CACHE.get("of") is not own:
-                _CACHE.clear()
-                _CACHE["of"], _CACHE["cache"] = own, {}
-            value = own.probability(own.texts(batch.column("text"), _CACHE["cache"]))
-        return {c: batch.column(c) for c in columns} | {"score": value}
-
-    fields = "".join(f"{c} {t}, " for c, t in kinds.items()) + "score double"
-    return map_text(docs.select(*dict.fromkeys([*columns, "text"])), kernel, fields)
+    schema = StructType([docs.schema[c] for c in columns]).add(name, "double")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, cache = shared.value, {}
+        for batch in batches:
+            for part in text_slices(batch):
+                value = np.zeros(part.num_rows) if own.landmarks is None else own.probability(own.texts(part.column("text"), cache))
+                yield to_batch({c: part.column(c) for c in columns} | {name: value}, arrow)
+        cache.clear()
+        release()
+
+    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, schema)
 
 
 def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:
