@@ -141,11 +141,15 @@ def _prints(values: np.ndarray, bounds: np.ndarray, n: np.ndarray, salt: int) ->
 
 def _parities(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """The parity sketch of each set: every member flips one bit."""
-    n = len(bounds) - 1
-    bit = (mix(values ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
-    owner = np.repeat(np.arange(n), np.diff(bounds))
-    odd = np.bincount(owner * SKETCH_BITS + bit, minlength=n * SKETCH_BITS).reshape(n, SKETCH_BITS) & 1
-    return ragged(np.packbits(odd.astype(np.uint8), axis=1).ravel(), np.arange(n + 1) * (SKETCH_BITS // 8))
+    n, size = len(bounds) - 1, np.diff(bounds)
+    out = np.zeros((n, SKETCH_BITS // 8), np.uint8)
+    for lo in range(0, n, 1024):
+        hi = min(lo + 1024, n)
+        bit = (mix(values[bounds[lo] : bounds[hi]] ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
+        owner = np.repeat(np.arange(hi - lo), size[lo:hi])
+        odd = np.bincount(owner * SKETCH_BITS + bit, minlength=(hi - lo) * SKETCH_BITS).reshape(-1, SKETCH_BITS) & 1
+        out[lo:hi] = np.packbits(odd.astype(np.uint8), axis=1)
+    return ragged(out.ravel(), np.arange(n + 1) * (SKETCH_BITS // 8))
 
 
 def digests(docs: DataFrame, counts: Broadcast, percent: int, size: int) -> DataFrame:

@@ -59,7 +59,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END_
         crc = [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(at.tolist(), length.tolist(), strict=True)]
         return {"doc_id": batch.column("doc_id").take(pa.array(doc)), "piece": number, "start": begin, "length": length, "ids_crc32": crc}
 
-    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, PIECES)
+    # the cache of a worker's tokenizer ends with the task
+    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, PIECES, after=lambda: tokenizer(path).clear())
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from .textkit import Words, map_text, span_sums
 
@@ -110,12 +111,12 @@ def ledger(docs: DataFrame, keep: list[str] | None = None, text: str = "text") -
     """docs' columns named in `keep` (default: all) with the measurements and `fail_mask`."""
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in MEASURE_NAMES and c != "fail_mask"]
     read = docs.select(*keep, F.col(text).alias("__text"))
-    fields = "".join(f"{docs.select(c).schema.fields[0].name} {docs.select(c).schema.fields[0].dataType.simpleString()}, " for c in keep)
+    fields = StructType([docs.schema[c] for c in keep] + _parse_datatype_string(MEASURES).fields)
 
     def kernel(batch: pa.RecordBatch) -> dict:
         return {c: batch.column(c) for c in keep} | measure(batch, "__text")
 
-    out = map_text(read, kernel, fields + MEASURES, "__text")
+    out = map_text(read, kernel, fields, "__text")
     bits = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(RULES.values()))
     return out.withColumn("fail_mask", F.expr(f"CAST({bits} AS BIGINT)"))
 

@@ -23,7 +23,7 @@ each weighted by the landmark that it is closest to.  A logistic regression on
 the labelled texts finds these weights, so that a landmark that clean texts
 hold by chance has to be met by several strings, and by more of them in a long
 text.  A landmark that clean texts never hold decides alone: the text's margin
-is at least the log-odds of the labelled texts that meet it.
+is at least the log-odds of the labelled texts with one string close to it.
 A landmark that is split over
 words ("tra sh") counts where a word begins with it once blanks and marks are
 left out.  Strings repeat a lot, so their values are kept in a bounded cache
@@ -74,8 +74,8 @@ SLOTS = 1 << 20
 PREDICT_AT = 0.7
 NOTHING = -50.0
 DOUBT = 4
-#: Weight of the landmarks with letters put in, against that of the strings found.
-GAPPED = 4.0
+#: Weights of the landmarks with letters put in, and of a string that all clean texts hold, against that of all strings found.
+GAPPED, CLEAN = 4.0, 0.3
 #: Penalty on squared weights of the regression over texts.
 RIDGE = 0.05
 
@@ -401,21 +401,24 @@ def fit(bags: list[list[bytes]], toxic: np.ndarray, sizes: np.ndarray) -> Machin
     x = np.vstack([features[held], features[made], features[negatives], np.zeros((1, m))])
     y = np.concatenate([np.ones(len(held) + len(made)), -np.ones(len(negatives) + 1)])
     share = 1 / np.bincount(kind, minlength=bad_marks)[kind] / bad_marks
-    weight = np.concatenate([share, np.full(len(made), GAPPED / max(1, len(made))), np.full(len(negatives) + 1, 4.0 / (len(negatives) + 1))])
+    # a clean string weighs by the share of clean texts that hold it
+    texts = Counter(r for own, bad in zip(members, toxic, strict=True) if not bad for r in own)
+    against = CLEAN * np.array([texts[r] for r in negatives] + [(~toxic).sum() / 4]) / (~toxic).sum()
+    weight = np.concatenate([share, np.full(len(made), GAPPED / max(1, len(made))), against])
     u, c = _svm(x, y, weight)
     weights = root @ u
     machine = Machine(marks, weights, c)
     side, closest = machine.sides(matrix, bad_marks)
-    counts, met = np.zeros((len(bags), bad_marks)), np.zeros((len(bags), bad_marks), bool)
+    counts, met = np.zeros((len(bags), bad_marks)), np.zeros((len(bags), bad_marks), np.int64)
     for d, bag in enumerate(bags):
         for x in bag:
             at = place[x[:WINDOW]]
             if side[at] > 0:
                 counts[d, closest[at]] += side[at]
-                met[d, closest[at]] |= side[at] >= 0.5
+                met[d, closest[at]] += side[at] >= 0.5
     machine.votes, machine.per_word, machine.offset = _weigh(counts, np.log1p(sizes), toxic)
-    # the log-odds of a text that meets a landmark, as if DOUBT more clean texts had met it
-    machine.alone = np.log((met[toxic].sum(0) + 0.5) / (met[~toxic].sum(0) + 0.5 + DOUBT))
+    # the log-odds of a text with one string close to a landmark, as if DOUBT more clean texts had one
+    machine.alone = np.log(((met[toxic] == 1).sum(0) + 0.5) / ((met[~toxic] > 0).sum(0) + 0.5 + DOUBT))
     return machine
 
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text bytes per slice: bounds the temporary arrays of the numpy kernels.
 SLICE_BYTES = 1 << 20
@@ -177,13 +178,17 @@ def fresh(columns: list[str], *names: str) -> list[str]:
 
 
 def map_text(
-    df: DataFrame, kernel: Callable[[pa.RecordBatch], dict | Iterable[dict] | None], schema: str, column: str = "text"
+    df: DataFrame,
+    kernel: Callable[[pa.RecordBatch], dict | Iterable[dict] | None],
+    schema: str | StructType,
+    column: str = "text",
+    after: Callable[[], None] | None = None,
 ) -> DataFrame:
-    """Applies `kernel` to every text slice of df; it returns columns by name, in the order of `schema`."""
+    """Applies `kernel` to every text slice of df; it returns columns by name, in the order of `schema`.  `after` ends a task."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    arrow = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,6 +196,8 @@ def map_text(
                 out = kernel(part)
                 if out is not None:
                     yield to_batch(out, arrow)
+        if after is not None:
+            after()
         release()
 
     return df.mapInArrow(run, schema)
