@@ -20,8 +20,8 @@ from .textkit import Words, span_sums
 
 _NONE = np.int32(1 << 30)
 #: The cache: direct-mapped slots and pooled ids; it starts anew when the pool is full.
-SLOTS = 1 << 20
-POOL = 6_000_000
+SLOTS = 1 << 18
+POOL = 1_500_000
 
 _KIND = np.full(256, 3, np.uint8)
 _KIND[48:58] = 2

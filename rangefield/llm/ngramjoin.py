@@ -192,6 +192,7 @@ def _exploder(counts: Broadcast):
                 key = np.where(hot, mix(uid.view(np.uint64)) % np.maximum(keys, np.uint64(1)), np.uint64(0)).astype(np.int64)
                 at = (n << 32) | place | np.where(several, SEVERAL, 0) | np.where(hot, HOT, 0)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(uid), pa.array(at), pa.array(key)], ["token", "uid", "at", "key"])
+        release()
 
     return run
 
@@ -264,6 +265,7 @@ def _first_round(percent: int):
             if len(later):
                 none = pa.nulls(len(later), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(uid[later]), none, pa.array(token[later]), pa.array(at[later])], ["a", "b", "token", "at"])
+        release()
 
     return run
 
@@ -325,6 +327,7 @@ def _whole_buckets(percent: int, closest: bool):
                 a, b = best.pairs(uid)
                 if len(a):
                     yield _pair_batch(a, b)
+        release()
 
     return run
 
@@ -414,6 +417,7 @@ def _pick(df: DataFrame, bits: Broadcast, size: int, column: str, flagged: bool
             at = batch.column(batch.num_columns - 1).to_numpy()
             here = (flags[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == flagged
             yield batch.select(range(batch.num_columns - 1)).filter(pa.array(here))
+        release()
 
     return df.withColumn(place, _place(column, 8 * size)).mapInArrow(pick, df.schema)
 
