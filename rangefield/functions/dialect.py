@@ -16,6 +16,8 @@ FORMS: dict[str, tuple[str, str]] = {
     "div": ("(($1) div ($2))", "(($1) // ($2))"),
     "us": ("unix_micros(cast($1 as timestamp))", "epoch_us($1)"),
     "json": ("get_json_object($1, '$.$2')", "json_extract_string(CASE WHEN json_valid($1) THEN $1 END, '$.$2')"),
+    "jsonq": ("get_json_object($1, '$[\\'$2\\']')", "json_extract_string(CASE WHEN json_valid($1) THEN $1 END, '$.\"$2\"')"),
+    "isjson": ("(get_json_object($1, '$') IS NOT NULL)", "json_valid($1)"),
     "rx": ("regexp_replace($1, $2, $3)", "regexp_replace($1, $2, $3, 'g')"),
     "grab": ("regexp_extract($1, $2, $3)", "regexp_extract($1, $2, $3)"),
     "like": ("($1 RLIKE $2)", "regexp_matches($1, $2)"),

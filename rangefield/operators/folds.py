@@ -6,6 +6,8 @@ The rows of a key are sorted by (t_ms, seq) and folded with Catalyst's
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..functions.dialect import spark_sql
 from ..plans.relations import with_
 
@@ -72,5 +74,47 @@ _KALMAN_STEPS = f"""WITH RECURSIVE numbered AS (SELECT device_id, t_ms, x, y, (0
       FROM steps s JOIN numbered r ON r.device_id = s.device_id AND r.k = s.k + 1) q)
   SELECT device_id, round(x, 4) AS x, round(y, 4) AS y, round(vx, 4) AS vx, round(pp, 4) AS pp FROM steps WHERE k = n"""
 
-QUERIES = {k: spark_sql(with_(v)) for k, v in {"w02_smoothed_distance": _SMOOTH, "w04_kalman": _KALMAN, "w05_position_ema": _EMA, "w06_hysteresis": _HOLD}.items()}
-ORACLES = {k: with_(v) for k, v in {"w02_smoothed_distance": _SMOOTH_STEPS, "w04_kalman": _KALMAN_STEPS, "w05_position_ema": _EMA_STEPS, "w06_hysteresis": _HOLD_STEPS}.items()}
+#: Pushes of a node that the rate limit of 10 s lets through: it counts from the last one that went out.
+_LIMIT = """SELECT node_id, e.seq AS seq, e.t_ms AS t_ms FROM (SELECT node_id, explode(aggregate(a, named_struct('last', CAST(NULL AS BIGINT), 'out', CAST(array() AS ARRAY<STRUCT<t_ms: BIGINT, seq: BIGINT>>)),
+    (s, e) -> CASE WHEN s.last IS NULL OR e.t_ms - s.last >= 10000 THEN named_struct('last', e.t_ms, 'out', array_append(s.out, e)) ELSE s END, s -> s.out)) AS e
+  FROM (SELECT node_id, array_sort(collect_list(named_struct('t_ms', CAST(t_ms AS BIGINT), 'seq', CAST(seq AS BIGINT)))) AS a FROM settings GROUP BY node_id))"""
+_LIMIT_STEPS = """WITH RECURSIVE numbered AS (SELECT node_id, t_ms, seq, row_number() OVER (PARTITION BY node_id ORDER BY t_ms, seq) AS k FROM settings),
+  steps AS (SELECT node_id, t_ms, seq, k, t_ms AS last, true AS goes FROM numbered WHERE k = 1
+    UNION ALL SELECT r.node_id, r.t_ms, r.seq, r.k, CASE WHEN r.t_ms - s.last >= 10000 THEN r.t_ms ELSE s.last END, r.t_ms - s.last >= 10000 FROM steps s JOIN numbered r ON r.node_id = s.node_id AND r.k = s.k + 1)
+  SELECT node_id, seq, t_ms FROM steps WHERE goes"""
+
+
+#: Pins as they are recorded: the first one within a metre is taken up again, or a new one is added.
+_NEAR = "sqrt((p.x - e.x) * (p.x - e.x) + (p.y - e.y) * (p.y - e.y)) <= 1.0D"
+_PINS = f"""SELECT device_id, p.first AS first_seq, p.last AS last_seq, p.n AS n, round(p.x, 6) AS x, round(p.y, 6) AS y FROM (SELECT device_id, explode(aggregate(a, CAST(array() AS ARRAY<STRUCT<x: DOUBLE, y: DOUBLE, first: BIGINT, last: BIGINT, n: BIGINT>>),
+    (s, e) -> CASE WHEN exists(s, p -> {_NEAR}) THEN transform(s, p -> CASE WHEN p.first = filter(s, p -> {_NEAR})[0].first THEN named_struct('x', e.x, 'y', e.y, 'first', p.first, 'last', e.seq, 'n', p.n + 1) ELSE p END)
+      ELSE array_append(s, named_struct('x', e.x, 'y', e.y, 'first', e.seq, 'last', e.seq, 'n', CAST(1 AS BIGINT))) END)) AS p
+  FROM (SELECT device_id, array_sort(collect_list(named_struct('t_ms', CAST(t_ms AS BIGINT), 'seq', CAST(seq AS BIGINT), 'x', x, 'y', y))) AS a FROM pin_events GROUP BY device_id))"""
+_PINS_STEPS = """WITH RECURSIVE numbered AS (SELECT device_id, seq, x, y, row_number() OVER (PARTITION BY device_id ORDER BY t_ms, seq) AS k, count(*) OVER (PARTITION BY device_id) AS total FROM pin_events),
+  steps AS (SELECT device_id, k, total, [{'x': x, 'y': y, 'first': CAST(seq AS BIGINT), 'last': CAST(seq AS BIGINT), 'n': CAST(1 AS BIGINT)}] AS s FROM numbered WHERE k = 1
+    UNION ALL SELECT r.device_id, r.k, r.total, CASE WHEN len(list_filter(t.s, lambda p: sqrt((p.x - r.x) * (p.x - r.x) + (p.y - r.y) * (p.y - r.y)) <= 1.0D)) > 0
+      THEN list_transform(t.s, lambda p: CASE WHEN p.first = list_filter(t.s, lambda q: sqrt((q.x - r.x) * (q.x - r.x) + (q.y - r.y) * (q.y - r.y)) <= 1.0D)[1].first THEN {'x': r.x, 'y': r.y, 'first': p.first, 'last': CAST(r.seq AS BIGINT), 'n': p.n + 1} ELSE p END)
+      ELSE list_append(t.s, {'x': r.x, 'y': r.y, 'first': CAST(r.seq AS BIGINT), 'last': CAST(r.seq AS BIGINT), 'n': CAST(1 AS BIGINT)}) END FROM steps t JOIN numbered r ON r.device_id = t.device_id AND r.k = t.k + 1)
+  SELECT device_id, p.first AS first_seq, p.last AS last_seq, p.n AS n, round(p.x, 6) AS x, round(p.y, 6) AS y FROM (SELECT device_id, unnest(s) AS p FROM steps WHERE k = total) z"""
+
+
+def hops(spark, sf_dir):
+    """Least number of doors between rooms: breadth first from all rooms at once, a frontier of new pairs per step."""
+    walk = spark_sql(with_("SELECT a, b FROM walk UNION SELECT b, a FROM walk"))(spark, sf_dir).persist()
+    seen = spark_sql(with_("SELECT room_id AS a, room_id AS b, 0 AS hops FROM rooms"))(spark, sf_dir)
+    frontier = seen
+    while True:
+        step = frontier.join(walk.withColumnRenamed("a", "m").withColumnRenamed("b", "n"), F.col("b") == F.col("m")).select("a", F.col("n").alias("b"), (F.col("hops") + 1).alias("hops")).distinct()
+        frontier = step.join(seen.select("a", "b"), ["a", "b"], "left_anti").persist()
+        if frontier.isEmpty():  # rooms are few, steps fewer
+            return seen
+        seen = seen.union(frontier)
+
+
+_HOPS = """WITH RECURSIVE trips(a, b, hops) AS (SELECT room_id, room_id, 0 FROM rooms UNION SELECT p.a, w.b, p.hops + 1 FROM trips p JOIN (SELECT a, b FROM walk UNION SELECT b, a FROM walk) w ON p.b = w.a WHERE p.hops < (SELECT count(*) FROM rooms))
+  SELECT a, b, min(hops) AS hops FROM trips GROUP BY a, b"""
+
+_SQL = {"w02_smoothed_distance": _SMOOTH, "w04_kalman": _KALMAN, "w05_position_ema": _EMA, "w06_hysteresis": _HOLD, "w10_rate_limit": _LIMIT, "m01_recorded_pins": _PINS}
+QUERIES = {k: spark_sql(with_(v)) for k, v in _SQL.items()} | {"g17_hops": hops}
+_STEPS = {"w02_smoothed_distance": _SMOOTH_STEPS, "w04_kalman": _KALMAN_STEPS, "w05_position_ema": _EMA_STEPS, "w06_hysteresis": _HOLD_STEPS, "w10_rate_limit": _LIMIT_STEPS, "m01_recorded_pins": _PINS_STEPS, "g17_hops": _HOPS}
+ORACLES = {k: with_(v, engine="duckdb") for k, v in _STEPS.items()}

@@ -9,15 +9,15 @@ from pyspark import StorageLevel
 
 from ..functions.dialect import duck_sql, render, spark_sql
 from ..operators import folds, solvers
-from . import calibration, geometry, ingest, locate
+from . import calibration, geometry, ingest, locate, views
 from .relations import RELATIONS, with_
 
 FLAGSHIP = "l09_room_aware"
 #: Relations that locators read many times: they are computed once per query and kept on the executors.
 SHARED = ("fixes", "trust2", "pair_fits")
 SQL: dict[str, str] = {}
-for _module in (ingest, geometry, calibration):
-    SQL |= {k: with_(v) for k, v in _module.QUERIES.items()}
+for _module in (ingest, geometry, calibration, views):
+    SQL |= _module.QUERIES
 
 
 def shared_views(spark, sf_dir: str, names: tuple[str, ...] = SHARED) -> dict[str, str]:
@@ -30,9 +30,14 @@ def shared_views(spark, sf_dir: str, names: tuple[str, ...] = SHARED) -> dict[st
     return views
 
 
+def _filled(sql: str, idw: str) -> str:
+    """The SQL of a locator with its centroids in the form of one engine."""
+    return sql.replace(locate.IDW, idw).replace(locate.IDW_KEPT, locate.kept(idw))
+
+
 def locating(sql: str):
     """The query of a locator: its shared relations as views, its centroids over arrays."""
-    text = with_(sql, SHARED).replace("{idw}", locate.idw_arrays())
+    text = with_(_filled(sql, locate.idw_arrays()), SHARED)
     used = tuple(x for x in SHARED if re.search(rf"\b(?:FROM|JOIN)\s+{x}\b", text))
 
     def query(spark, sf_dir):
@@ -46,15 +51,15 @@ def locating(sql: str):
 
 def queries() -> dict:
     """Every query; each takes (spark, sf_dir)."""
-    out = {k: spark_sql(v) for k, v in SQL.items()}
+    out = {k: spark_sql(with_(v)) for k, v in SQL.items()}
     out |= {k: locating(v) for k, v in locate.QUERIES.items()}
     return out | folds.QUERIES | solvers.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query."""
-    out = {k: duck_sql(v) for k, v in SQL.items()}
-    out |= {k: duck_sql(with_(v.replace("{idw}", locate.idw_relational()))) for k, v in locate.QUERIES.items()}
+    out = {k: duck_sql(with_(v, engine="duckdb")) for k, v in SQL.items()}
+    out |= {k: duck_sql(with_(_filled(v, locate.idw_relational()), engine="duckdb")) for k, v in locate.QUERIES.items()}
     return out | {k: duck_sql(v) for k, v in folds.ORACLES.items()}
 
 

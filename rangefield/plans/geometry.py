@@ -2,78 +2,46 @@
 
 from __future__ import annotations
 
-#: Upstream points against room polygons by ray casting; the first room in config order wins.
-INSIDE = """hits AS (SELECT p.seq, e.ord, e.room_id, sum(CASE WHEN (e.ay > p.y) <> (e.b_y > p.y)
-      AND p.x < (e.bx - e.ax) * (p.y - e.ay) / (CASE WHEN e.b_y = e.ay THEN 1.0D ELSE e.b_y - e.ay END) + e.ax THEN 1 ELSE 0 END) % 2 AS inside
-    FROM upstream p CROSS JOIN edges e GROUP BY p.seq, e.ord, e.room_id),
-  located AS (SELECT u.device_id, u.seq, u.t_ms, u.x, u.y, h.room_id FROM upstream u LEFT JOIN (SELECT seq, room_id FROM (
-      SELECT seq, room_id, row_number() OVER (PARTITION BY seq ORDER BY ord) AS k FROM hits WHERE inside = 1) a WHERE k = 1) h ON u.seq = h.seq)"""
-
-#: Walls: room edges that no other room of the same open area shares, with doors as openings.
-WALLS = """walls AS (SELECT DISTINCT least(e.ax, e.bx) AS ax, least(e.ay, e.b_y) AS ay, greatest(e.ax, e.bx) AS bx, greatest(e.ay, e.b_y) AS b_y,
-      (SELECT count(DISTINCT f.room_id) FROM edges f WHERE abs(least(f.ax, f.bx) - least(e.ax, e.bx)) < 0.05D AND abs(least(f.ay, f.b_y) - least(e.ay, e.b_y)) < 0.05D
-        AND abs(greatest(f.ax, f.bx) - greatest(e.ax, e.bx)) < 0.05D AND abs(greatest(f.ay, f.b_y) - greatest(e.ay, e.b_y)) < 0.05D) = 1 AS exterior
-    FROM edges e),
-  solid AS (SELECT w.*, row_number() OVER (ORDER BY ax, ay, bx, b_y) AS wall FROM walls w WHERE NOT (ax = 4.0D AND bx = 4.0D AND ay = 0.0D AND b_y = 5.0D)),
-  doors AS (SELECT s.wall, o.door_x, o.door_y, o.width FROM open_to o JOIN solid s ON abs(s.ax - s.bx) * abs(o.door_y - s.ay) + abs(s.ay - s.b_y) * abs(o.door_x - s.ax) < 0.01D
-      AND o.door_x >= s.ax - 0.01D AND o.door_x <= s.bx + 0.01D AND o.door_y >= s.ay - 0.01D AND o.door_y <= s.b_y + 0.01D),
-  paths AS (SELECT a.node_id AS a, b.node_id AS b, a.x AS px, a.y AS py, b.x AS qx, b.y AS qy FROM nodes a JOIN nodes b ON a.node_id < b.node_id),
-  cuts AS (SELECT p.a, p.b, s.wall, s.exterior, s.ax, s.ay, s.bx, s.b_y, p.px, p.py, p.qx, p.qy, (p.qx - p.px) * (s.b_y - s.ay) - (p.qy - p.py) * (s.bx - s.ax) AS den FROM paths p CROSS JOIN solid s),
-  crossed AS (SELECT a, b, wall, exterior, t, px + t * (qx - px) AS hx, py + t * (qy - py) AS hy FROM (
-      SELECT c.*, ((ax - px) * (b_y - ay) - (ay - py) * (bx - ax)) / den AS t, ((ax - px) * (qy - py) - (ay - py) * (qx - px)) / den AS u FROM cuts c WHERE abs(den) >= 1e-12) z
-    WHERE t >= 0 AND t <= 1 AND u >= 0 AND u <= 1),
-  kinds AS (SELECT c.a, c.b, c.wall, c.t, max(CASE WHEN d.wall IS NOT NULL THEN 2 WHEN c.exterior THEN 1 ELSE 0 END) AS kind FROM crossed c
-    LEFT JOIN doors d ON c.wall = d.wall AND abs(c.hx - d.door_x) <= d.width / 2 AND abs(c.hy - d.door_y) <= d.width / 2 GROUP BY c.a, c.b, c.wall, c.t),
-  merged AS (SELECT a, b, max(kind) AS kind FROM (SELECT k.*, sum(fresh) OVER (PARTITION BY a, b ORDER BY t, wall ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM (
-      SELECT k.*, CASE WHEN t - lag(t) OVER (PARTITION BY a, b ORDER BY t, wall) <= 0.005D THEN 0 ELSE 1 END AS fresh FROM kinds k) k) g GROUP BY a, b, grp),
-  counted AS (SELECT p.a, p.b, coalesce(sum(CASE WHEN m.kind = 0 THEN 1 ELSE 0 END), 0) AS interior, coalesce(sum(CASE WHEN m.kind = 1 THEN 1 ELSE 0 END), 0) AS exterior, coalesce(sum(CASE WHEN m.kind = 2 THEN 1 ELSE 0 END), 0) AS doors
-    FROM paths p LEFT JOIN merged m ON p.a = m.a AND p.b = m.b GROUP BY p.a, p.b)"""
-
-CENTROIDS = """shoelace AS (SELECT room_id, sum(ax * b_y - bx * ay) / 2.0D AS area, sum((ax + bx) * (ax * b_y - bx * ay)) AS sx, sum((ay + b_y) * (ax * b_y - bx * ay)) AS sy FROM edges GROUP BY room_id),
-  centroids AS (SELECT room_id, abs(area) AS area, sx / (6.0D * area) AS cx, sy / (6.0D * area) AS cy FROM shoelace)"""
-
 QUERIES: dict[str, str] = {
-    "g01_point_in_polygon": f"WITH {INSIDE} SELECT seq, room_id, inside = 1 AS inside FROM hits",
-    "g02_find_room": f"WITH {INSIDE} SELECT device_id, seq, room_id FROM located",
-    "g03_centroid": f"WITH {CENTROIDS} SELECT room_id, round(cx, 6) AS cx, round(cy, 6) AS cy FROM centroids",
-    "g04_area_bbox": f"WITH {CENTROIDS} SELECT c.room_id, round(c.area, 6) AS area, min(v.x) AS min_x, min(v.y) AS min_y, max(v.x) AS max_x, max(v.y) AS max_y FROM centroids c JOIN vertices v ON c.room_id = v.room_id GROUP BY c.room_id, c.area",
-    "g05_room_anchor": f"WITH {CENTROIDS} SELECT c.room_id, round(CASE WHEN c.cx > r.x0 AND c.cx < r.x1 AND c.cy > r.y0 AND c.cy < r.y1 THEN c.cx ELSE (r.x0 + r.x1) / 2 END, 6) AS x FROM centroids c JOIN rooms r ON c.room_id = r.room_id",
+    "g01_point_in_polygon": "SELECT seq, room_id, inside = 1 AS inside FROM hits",
+    "g02_find_room": "SELECT device_id, seq, room_id FROM located",
+    "g03_centroid": "SELECT room_id, round(cx, 6) AS cx, round(cy, 6) AS cy FROM centroids",
+    "g04_area_bbox": "SELECT c.room_id, round(c.area, 6) AS area, min(v.x) AS min_x, min(v.y) AS min_y, max(v.x) AS max_x, max(v.y) AS max_y FROM centroids c JOIN vertices v ON c.room_id = v.room_id GROUP BY c.room_id, c.area",
+    "g05_room_anchor": "SELECT room_id, round(x, 6) AS x, round(y, 6) AS y FROM anchors",
     "g06_adjacency": "SELECT a, b FROM shared_edges",
-    "g08_segment_hits": f"WITH {WALLS} SELECT a, b, wall, round(t, 6) AS t, round(hx, 6) AS x, round(hy, 6) AS y FROM crossed",
-    "g09_crossings": f"WITH {WALLS} SELECT a, b, CAST(interior AS BIGINT) AS interior, CAST(exterior AS BIGINT) AS exterior, CAST(doors AS BIGINT) AS doors FROM counted",
-    "g10_obstruction_loss": f"WITH {WALLS} SELECT a, b, 4.0D * interior + 10.0D * exterior + 0.0D * doors AS loss_db FROM counted",
-    "g11_pair_loss": f"WITH {WALLS} SELECT g.listener_id, g.transmitter_id, count(*) AS n, max(4.0D * c.interior + 10.0D * c.exterior) AS loss_db FROM gt_samples g JOIN counted c ON least(g.listener_id, g.transmitter_id) = c.a AND greatest(g.listener_id, g.transmitter_id) = c.b GROUP BY g.listener_id, g.transmitter_id",
+    "g08_segment_hits": "SELECT a, b, wall, round(t, 6) AS t, round(hx, 6) AS x, round(hy, 6) AS y FROM crossed",
+    "g09_crossings": "SELECT a, b, CAST(interior AS BIGINT) AS interior, CAST(exterior AS BIGINT) AS exterior, CAST(doors AS BIGINT) AS doors FROM counted",
+    "g10_obstruction_loss": "SELECT a, b, loss_db FROM wall_loss",
+    "g11_pair_loss": "SELECT g.listener_id, g.transmitter_id, count(*) AS n, max(4.0D * c.interior + 10.0D * c.exterior) AS loss_db FROM gt_samples g JOIN counted c ON least(g.listener_id, g.transmitter_id) = c.a AND greatest(g.listener_id, g.transmitter_id) = c.b GROUP BY g.listener_id, g.transmitter_id",
     "g12_heatmap": """WITH gx AS (SELECT {unnest: 0; 59} AS i), gy AS (SELECT {unnest: 0; 49} AS j)
         SELECT n.node_id, i, j, round(-59.0D - 30.0D * log10(greatest(1.0D, sqrt(((i + 0.5D) * 0.2D - n.x) * ((i + 0.5D) * 0.2D - n.x) + ((j + 0.5D) * 0.2D - n.y) * ((j + 0.5D) * 0.2D - n.y) + (1.0D - n.z) * (1.0D - n.z)))), 6) AS rssi
         FROM gx CROSS JOIN gy CROSS JOIN nodes n""",
-    "g15_label_size": f"WITH {CENTROIDS} SELECT r.room_id, round(least(greatest(least(least(sqrt(c.area) * 0.33D, (r.x1 - r.x0) / (0.58D * length(r.room_name))), (r.y1 - r.y0) / 2.5D), 0.14D), 0.32D), 6) AS size FROM rooms r JOIN centroids c ON r.room_id = c.room_id",
+    "g15_label_size": "SELECT r.room_id, round(least(greatest(least(least(sqrt(c.area) * 0.33D, (r.x1 - r.x0) / (0.58D * length(r.room_name))), (r.y1 - r.y0) / 2.5D), 0.14D), 0.32D), 6) AS size FROM rooms r JOIN centroids c ON r.room_id = c.room_id",
     "g16_walk_graph": "SELECT a, b FROM walk UNION SELECT b, a FROM walk",
-    "g17_hops": """WITH RECURSIVE paths(a, b, hops) AS (SELECT room_id, room_id, 0 FROM rooms UNION ALL SELECT p.a, w.b, p.hops + 1 FROM paths p JOIN (SELECT a, b FROM walk UNION SELECT b, a FROM walk) w ON p.b = w.a WHERE p.hops < 6)
-        SELECT a, b, min(hops) AS hops FROM paths GROUP BY a, b""",
-    "g18_distance_to_room": """SELECT p.seq, e.room_id, round(min(sqrt((p.x - e.ax - t * (e.bx - e.ax)) * (p.x - e.ax - t * (e.bx - e.ax)) + (p.y - e.ay - t * (e.b_y - e.ay)) * (p.y - e.ay - t * (e.b_y - e.ay)))), 6) AS distance
-        FROM (SELECT u.seq, u.x, u.y, f.room_id AS r, f.v, least(greatest(((u.x - f.ax) * (f.bx - f.ax) + (u.y - f.ay) * (f.b_y - f.ay)) / ((f.bx - f.ax) * (f.bx - f.ax) + (f.b_y - f.ay) * (f.b_y - f.ay)), 0.0D), 1.0D) AS t FROM upstream u CROSS JOIN edges f) p
-        JOIN edges e ON p.r = e.room_id AND p.v = e.v GROUP BY p.seq, e.room_id""",
+    "g18_distance_to_room": "SELECT seq, room_id, round(distance, 6) AS distance FROM room_distances",
     "g19_node_rooms": "SELECT node_id, room_id FROM node_rooms",
     "g20_circle_hits": """SELECT a.device_id, a.node_id AS a, b.node_id AS b, round(a.x + h * (b.x - a.x) / g - s * sqrt(greatest(a.d * a.d - h * h, 0.0D)) * (b.y - a.y) / g, 4) AS x,
           round(a.y + h * (b.y - a.y) / g + s * sqrt(greatest(a.d * a.d - h * h, 0.0D)) * (b.x - a.x) / g, 4) AS y
         FROM (SELECT device_id, i, j, g, (ra * ra - rb * rb + g * g) / (2.0D * g) AS h FROM (SELECT a.device_id, a.i AS i, b.i AS j, a.d AS ra, b.d AS rb, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS g
             FROM fixes a JOIN fixes b ON a.device_id = b.device_id AND a.i < b.i) q WHERE g > 1e-6 AND g <= ra + rb AND g >= abs(ra - rb)) z
         JOIN fixes a ON z.device_id = a.device_id AND z.i = a.i JOIN fixes b ON z.device_id = b.device_id AND z.j = b.i CROSS JOIN (SELECT 1.0D AS s UNION ALL SELECT -1.0D) sign""",
-    "g21_location": f"WITH {INSIDE} SELECT device_id, seq, room_id, CASE WHEN room_id IS NOT NULL OR (x >= 0 AND x <= 12 AND y >= 0 AND y <= 10) THEN 'first_floor' END AS floor_id FROM located",
-    "g22_reported_room": f"WITH {INSIDE} SELECT seq, CASE WHEN seq % 3 = 0 THEN 'outside' ELSE room_id END AS room_id, seq % 3 <> 1 AS room_reported FROM located",
+    "g21_location": "SELECT device_id, seq, room_id, CASE WHEN room_id IS NOT NULL OR (x >= 0 AND x <= 12 AND y >= 0 AND y <= 10) THEN 'first_floor' END AS floor_id FROM located",
+    "g22_reported_room": "SELECT seq, CASE WHEN seq % 3 = 0 THEN 'outside' ELSE room_id END AS room_id, seq % 3 <> 1 AS room_reported FROM located",
     "a24_corners": "SELECT round(x, 3) AS x, round(y, 3) AS y, count(DISTINCT room_id) AS rooms, min(room_id) AS first_room FROM vertices GROUP BY round(x, 3), round(y, 3)",
     "a25_bounds": "SELECT min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM (SELECT x, y FROM vertices UNION ALL SELECT x, y FROM all_nodes) p",
     "a28_area_tags": "SELECT DISTINCT floor_area FROM rooms WHERE floor_area IS NOT NULL",
     "j22_open_targets": "SELECT o.room_id, o.target, r.room_id AS resolved FROM open_to o LEFT JOIN rooms r ON o.target = r.room_id OR o.target = r.room_name",
     "j23_reverse_refs": "SELECT DISTINCT r.room_id FROM rooms r WHERE EXISTS (SELECT 1 FROM open_to o WHERE o.target = r.room_id)",
-    "j17_door_walls": f"WITH {WALLS} SELECT wall, door_x, door_y, width FROM doors",
+    "j17_door_walls": """SELECT room_id, target, wall, round(apart, 6) AS apart FROM (SELECT d.*, row_number() OVER (PARTITION BY room_id, target ORDER BY round(apart, 9), wall) AS k FROM (
+          SELECT room_id, target, wall, sqrt((door_x - ax - t * (bx - ax)) * (door_x - ax - t * (bx - ax)) + (door_y - ay - t * (b_y - ay)) * (door_y - ay - t * (b_y - ay))) AS apart
+          FROM (SELECT o.room_id, o.target, o.door_x, o.door_y, s.wall, s.ax, s.ay, s.bx, s.b_y, least(greatest(((o.door_x - s.ax) * (s.bx - s.ax) + (o.door_y - s.ay) * (s.b_y - s.ay)) / ((s.bx - s.ax) * (s.bx - s.ax) + (s.b_y - s.ay) * (s.b_y - s.ay)), 0.0D), 1.0D) AS t FROM open_to o CROSS JOIN solid s) p) d) e WHERE k = 1""",
     "u04_adjacent_pairs": "SELECT a, b FROM trust",
     "u05_reverse_only": "SELECT target AS room_id FROM open_to EXCEPT SELECT room_id FROM open_to",
     "u06_connections": "SELECT room_id AS a, target AS b FROM open_to UNION SELECT target, room_id FROM open_to",
-    "p06_zones": f"""WITH {INSIDE}, zones AS (SELECT * FROM (VALUES ('quiet', 'bedroom'), ('quiet', 'bath'), ('open', 'Living'), ('open', 'kitchen')) AS z(zone_id, room))
+    "p06_zones": """WITH zones AS (SELECT * FROM (VALUES ('quiet', 'bedroom'), ('quiet', 'bath'), ('open', 'Living'), ('open', 'kitchen')) AS z(zone_id, room))
         SELECT l.seq, z.zone_id, max(CASE WHEN lower(z.room) = lower(coalesce(l.room_id, '')) THEN 1 ELSE 0 END) = 1 AS inside FROM located l CROSS JOIN zones z GROUP BY l.seq, z.zone_id""",
-    "p07_default_state": f"WITH {INSIDE} SELECT seq, coalesce(nullif(room_id, ''), CASE WHEN x >= 0 AND x <= 12 AND y >= 0 AND y <= 10 THEN 'first_floor' END, 'not_home') AS state FROM located",
-    "w09_presence_changes": f"""WITH {INSIDE} SELECT device_id, seq, state FROM (SELECT *, lag(state) OVER (PARTITION BY device_id ORDER BY t_ms, seq) AS before FROM (
+    "p07_default_state": "SELECT seq, coalesce(nullif(room_id, ''), CASE WHEN x >= 0 AND x <= 12 AND y >= 0 AND y <= 10 THEN 'first_floor' END, 'not_home') AS state FROM located",
+    "w09_presence_changes": """SELECT device_id, seq, state FROM (SELECT *, lag(state) OVER (PARTITION BY device_id ORDER BY t_ms, seq) AS before FROM (
         SELECT device_id, seq, t_ms, coalesce(room_id, 'not_home') AS state FROM located) a) b WHERE before IS NULL OR before <> state""",
-    "z05_discovery_rows": f"""WITH {INSIDE} SELECT device_id, room_id, seq FROM (SELECT device_id, room_id, seq, row_number() OVER (PARTITION BY device_id, room_id ORDER BY t_ms, seq) AS k FROM located WHERE room_id IS NOT NULL) a WHERE k = 1""",
+    "z05_discovery_rows": """SELECT device_id, room_id, seq FROM (SELECT device_id, room_id, seq, row_number() OVER (PARTITION BY device_id, room_id ORDER BY t_ms, seq) AS k FROM located WHERE room_id IS NOT NULL) a WHERE k = 1""",
 }

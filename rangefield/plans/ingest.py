@@ -5,14 +5,16 @@ from __future__ import annotations
 QUERIES: dict[str, str] = {
     "s02_topic_parse": "SELECT seq, t_ms, topic, kind, node_id, device_id, setting FROM parsed",
     "s03_device_payload": """SELECT seq, t_ms, device_id, node_id, {json: payload; name} AS name, CAST({json: payload; distance} AS DOUBLE) AS distance_cm,
-        CAST(coalesce({json: payload; refRssi}, {json: payload; ref_rssi}) AS DOUBLE) AS ref_rssi FROM parsed WHERE kind = 'device' AND {json: payload; name} IS NOT NULL""",
+        CAST(coalesce({json: payload; refRssi}, {json: payload; ref_rssi}) AS DOUBLE) AS ref_rssi FROM parsed WHERE kind = 'device' AND {isjson: payload}""",
     "s04_node_status": """SELECT node_id, lower(trim(status)) = 'online' AS online, status_at FROM (SELECT node_id, payload AS status, t_ms AS status_at,
         row_number() OVER (PARTITION BY node_id ORDER BY t_ms DESC, seq DESC) AS k FROM parsed WHERE kind = 'status') s WHERE k = 1""",
     "s05_telemetry": """SELECT node_id, t_ms, CAST({json: payload; uptime} AS BIGINT) AS uptime, CAST({json: payload; freeHeap} AS BIGINT) AS free_heap, {json: payload; version} AS version, true AS online
         FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY t_ms DESC, seq DESC) AS k FROM parsed WHERE kind = 'telemetry') s WHERE k = 1""",
     "s06_upstream_positions": """SELECT device_id, seq, t_ms, round(x, 6) AS x, round(y, 6) AS y, round(least(greatest(confidence / 100.0D, 0.0D), 1.0D), 6) AS confidence FROM upstream WHERE x IS NOT NULL AND y IS NOT NULL""",
     "s12_ruler_history": "SELECT id, label, round(config_distance, 6) AS config_distance, round(actual_distance, 6) AS actual_distance FROM ruler",
-    "f01_tracked": """SELECT device_id, name, count(*) AS n FROM obs WHERE NOT ({like: device_id; '^dev_1.*3$'} OR {like: name; '^err.*$'}) AND {like: device_id; '^dev_.*$'} GROUP BY device_id, name""",
+    "f01_tracked": """SELECT o.device_id, o.name, o.n FROM (SELECT device_id, name, count(*) AS n FROM obs GROUP BY device_id, name) o
+        WHERE NOT EXISTS (SELECT 1 FROM rules r WHERE r.kind = 'exclude' AND (o.device_id LIKE r.id_like ESCAPE '!' OR o.name LIKE r.name_like ESCAPE '!'))
+          AND ((SELECT count(*) FROM rules WHERE kind = 'include') = 0 OR EXISTS (SELECT 1 FROM rules r WHERE r.kind = 'include' AND (o.device_id LIKE r.id_like ESCAPE '!' OR o.name LIKE r.name_like ESCAPE '!')))""",
     "f02_message_kinds": "SELECT kind, count(*) AS n, min(t_ms) AS first_ms, max(t_ms) AS last_ms FROM parsed GROUP BY kind",
     "f03_fresh_fixes": """SELECT f.device_id, f.node_id, f.t_ms FROM fix_last f JOIN (SELECT device_id, max(t_ms) AS now_ms FROM obs GROUP BY device_id) t ON f.device_id = t.device_id WHERE f.t_ms >= t.now_ms - 30000""",
     "f04_valid_distance": "SELECT seq, device_id, node_id, round(distance, 6) AS distance FROM obs WHERE distance IS NOT NULL",
@@ -27,9 +29,13 @@ QUERIES: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY CASE WHEN distance IS NULL THEN 1 ELSE 0 END, distance, node_id) AS k FROM fix_last) f GROUP BY device_id""",
     "a20_status": "SELECT (SELECT count(*) FROM all_nodes) AS nodes, (SELECT count(DISTINCT device_id) FROM obs) AS devices, (SELECT count(*) FROM messages) AS messages, (SELECT max(t_ms) FROM obs) AS last_ms",
     "t01_by_distance": "SELECT device_id, node_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY device_id ORDER BY CASE WHEN distance IS NULL THEN 1 ELSE 0 END, distance, node_id) AS place FROM fix_last",
-    "t04_recent_devices": "SELECT device_id, last_seen, row_number() OVER (ORDER BY last_seen DESC, device_id) AS place FROM (SELECT device_id, max(t_ms) AS last_seen FROM obs GROUP BY device_id) d",
+    # ranks over all devices: a rank within a stretch of the order, and the number of devices in the stretches before
+    "t04_recent_devices": """SELECT d.device_id, d.last_seen, b.before + row_number() OVER (PARTITION BY d.stretch ORDER BY d.last_seen DESC, d.device_id) AS place
+        FROM (SELECT device_id, last_seen, {div: last_seen; 500} AS stretch FROM (SELECT device_id, max(t_ms) AS last_seen FROM obs GROUP BY device_id) a) d
+        JOIN (SELECT stretch, CAST(sum(n) OVER (ORDER BY stretch DESC) - n AS BIGINT) AS before FROM (SELECT {div: last_seen; 500} AS stretch, count(*) AS n FROM (SELECT max(t_ms) AS last_seen FROM obs GROUP BY device_id) a GROUP BY {div: last_seen; 500}) c) b ON d.stretch = b.stretch""",
     "t06_three_closest": "SELECT device_id, node_id, k FROM (SELECT device_id, node_id, row_number() OVER (PARTITION BY device_id ORDER BY d, i) AS k FROM fixes) f WHERE k <= 3",
-    "t11_device_order": "SELECT device_id, row_number() OVER (ORDER BY device_id) AS place FROM (SELECT DISTINCT device_id FROM obs) d",
+    "t11_device_order": """SELECT d.device_id, b.before + row_number() OVER (PARTITION BY d.stretch ORDER BY d.device_id) AS place FROM (SELECT DISTINCT device_id, substring(device_id, 1, 6) AS stretch FROM obs) d
+        JOIN (SELECT stretch, CAST(sum(n) OVER (ORDER BY stretch) - n AS BIGINT) AS before FROM (SELECT substring(device_id, 1, 6) AS stretch, count(DISTINCT device_id) AS n FROM obs GROUP BY substring(device_id, 1, 6)) c) b ON d.stretch = b.stretch""",
     "u01_device_union": "SELECT device_id FROM pins UNION SELECT device_id FROM obs",
     "u02_node_union": "SELECT listener_id AS node_id FROM gt_samples UNION SELECT node_id FROM settings UNION SELECT node_id FROM obs",
     "u07_nodes_then_others": """SELECT node_id, true AS configured FROM all_nodes UNION ALL SELECT s.node_id, false FROM (SELECT DISTINCT node_id FROM parsed WHERE kind = 'status') s
@@ -46,8 +52,13 @@ QUERIES: dict[str, str] = {
           {lastn: absorption} OVER (PARTITION BY listener_id ORDER BY t_ms, is_sample, k1, k2, k3 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS absorption
         FROM (SELECT listener_id, t_ms, l_orderkey AS k1, l_partkey AS k2, CAST(l_linenumber AS BIGINT) AS k3, 1 AS is_sample, CAST(NULL AS DOUBLE) AS absorption FROM gt_samples
           UNION ALL SELECT node_id, t_ms * 1000, seq, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0, absorption FROM absorptions) u) v WHERE is_sample = 1""",
-    "j20_snapshot_sizes": """SELECT a.device_id, a.seq, count(DISTINCT b.node_id) AS fixes FROM obs a JOIN obs b ON a.device_id = b.device_id
-        AND b.t_ms >= a.t_ms - 30000 AND (b.t_ms < a.t_ms OR (b.t_ms = a.t_ms AND b.seq <= a.seq)) GROUP BY a.device_id, a.seq""",
+    # a node counts from its first message to 30 s after the last of a run; starts and ends add up along each device's time
+    "j20_snapshot_sizes": """SELECT device_id, seq, CAST(fixes AS BIGINT) AS fixes FROM (
+          SELECT device_id, seq, is_end, sum(step) OVER (PARTITION BY device_id ORDER BY t_ms, is_end, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fixes FROM (
+            SELECT device_id, seq, t_ms, 0 AS is_end, CASE WHEN before IS NULL OR t_ms - before > 30000 THEN 1 ELSE 0 END AS step FROM (
+              SELECT device_id, seq, t_ms, lag(t_ms) OVER (PARTITION BY device_id, node_id ORDER BY t_ms, seq) AS before FROM obs) a
+            UNION ALL SELECT device_id, seq, t_ms + 30000, 1, -1 FROM (
+              SELECT device_id, seq, t_ms, lead(t_ms) OVER (PARTITION BY device_id, node_id ORDER BY t_ms, seq) AS after FROM obs) b WHERE after IS NULL OR after - t_ms > 30000) e) s WHERE is_end = 0""",
     "w03_ring_buffer": "SELECT listener_id, count(*) AS kept, min(t_ms) AS first_ms, max(t_ms) AS last_ms FROM ring GROUP BY listener_id",
     "w09_changes": "SELECT device_id, seq, name FROM (SELECT device_id, seq, name, lag(name) OVER (PARTITION BY device_id ORDER BY t_ms, seq) AS before FROM obs) o WHERE before IS NULL OR before <> name",
     "w13_away": "SELECT device_id, seq, t_ms + 2000 AS away_ms FROM (SELECT device_id, seq, t_ms, lead(t_ms) OVER (PARTITION BY device_id ORDER BY t_ms, seq) AS next_ms FROM obs) o WHERE next_ms IS NULL OR next_ms - t_ms > 2000",
@@ -62,9 +73,11 @@ QUERIES: dict[str, str] = {
     "x07_map_transform": "SELECT node_id, 12.0D - x AS flipped_x, 10.0D - y AS flipped_y FROM nodes",
     "x09_decay": "SELECT seq, round(exp(-greatest(t_ms - 1000, 0) / 3600.0D), 6) AS w FROM obs",
     "x11_round_half_up": "SELECT seq, CAST(floor(rssi + 0.5D) AS BIGINT) AS whole, round(least(greatest(rssi, -80.0D), -60.0D), 6) AS clamped FROM obs",
-    "x13_rssi_stop": "SELECT seq, CASE WHEN t < 0.25D THEN 0 WHEN t < 0.5D THEN 1 WHEN t < 0.75D THEN 2 WHEN t < 1.0D THEN 3 ELSE 4 END AS stop, round(t, 6) AS t FROM (SELECT seq, least(greatest((rssi + 120.0D) / 80.0D, 0.0D), 1.0D) AS t FROM obs) o",
+    "x13_rssi_stop": "SELECT seq, CASE WHEN t <= 0.25D THEN 0 WHEN t <= 0.5D THEN 1 WHEN t <= 0.75D THEN 2 ELSE 3 END AS stop, round(t, 6) AS t FROM (SELECT seq, least(greatest((rssi + 120.0D) / 80.0D, 0.0D), 1.0D) AS t FROM obs) o",
     "x20_slugify": "SELECT p_partkey, {rx: {rx: lower(p_name || ' - ' || p_brand); '[^a-z0-9]+'; '_'}; '^_+|_+$'; ''} AS slug FROM {t:part}",
-    "x21_glob": "SELECT pattern, text, {like: text; '^' || replace(pattern, '*', '.*') || '$'} AS hit FROM (VALUES ('dev_1*3', 'dev_123'), ('dev_1*3', 'dev_13x'), ('dev_*', 'dev_'), ('x', 'X')) AS g(pattern, text)",
+    "x21_glob": """SELECT g.pattern, t.text, t.text LIKE replace(replace(replace(replace(g.pattern, '!', '!!'), '%', '!%'), '_', '!_'), '*', '%') ESCAPE '!' AS hit
+        FROM (VALUES ('dev_1*3'), ('dev_*'), ('x'), ('a.b'), ('*.*'), ('100%*'), ('PROMO*'), ('*')) AS g(pattern)
+        CROSS JOIN (SELECT DISTINCT p_type AS text FROM {t:part} UNION SELECT DISTINCT 'dev_' || CAST(user_id AS STRING) FROM {t:events} UNION SELECT v.text FROM (VALUES ('dev_13x'), ('dev_'), ('devX123'), ('X'), ('a.b'), ('axb'), ('100% x'), ('1000'), ('')) AS v(text)) t""",
     "x22_duration": """SELECT text, CASE WHEN {like: lower(text); '^[0-9]+([.][0-9]+)? *[dhwm]?$'} THEN CAST(round(CAST({grab: lower(text); '^([0-9]+([.][0-9]+)?)'; 1} AS DOUBLE) * CASE {grab: lower(text); '([dhwm]?)$'; 1}
         WHEN 'w' THEN 604800000 WHEN 'd' THEN 86400000 WHEN 'h' THEN 3600000 WHEN 'm' THEN 60000 ELSE 1000 END) AS BIGINT) ELSE 2592000000 END AS ms
         FROM (VALUES ('30d'), ('12h'), ('2w'), ('30m'), ('3600'), ('bogus'), ('1.5h')) AS d(text)""",
@@ -73,8 +86,11 @@ QUERIES: dict[str, str] = {
     "x24_inches": "SELECT seq, round(raw / 0.0254D, 1) AS inches, CAST(floor(round(raw / 0.0254D, 1) / 12.0D) AS BIGINT) AS feet FROM obs_raw",
     "x25_relative": "SELECT device_id, CASE WHEN age < 60 THEN 's' WHEN age < 3600 THEN 'm' WHEN age < 86400 THEN 'h' ELSE 'd' END AS unit, age FROM (SELECT device_id, {div: (SELECT max(t_ms) FROM obs) - max(t_ms); 10} AS age FROM obs GROUP BY device_id) a",
     "x27_topics": "SELECT DISTINCT 'site/' || device_id || '/' || room_id || '/state' AS topic FROM fixes WHERE room_id IS NOT NULL",
-    "a15_ruler_scale": """SELECT round(m.median, 6) AS median, m.n, round(avg(CASE WHEN NOT (m.n >= 3 AND abs(r.s - m.median) > 0.03D) THEN r.s END), 6) AS trimmed, count(CASE WHEN m.n >= 3 AND abs(r.s - m.median) > 0.03D THEN 1 END) AS outliers
-        FROM (SELECT actual_distance / config_distance AS s FROM ruler WHERE config_distance > 0) r CROSS JOIN (SELECT max(CASE WHEN k = {div: n; 2} + 1 THEN s END) AS median, max(n) AS n FROM (
-          SELECT actual_distance / config_distance AS s, row_number() OVER (ORDER BY actual_distance / config_distance, id) AS k, count(*) OVER () AS n FROM ruler WHERE config_distance > 0) o) m GROUP BY m.median, m.n""",
+    # the median lies in one thousandth of the scale; only rows of that one are put in order
+    "a15_ruler_scale": """WITH scales AS (SELECT id, actual_distance / config_distance AS s, CAST(floor(actual_distance / config_distance * 1000.0D) AS BIGINT) AS b FROM ruler WHERE config_distance > 0),
+        steps AS (SELECT b, upto - c AS before, upto, n FROM (SELECT b, c, sum(c) OVER (ORDER BY b) AS upto, sum(c) OVER () AS n FROM (SELECT b, count(*) AS c FROM scales GROUP BY b) g) h),
+        m AS (SELECT s AS median, CAST(n AS BIGINT) AS n FROM (SELECT x.s, p.n, p.before, row_number() OVER (ORDER BY x.s, x.id) AS k FROM scales x JOIN steps p ON x.b = p.b WHERE p.before < {div: CAST(p.n AS BIGINT); 2} + 1 AND p.upto >= {div: CAST(p.n AS BIGINT); 2} + 1) y WHERE before + k = {div: CAST(n AS BIGINT); 2} + 1)
+        SELECT round(m.median, 6) AS median, m.n, round(avg(CASE WHEN NOT (m.n >= 3 AND abs(r.s - m.median) > 0.03D) THEN r.s END), 6) AS trimmed, count(CASE WHEN m.n >= 3 AND abs(r.s - m.median) > 0.03D THEN 1 END) AS outliers
+        FROM scales r CROSS JOIN m GROUP BY m.median, m.n""",
     "p05_ruler_class": "SELECT id, CASE WHEN abs(actual_distance / config_distance - 1.0D) < 0.03D THEN 'good' WHEN abs(actual_distance / config_distance - 1.0D) < 0.1D THEN 'fair' ELSE 'bad' END AS class FROM ruler WHERE config_distance > 0",
 }

@@ -1,7 +1,8 @@
 """The domain relations as SQL: the scene, and streams derived from the star-schema tables.
 
 Each entry is the body of a common table expression; `with_` puts those that a
-query names, and what they depend on, in front of it.
+query names, and what they depend on, in front of it.  SPARK holds what Spark
+computes in another way than the checking engine.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ RELATIONS: dict[str, str] = {
     "vertices": """SELECT ord, room_id, 0 AS v, x0 AS x, y0 AS y FROM rooms UNION ALL SELECT ord, room_id, 1, x1, y0 FROM rooms
         UNION ALL SELECT ord, room_id, 2, x1, y1 FROM rooms UNION ALL SELECT ord, room_id, 3, x0, y1 FROM rooms""",
     "edges": """SELECT a.ord, a.room_id, a.v, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y
-        FROM vertices a JOIN vertices b ON a.room_id = b.room_id AND b.v = (a.v + 1) % 4""",
+        FROM (SELECT *, count(*) OVER (PARTITION BY room_id) AS corners FROM vertices) a JOIN vertices b ON a.room_id = b.room_id AND b.v = (a.v + 1) % a.corners""",
     "all_nodes": """SELECT 'n' || CAST(2 * ord AS STRING) AS node_id, 2 * ord AS ord, x0 + 1.0D AS x, y0 + 1.0D AS y, 1.2D AS z, CAST(NULL AS STRING) AS room_label, true AS enabled FROM rooms
         UNION ALL SELECT 'n' || CAST(2 * ord + 1 AS STRING), 2 * ord + 1, x0 + 3.0D, y0 + 4.0D, 2.0D, CAST(NULL AS STRING), true FROM rooms
         UNION ALL SELECT 'n12', 12, 12.0D, 5.0D, 1.0D, 'office', false""",
@@ -41,9 +42,9 @@ RELATIONS: dict[str, str] = {
     "obs": """SELECT seq, t_ms, user_id, device_id, node_id, name, CASE WHEN k = 0 THEN NULL ELSE raw END AS distance,
           -59.0D - 27.0D * log10(greatest(raw, 0.1D)) AS rssi FROM obs_raw""",
     "messages": """SELECT seq, t_ms, 'site/devices/' || device_id || '/' || node_id AS topic,
-          CASE WHEN seq % 97 = 0 THEN '{"distance": ' ELSE '{"name": "' || name || '"' || CASE WHEN k = 0 THEN '' ELSE ', "distance": ' || CAST(CAST(round(raw * 100) AS BIGINT) AS STRING) END
-            || CASE WHEN seq % 2 = 0 THEN ', "refRssi": -' ELSE ', "ref_rssi": -' END || CAST(50 + seq % 20 AS STRING) || '}' END AS payload FROM obs_raw
-        UNION ALL SELECT 1000000000 + s_suppkey, s_suppkey * 1000, 'site/rooms/n' || CAST(s_suppkey % 12 AS STRING) || '/status',
+          CASE WHEN seq % 97 = 0 THEN '{"distance": ' ELSE CASE WHEN seq % 2 = 0 THEN '{"refRssi": -' ELSE '{"ref_rssi": -' END || CAST(50 + seq % 20 AS STRING)
+            || CASE WHEN seq % 89 = 0 THEN '' ELSE ', "name": "' || name || '"' END || CASE WHEN k = 0 THEN '' ELSE ', "distance": ' || CAST(CAST(round(raw * 100) AS BIGINT) AS STRING) END || '}' END AS payload FROM obs_raw
+        UNION ALL SELECT 1000000000 + s_suppkey, s_suppkey * 1000, 'site/rooms/' || CASE WHEN s_suppkey % 10 = 9 THEN 'spare' || CAST(s_suppkey % 3 AS STRING) ELSE 'n' || CAST(s_suppkey % 12 AS STRING) END || '/status',
           CASE WHEN s_suppkey % 3 = 0 THEN ' Online ' ELSE 'offline' END FROM {t:supplier}
         UNION ALL SELECT 2000000000 + s_suppkey, s_suppkey * 1000, 'site/rooms/n' || CAST(s_suppkey % 12 AS STRING) || '/absorption', CAST(s_suppkey % 5 AS STRING) || '.5' FROM {t:supplier}
         UNION ALL SELECT 3000000000 + s_suppkey, s_suppkey * 1000, 'site/rooms/n' || CAST(s_suppkey % 12 AS STRING) || '/absorption/set', '9' FROM {t:supplier}
@@ -63,7 +64,9 @@ RELATIONS: dict[str, str] = {
     "gt_samples": """SELECT g.*, d.true_dist, d.true_dist * (0.6D + l_quantity / 50.0D) AS measured FROM gt_all g JOIN (
           SELECT a.node_id AS la, b.node_id AS tb, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS true_dist FROM nodes a JOIN nodes b ON a.node_id <> b.node_id) d
         ON g.listener_id = d.la AND g.transmitter_id = d.tb""",
-    "gt_valid": "SELECT *, absorption * ln(measured) / ln(true_dist) AS n FROM gt_samples WHERE measured > 0 AND true_dist > 1.0D",
+    # the exponent of a sample, without what the walls on its way take (in decibels, as a natural logarithm)
+    "gt_valid": """SELECT g.*, (g.absorption * ln(g.measured) - coalesce(w.loss_db, 0.0D) * ln(10.0D) / 10.0D) / ln(g.true_dist) AS n FROM gt_samples g
+        LEFT JOIN wall_loss w ON least(g.listener_id, g.transmitter_id) = w.a AND greatest(g.listener_id, g.transmitter_id) = w.b WHERE g.measured > 0 AND g.true_dist > 1.0D""",
     # decayed sufficient statistics of the path-loss exponent by pair; an hour's time constant, from the last accepted sample
     "pair_stats": """SELECT listener_id, transmitter_id, count(*) AS samples, max(last_ms) AS last_ms, sum(w) AS w, sum(w * n) / sum(w) AS n,
           greatest(sum(w * n * n) / sum(w) - (sum(w * n) / sum(w)) * (sum(w * n) / sum(w)), 0.0D) AS var_n, sum(w * true_dist) / sum(w) AS mean_true, sum(w * measured) / sum(w) AS mean_measured
@@ -88,7 +91,7 @@ RELATIONS: dict[str, str] = {
     # the latest fixes of each device as of its last message, one per node, within 30 s, in order of first sight
     "fix_last": """SELECT device_id, node_id, seq, t_ms, distance, rssi FROM (
           SELECT *, row_number() OVER (PARTITION BY device_id, node_id ORDER BY t_ms DESC, seq DESC) AS k FROM obs) o WHERE k = 1""",
-    "fixes": """SELECT f.device_id, f.node_id, n.x, n.y, n.z, f.distance AS d, r.room_id, row_number() OVER (PARTITION BY f.device_id ORDER BY n.ord) AS i, count(*) OVER (PARTITION BY f.device_id) AS m
+    "fixes": """SELECT f.device_id, f.node_id, n.x, n.y, n.z, f.distance AS d, f.rssi, r.room_id, row_number() OVER (PARTITION BY f.device_id ORDER BY n.ord) AS i, count(*) OVER (PARTITION BY f.device_id) AS m
         FROM fix_last f JOIN nodes n ON f.node_id = n.node_id JOIN node_rooms r ON f.node_id = r.node_id
         JOIN (SELECT device_id, max(t_ms) AS now_ms FROM obs GROUP BY device_id) t ON f.device_id = t.device_id
         WHERE f.distance IS NOT NULL AND f.t_ms >= t.now_ms - 30000""",
@@ -100,26 +103,105 @@ RELATIONS: dict[str, str] = {
           UNION SELECT p.room_id, q.room_id FROM rooms p JOIN rooms q ON p.floor_area = q.floor_area AND p.ord < q.ord) u GROUP BY least(a, b), greatest(a, b)""",
     "trust": "SELECT a, b FROM (SELECT least(a, b) AS a, greatest(a, b) AS b FROM shared_edges UNION SELECT a, b FROM walk) u WHERE a <> 'outside' AND b <> 'outside'",
     "trust2": "SELECT a, b FROM trust UNION SELECT b, a FROM trust",
+    # walls: room edges that no other room of the same open area shares, with doors as openings
+    "walls": """SELECT DISTINCT least(e.ax, e.bx) AS ax, least(e.ay, e.b_y) AS ay, greatest(e.ax, e.bx) AS bx, greatest(e.ay, e.b_y) AS b_y,
+          (SELECT count(DISTINCT f.room_id) FROM edges f WHERE abs(least(f.ax, f.bx) - least(e.ax, e.bx)) < 0.05D AND abs(least(f.ay, f.b_y) - least(e.ay, e.b_y)) < 0.05D
+            AND abs(greatest(f.ax, f.bx) - greatest(e.ax, e.bx)) < 0.05D AND abs(greatest(f.ay, f.b_y) - greatest(e.ay, e.b_y)) < 0.05D) = 1 AS exterior
+        FROM edges e""",
+    "inner_edges": """SELECT DISTINCT least(a.ax, a.bx) AS ax, least(a.ay, a.b_y) AS ay, greatest(a.ax, a.bx) AS bx, greatest(a.ay, a.b_y) AS b_y FROM edges a JOIN rooms p ON a.room_id = p.room_id
+        JOIN rooms q ON p.floor_area = q.floor_area AND p.room_id <> q.room_id JOIN edges b ON b.room_id = q.room_id
+          AND abs(least(a.ax, a.bx) - least(b.ax, b.bx)) < 0.05D AND abs(least(a.ay, a.b_y) - least(b.ay, b.b_y)) < 0.05D
+          AND abs(greatest(a.ax, a.bx) - greatest(b.ax, b.bx)) < 0.05D AND abs(greatest(a.ay, a.b_y) - greatest(b.ay, b.b_y)) < 0.05D""",
+    "solid": """SELECT w.*, row_number() OVER (ORDER BY w.ax, w.ay, w.bx, w.b_y) AS wall FROM walls w LEFT JOIN inner_edges i ON w.ax = i.ax AND w.ay = i.ay AND w.bx = i.bx AND w.b_y = i.b_y WHERE i.ax IS NULL""",
+    "doors": """SELECT s.wall, o.door_x, o.door_y, o.width FROM open_to o JOIN solid s ON abs((s.bx - s.ax) * (o.door_y - s.ay) - (s.b_y - s.ay) * (o.door_x - s.ax)) < 0.01D
+          AND o.door_x >= s.ax - 0.01D AND o.door_x <= s.bx + 0.01D AND o.door_y >= s.ay - 0.01D AND o.door_y <= s.b_y + 0.01D""",
+    "paths": "SELECT a.node_id AS a, b.node_id AS b, a.x AS px, a.y AS py, b.x AS qx, b.y AS qy FROM nodes a JOIN nodes b ON a.node_id < b.node_id",
+    "cuts": "SELECT p.a, p.b, s.wall, s.exterior, s.ax, s.ay, s.bx, s.b_y, p.px, p.py, p.qx, p.qy, (p.qx - p.px) * (s.b_y - s.ay) - (p.qy - p.py) * (s.bx - s.ax) AS den FROM paths p CROSS JOIN solid s",
+    "crossed": """SELECT a, b, wall, exterior, t, px + t * (qx - px) AS hx, py + t * (qy - py) AS hy FROM (
+          SELECT c.*, ((ax - px) * (b_y - ay) - (ay - py) * (bx - ax)) / den AS t, ((ax - px) * (qy - py) - (ay - py) * (qx - px)) / den AS u FROM cuts c WHERE abs(den) >= 1e-12) z
+        WHERE t >= 0 AND t <= 1 AND u >= 0 AND u <= 1""",
+    "wall_kinds": """SELECT c.a, c.b, c.wall, c.t, max(CASE WHEN d.wall IS NOT NULL THEN 2 WHEN c.exterior THEN 1 ELSE 0 END) AS kind FROM crossed c
+        LEFT JOIN doors d ON c.wall = d.wall AND abs(c.hx - d.door_x) <= d.width / 2 AND abs(c.hy - d.door_y) <= d.width / 2 GROUP BY c.a, c.b, c.wall, c.t""",
+    "wall_hits": """SELECT a, b, max(kind) AS kind FROM (SELECT k.*, sum(fresh) OVER (PARTITION BY a, b ORDER BY t, wall ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM (
+          SELECT k.*, CASE WHEN t - lag(t) OVER (PARTITION BY a, b ORDER BY t, wall) <= 0.005D THEN 0 ELSE 1 END AS fresh FROM wall_kinds k) k) g GROUP BY a, b, grp""",
+    "counted": """SELECT p.a, p.b, coalesce(sum(CASE WHEN m.kind = 0 THEN 1 ELSE 0 END), 0) AS interior, coalesce(sum(CASE WHEN m.kind = 1 THEN 1 ELSE 0 END), 0) AS exterior, coalesce(sum(CASE WHEN m.kind = 2 THEN 1 ELSE 0 END), 0) AS doors
+        FROM paths p LEFT JOIN wall_hits m ON p.a = m.a AND p.b = m.b GROUP BY p.a, p.b""",
+    "wall_loss": "SELECT a, b, 4.0D * interior + 10.0D * exterior + 0.0D * doors AS loss_db FROM counted",
+    # room middles: the area centroid, or the vertex mean where that lies outside the room
+    "shoelace": "SELECT room_id, sum(ax * b_y - bx * ay) / 2.0D AS area, sum((ax + bx) * (ax * b_y - bx * ay)) AS sx, sum((ay + b_y) * (ax * b_y - bx * ay)) AS sy FROM edges GROUP BY room_id",
+    "centroids": "SELECT room_id, abs(area) AS area, sx / (6.0D * area) AS cx, sy / (6.0D * area) AS cy FROM shoelace",
+    "anchors": """SELECT c.room_id, CASE WHEN h.inside = 1 THEN c.cx ELSE m.mx END AS x, CASE WHEN h.inside = 1 THEN c.cy ELSE m.my END AS y FROM centroids c
+        JOIN (SELECT c.room_id, sum(CASE WHEN (e.ay > c.cy) <> (e.b_y > c.cy) AND c.cx < (e.bx - e.ax) * (c.cy - e.ay) / (CASE WHEN e.b_y = e.ay THEN 1.0D ELSE e.b_y - e.ay END) + e.ax THEN 1 ELSE 0 END) % 2 AS inside
+          FROM centroids c JOIN edges e ON c.room_id = e.room_id GROUP BY c.room_id) h ON c.room_id = h.room_id
+        JOIN (SELECT room_id, avg(x) AS mx, avg(y) AS my FROM vertices GROUP BY room_id) m ON c.room_id = m.room_id""",
+    # upstream points against room polygons by ray casting; the first room in config order wins
+    "hits": """SELECT p.seq, e.ord, e.room_id, sum(CASE WHEN (e.ay > p.y) <> (e.b_y > p.y)
+          AND p.x < (e.bx - e.ax) * (p.y - e.ay) / (CASE WHEN e.b_y = e.ay THEN 1.0D ELSE e.b_y - e.ay END) + e.ax THEN 1 ELSE 0 END) % 2 AS inside
+        FROM upstream p CROSS JOIN edges e GROUP BY p.seq, e.ord, e.room_id""",
+    "located": """SELECT u.device_id, u.seq, u.t_ms, u.x, u.y, h.room_id FROM upstream u LEFT JOIN (SELECT seq, room_id FROM (
+          SELECT seq, room_id, row_number() OVER (PARTITION BY seq ORDER BY ord) AS k FROM hits WHERE inside = 1) a WHERE k = 1) h ON u.seq = h.seq""",
+    "room_distances": """SELECT p.seq, e.room_id, min(sqrt((p.x - e.ax - t * (e.bx - e.ax)) * (p.x - e.ax - t * (e.bx - e.ax)) + (p.y - e.ay - t * (e.b_y - e.ay)) * (p.y - e.ay - t * (e.b_y - e.ay)))) AS distance
+        FROM (SELECT u.seq, u.x, u.y, f.room_id AS r, f.v, least(greatest(((u.x - f.ax) * (f.bx - f.ax) + (u.y - f.ay) * (f.b_y - f.ay)) / ((f.bx - f.ax) * (f.bx - f.ax) + (f.b_y - f.ay) * (f.b_y - f.ay)), 0.0D), 1.0D) AS t FROM upstream u CROSS JOIN edges f) p
+        JOIN edges e ON p.r = e.room_id AND p.v = e.v GROUP BY p.seq, e.room_id""",
+    # settings of devices as retained messages; the last valid one counts, found by its own id or by its alias
+    "device_configs": """SELECT c_custkey AS seq, c_custkey * 10 AS t_ms, 'dev_' || CAST(c_custkey % n AS STRING) AS original_id, CASE WHEN c_custkey % 11 = 0 THEN '{"id": ' ELSE
+          '{"name": "' || c_mktsegment || '"' || CASE WHEN c_custkey % 13 = 0 THEN '' ELSE ', "id": "tag_' || CAST(c_custkey % 50 AS STRING) || '"' END || ', "rssi@1m": -' || CAST(55 + c_custkey % 12 AS STRING) || '.5}' END AS payload
+        FROM {t:customer} CROSS JOIN pin_devices""",
+    "device_settings": """SELECT original_id, {json: payload; id} AS alias, {json: payload; name} AS name, CAST(floor({num: {jsonq: payload; rssi@1m}} + 0.5D) AS BIGINT) AS ref_rssi FROM (
+          SELECT *, row_number() OVER (PARTITION BY original_id ORDER BY t_ms DESC, seq DESC) AS k FROM device_configs WHERE {isjson: payload}) c WHERE k = 1""",
+    # lines of saved state, some damaged: an audit log and connections of rooms, which are a name or an object
+    "audit_lines": """SELECT s_suppkey AS seq, CASE WHEN s_suppkey % 17 = 0 THEN '{"nodeId": "n' ELSE '{"nodeId": ' || CASE WHEN s_suppkey % 19 = 0 THEN 'null' ELSE '"n' || CAST(s_suppkey % 12 AS STRING) || '"' END || ', "oldValue": 2.5, "newValue": '
+          || CASE WHEN s_suppkey % 7 = 0 THEN '"high"' ELSE '3.' || CAST(s_suppkey % 10 AS STRING) END || ', "timestamp": ' || CAST(s_suppkey * 1000 AS STRING) || '}' END AS line FROM {t:supplier}""",
+    "open_lines": """SELECT n_nationkey AS seq, CASE WHEN n_nationkey % 3 = 0 THEN '"' || CASE WHEN n_nationkey % 2 = 0 THEN 'Outside' ELSE 'room_' || CAST(n_nationkey % 5 AS STRING) END || '"' ELSE '{"id": "room_' || CAST(n_nationkey % 5 AS STRING) || '"'
+          || CASE WHEN n_nationkey % 3 = 1 THEN ', "doorX": ' || CAST(n_nationkey AS STRING) || '.5' ELSE ', "width": 1.2' END || '}' END AS line FROM {t:nation}""",
+    # pins as they are recorded over time, and lines of saved pins and statistics
+    "pin_events": "SELECT device_id, seq, t_ms, x, y FROM upstream WHERE seq % 3 = 0",
+    "pin_lines": """SELECT c_custkey AS seq, CASE WHEN c_custkey % 23 = 0 THEN '{"deviceId": "d' ELSE '{"deviceId": "dev_' || CAST(c_custkey % 15 AS STRING) || '", "x": ' || CASE WHEN c_custkey % 9 = 0 THEN 'null' ELSE CAST(c_custkey % 12 AS STRING) || '.5' END
+          || ', "y": ' || CAST(c_custkey % 10 AS STRING) || '.0, "z": 1.0, "timestamp": ' || CAST(c_custkey * 10 AS STRING) || ', "active": true}' END AS line FROM {t:customer}""",
+    "stat_lines": """SELECT s_suppkey AS seq, '{"listener": "n' || CAST(s_suppkey % 12 AS STRING) || '", "transmitter": "n' || CAST((s_suppkey * 5 + 1) % 12 AS STRING) || '", "W": ' || CASE WHEN s_suppkey % 8 = 0 THEN '"many"' WHEN s_suppkey % 13 = 0 THEN '0' ELSE CAST(s_suppkey % 9 AS STRING) || '.5' END
+          || ', "SumN": ' || CAST(s_suppkey % 9 * 3 AS STRING) || '.25, "lastUpdateMs": ' || CAST(s_suppkey * 100 + 1 AS STRING) || '}' AS line FROM {t:supplier}""",
+    "option_lines": """SELECT n_nationkey AS seq, '{"enabled": ' || CASE WHEN n_nationkey % 2 = 0 THEN 'true' ELSE 'false' END || ', "minDelta": ' || CASE WHEN n_nationkey % 5 = 0 THEN '-1' WHEN n_nationkey % 7 = 0 THEN '"x"' ELSE '0.' || CAST(n_nationkey % 9 + 1 AS STRING) END
+          || ', "intervalMs": ' || CAST(n_nationkey % 4 * 60000 AS STRING) || '}' AS line FROM {t:nation}""",
+    # which devices are tracked: rules with * as the only wild card, made into patterns of LIKE
+    "rules": """SELECT kind, id_glob, name_glob, replace(replace(replace(replace(id_glob, '!', '!!'), '%', '!%'), '_', '!_'), '*', '%') AS id_like,
+          replace(replace(replace(replace(name_glob, '!', '!!'), '%', '!%'), '_', '!_'), '*', '%') AS name_like
+        FROM (VALUES ('exclude', 'dev_1*3', CAST(NULL AS STRING)), ('exclude', CAST(NULL AS STRING), 'err*'), ('include', 'dev_*', CAST(NULL AS STRING))) AS g(kind, id_glob, name_glob)""",
 }
 
+_SIDE = "CASE WHEN (e.ay > u.y) <> (e.b_y > u.y) AND u.x < (e.bx - e.ax) * (u.y - e.ay) / (CASE WHEN e.b_y = e.ay THEN 1.0D ELSE e.b_y - e.ay END) + e.ax THEN 1 ELSE 0 END"
+_ALONG = "least(greatest(((u.x - e.ax) * (e.bx - e.ax) + (u.y - e.ay) * (e.b_y - e.ay)) / ((e.bx - e.ax) * (e.bx - e.ax) + (e.b_y - e.ay) * (e.b_y - e.ay)), 0.0D), 1.0D)"
+#: For Spark: all polygons are one broadcast row of arrays, so points are tested where they are read and nothing is shuffled.
+SPARK: dict[str, str] = {
+    "polygons": """SELECT array_sort(collect_list(struct(ord, room_id, es))) AS rooms FROM (SELECT ord, room_id, collect_list(struct(ax, ay, bx, b_y)) AS es FROM edges GROUP BY ord, room_id)""",
+    "hits": f"""SELECT seq, r.ord AS ord, r.room_id AS room_id, r.inside AS inside FROM (SELECT u.seq, explode(transform(p.rooms, r -> struct(r.ord AS ord, r.room_id AS room_id, aggregate(r.es, 0, (k, e) -> k + {_SIDE}) % 2 AS inside))) AS r
+        FROM upstream u CROSS JOIN polygons p)""",
+    "located": f"""SELECT u.device_id, u.seq, u.t_ms, u.x, u.y, get(filter(p.rooms, r -> aggregate(r.es, 0, (k, e) -> k + {_SIDE}) % 2 = 1), 0).room_id AS room_id FROM upstream u CROSS JOIN polygons p""",
+    "room_distances": f"""SELECT seq, r.room_id AS room_id, r.distance AS distance FROM (SELECT u.seq, explode(transform(p.rooms, r -> struct(r.room_id AS room_id, array_min(transform(r.es, e -> array_max(transform(array({_ALONG}),
+          t -> sqrt((u.x - e.ax - t * (e.bx - e.ax)) * (u.x - e.ax - t * (e.bx - e.ax)) + (u.y - e.ay - t * (e.b_y - e.ay)) * (u.y - e.ay - t * (e.b_y - e.ay))))))) AS distance))) AS r FROM upstream u CROSS JOIN polygons p)""",
+}
+
+
+def _needs(sql: str, known: dict[str, str]) -> list[str]:
+    return [x for x in known if re.search(rf"\b(?:FROM|JOIN)\s+{x}\b", sql, re.I)]
 
-def _needs(sql: str) -> list[str]:
-    return [x for x in RELATIONS if re.search(rf"\b(?:FROM|JOIN)\s+{x}\b", sql, re.I)]
 
+def with_(sql: str, given: tuple[str, ...] = (), engine: str = "spark", scene: dict[str, str] | None = None) -> str:
+    """A query with the relations that it needs in front, each after those that it depends on, but for those `given`.
 
-def with_(sql: str, given: tuple[str, ...] = ()) -> str:
-    """A query with the relations that it needs in front, each after those that it depends on, but for those `given`."""
+    `scene` holds relations of another house, as `sources.config.scene` makes them.
+    """
+    known = RELATIONS | (SPARK if engine == "spark" else {}) | (scene or {})
     order: list[str] = list(given)
 
     def visit(text: str) -> None:
-        for name in _needs(text):
+        for name in _needs(text, known):
             if name not in order:
-                visit(RELATIONS[name])
+                visit(known[name])
                 if name not in order:
                     order.append(name)
 
     visit(sql)
-    body = ", ".join(f"{x} AS ({RELATIONS[x]})" for x in order if x not in given)
+    body = ", ".join(f"{x} AS ({known[x]})" for x in order if x not in given)
     if not body:
         return sql
     if sql.lstrip().upper().startswith("WITH RECURSIVE"):

@@ -1 +1 @@
-"""Part of rangefield."""
+"""Configuration and saved state."""

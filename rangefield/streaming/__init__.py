@@ -1 +1 @@
-"""Part of rangefield."""
+"""Structured Streaming versions of the state machines."""
