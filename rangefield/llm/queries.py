@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classlm, embeddings, factorization, langid, licenses, mixing, ngramjoin, packing, rules, stringkernel
+from . import classlm, divergence, embeddings, factorization, langid, licenses, linededup, mixing, ngramjoin, packing, rules, search, stringkernel
 from .textkit import table
 
 
@@ -48,6 +48,18 @@ def op10_quality_rules(spark, sf_dir):
     )
 
 
+def op11_line_dedup(spark, sf_dir):
+    return linededup.op11(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark, sf_dir):
+    return divergence.op12(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark, sf_dir):
+    return search.op13(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality_fm": op1_quality_fm,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -59,5 +71,14 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_lexical_search": op13_lexical_search,
+}
+ORACLES: dict[str, str] = {
+    "op5_source_mixing": mixing.ORACLE,
+    "op6_license_scan": licenses.ORACLE,
+    "op11_line_dedup": linededup.ORACLE,
+    "op12_source_divergence": divergence.ORACLE,
+    "op13_lexical_search": search.ORACLE,
 }
-ORACLES: dict[str, str] = {"op5_source_mixing": mixing.ORACLE, "op6_license_scan": licenses.ORACLE}
