@@ -186,7 +186,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     key = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit((1 << 63) - 1)).alias(holder)
     marked = book.filter(F.size(digests) > 0).withColumns({holder: key, mark: F.xxhash64(column)})
     suspects = marked.select(holder, mark, F.explode(digests).alias(one))
-    firsts = suspects.groupBy(one).agg(F.min(holder).alias(least), F.max(holder).alias(most)).filter(F.col(least) < F.col(most)).select(one, least)
+    # written, so that both sides of the join below are dealt anew and a hot digest can be split
+    firsts = scratch.save(suspects.groupBy(one).agg(F.min(holder).alias(least), F.max(holder).alias(most)).filter(F.col(least) < F.col(most)).select(one, least))
     drops = suspects.join(firsts, one).filter(F.col(holder) > F.col(least)).groupBy(holder, mark).agg(F.collect_set(one).alias(gone))
     joined = marked.join(drops, [holder, mark], "left").select(*[F.col(f"`{c}`") for c in keep], n_lines, gone)
     result = StructType([docs.schema[c] if c != text else StructField(c, StringType()) for c in keep] + [StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
