@@ -633,6 +633,53 @@ def rf_physics(fixes: Fixes) -> Places:
     return _from_crossing(fixes, refine)
 
 
+#: Active locator: weight of a pair of fixes by how many of its nodes are in or next to the voted room (both in it: 1), and how many fixes vote.
+OUT_OF_REACH, HALF_NEAR, BOTH_NEAR, VOTERS = 0.005, 0.3, 0.8, 3
+
+
+def voted_room(fixes: Fixes) -> np.ndarray:
+    """The room that the nearest nodes speak for, or the number of rooms."""
+    none = len(fixes.house.rooms)
+    near = np.argsort(np.where(fixes.on, fixes.d, np.inf), axis=1, kind="stable")[:, :VOTERS]
+    room = np.take_along_axis(np.where(fixes.on, fixes.room, none), near, 1)
+    weight = np.take_along_axis(fixes.near_weight, near, 1)
+    votes = np.zeros(room.shape)
+    for k in range(room.shape[1]):  # a room's votes add up from the nearest node on
+        votes += np.where(room == room[:, k : k + 1], weight[:, k : k + 1], 0.0)
+    votes[room == none] = -1.0
+    return room[np.arange(len(room)), votes.argmax(1)]
+
+
+def room_aware(fixes: Fixes) -> Places:
+    """The mean of all crossings, weighted by angle, size, rooms, path quality and the other circles through them; no place (NaN) with fewer than two fixes."""
+    x, y, good, i, j, angle = _crossings(fixes)
+    house, row = fixes.house, np.arange(len(fixes.d))[:, None]
+    home = voted_room(fixes)[:, None]
+    known = home < len(house.rooms)
+    near = known & house.near[home, fixes.room]
+    first, second = near[:, i], near[:, j]
+    inside = (fixes.room[:, i] == home) & (fixes.room[:, j] == home)
+    rooms = np.where(first & second, np.where(inside, 1.0, BOTH_NEAR), np.where((first | second) | ~known, HALF_NEAR, OUT_OF_REACH))
+    off = np.abs(np.hypot(x[:, :, None] - fixes.x[:, None, :], y[:, :, None] - fixes.y[:, None, :]) - fixes.d[:, None, :])
+    reach = AGREE * fixes.d[:, None, :]
+    each = np.arange(fixes.d.shape[1])
+    others = fixes.on[:, None, :] & (each != i[:, None]) & (each != j[:, None])
+    agree = np.where(others & (off <= reach), np.where(near, 1.0, 0.3)[:, None, :] * (1 - off / np.where(reach > 0, reach, 1.0)), 0.0).sum(2)
+    score = np.where(good, angle * rooms * (0.5 + 0.5 * fixes.pair_r2[row, i, j]) * (1 + agree), 0.0)
+    total = score.sum(1)
+    found = total > 0
+    out = Places(_plain(fixes), np.full(len(total), 0.3), fixes.count)
+    safe = np.where(found, total, 1.0)
+    for k, c in enumerate((x, y)):
+        out.at[:, k] = np.where(found, (score * c).sum(1) / safe, out.at[:, k])
+    counted = fixes.on & near
+    close = counted & (np.abs(fixes.flat(out.at) - fixes.d) < 1.5)
+    share = close.sum(1) / np.maximum(counted.sum(1), 1)
+    out.confidence[found] = np.clip(0.6 * share + 0.4 * np.minimum(1, fixes.count / 6), 0, 1)[found]
+    out.at[fixes.count < 2] = np.nan
+    return out
+
+
 SOLVERS: dict[str, Callable[[Fixes], Places]] = {
     "nadaraya_watson": centroid,
     "nelder_mead": nelder_mead,

@@ -19,6 +19,9 @@ RELATIONS: dict[str, str] = {
     "open_to": """SELECT * FROM (VALUES ('living', 'hall', 2.0D, 5.0D, 0.8D), ('office', 'bath', 10.0D, 5.0D, 0.9D),
         ('hall', 'outside', 0.0D, 7.5D, 1.0D), ('hall', 'bedroom', 4.0D, 7.5D, 0.8D), ('bedroom', 'bath', 8.0D, 6.0D, 0.8D))
         AS o(room_id, target, door_x, door_y, width)""",
+    # floors in order, with the heights between which they reach (null: any), and the floor of each room
+    "floors": "SELECT 0 AS ord, 'main' AS floor_id, 'Main floor' AS floor_name, CAST(NULL AS DOUBLE) AS z0, CAST(NULL AS DOUBLE) AS z1",
+    "room_floors": "SELECT ord, room_id, 'main' AS floor_id FROM rooms",
     "vertices": """SELECT ord, room_id, 0 AS v, x0 AS x, y0 AS y FROM rooms UNION ALL SELECT ord, room_id, 1, x1, y0 FROM rooms
         UNION ALL SELECT ord, room_id, 2, x1, y1 FROM rooms UNION ALL SELECT ord, room_id, 3, x0, y1 FROM rooms""",
     "edges": """SELECT a.ord, a.room_id, a.v, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y
@@ -155,7 +158,9 @@ RELATIONS: dict[str, str] = {
     "open_lines": """SELECT n_nationkey AS seq, CASE WHEN n_nationkey % 3 = 0 THEN '"' || CASE WHEN n_nationkey % 2 = 0 THEN 'Outside' ELSE 'room_' || CAST(n_nationkey % 5 AS STRING) END || '"' ELSE '{"id": "room_' || CAST(n_nationkey % 5 AS STRING) || '"'
           || CASE WHEN n_nationkey % 3 = 1 THEN ', "doorX": ' || CAST(n_nationkey AS STRING) || '.5' ELSE ', "width": 1.2' END || '}' END AS line FROM {t:nation}""",
     # pins as they are recorded over time, and lines of saved pins and statistics
-    "pin_events": "SELECT device_id, seq, t_ms, x, y FROM upstream WHERE seq % 3 = 0",
+    "pin_events": "SELECT device_id, seq, t_ms, x, y FROM upstream",
+    # what users do with pins: set one, take up the nearest one again, or let go of all
+    "pin_actions": "SELECT device_id, seq, t_ms, x, y, CASE seq % 3 WHEN 0 THEN 'record' WHEN 1 THEN 'activate' ELSE 'deactivate' END AS kind FROM upstream",
     "pin_lines": """SELECT c_custkey AS seq, CASE WHEN c_custkey % 23 = 0 THEN '{"deviceId": "d' ELSE '{"deviceId": "dev_' || CAST(c_custkey % 15 AS STRING) || '", "x": ' || CASE WHEN c_custkey % 9 = 0 THEN 'null' ELSE CAST(c_custkey % 12 AS STRING) || '.5' END
           || ', "y": ' || CAST(c_custkey % 10 AS STRING) || '.0, "z": 1.0, "timestamp": ' || CAST(c_custkey * 10 AS STRING) || ', "active": true}' END AS line FROM {t:customer}""",
     "stat_lines": """SELECT s_suppkey AS seq, '{"listener": "n' || CAST(s_suppkey % 12 AS STRING) || '", "transmitter": "n' || CAST((s_suppkey * 5 + 1) % 12 AS STRING) || '", "W": ' || CASE WHEN s_suppkey % 8 = 0 THEN '"many"' WHEN s_suppkey % 13 = 0 THEN '0' ELSE CAST(s_suppkey % 9 AS STRING) || '.5' END

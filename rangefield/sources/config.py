@@ -65,15 +65,19 @@ def _relation(name: str, columns: str, rows: list[tuple]) -> str:
 
 
 def scene(config: dict[str, Any]) -> dict[str, str]:
-    """The relations rooms, vertices, open_to and all_nodes of a configuration, as SQL."""
-    rooms, corners, doors, nodes = [], [], [], []
+    """The relations rooms, vertices, floors, room_floors, open_to and all_nodes of a configuration, as SQL."""
+    rooms, corners, doors, nodes, floors, levels = [], [], [], [], [], []
     for floor in config["floors"]:
+        low, high = floor.get("bounds") or ((0, 0, None), (0, 0, None))
+        level = floor.get("id") or floor.get("name") or f"floor_{len(floors)}"
+        floors.append((len(floors), level, floor.get("name", level), *(None if z is None else float(z) for z in (low[2], high[2]))))
         for room in floor.get("rooms", []):
             points = [(float(x), float(y)) for x, y in room.get("points", [])]
             if len(points) < 3:
                 continue
             key, xs, ys = room.get("id") or room["name"], [p[0] for p in points], [p[1] for p in points]
             rooms.append((len(rooms), key, room.get("name", key), min(xs), min(ys), max(xs), max(ys), room.get("floor_area")))
+            levels.append((rooms[-1][0], key, level))
             corners += [(rooms[-1][0], key, i, x, y) for i, (x, y) in enumerate(points)]
             for target in room.get("open_to", []):
                 own = target if isinstance(target, dict) else {"id": target}
@@ -85,6 +89,8 @@ def scene(config: dict[str, Any]) -> dict[str, str]:
             nodes.append((node["id"], len(nodes), *map(float, node["point"]), node.get("room"), node.get("enabled", True)))
     return {
         "rooms": _relation("rooms", "ord, room_id, room_name, x0, y0, x1, y1, floor_area", rooms),
+        "floors": "SELECT ord, floor_id, floor_name, CAST(z0 AS DOUBLE) AS z0, CAST(z1 AS DOUBLE) AS z1 FROM (" + _relation("floors", "ord, floor_id, floor_name, z0, z1", floors) + ")",
+        "room_floors": _relation("rooms", "ord, room_id, floor_id", levels),
         "vertices": _relation("rooms", "ord, room_id, v, x, y", corners),
         "open_to": _relation("connections", "room_id, target, door_x, door_y, width", doors),
         "all_nodes": _relation("nodes", "node_id, ord, x, y, z, room_label, enabled", nodes),
