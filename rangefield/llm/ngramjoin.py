@@ -21,7 +21,9 @@ similarity.  The bound is the number of differing bits of two parity sketches
 takes the closest such partner of each member, which joins most of what can
 be joined; the last round takes every pair that is left.  So no link between
 two components is lost, and n near copies cost about n verified pairs and not
-n * n.  A bucket of more than BLOCK members is dealt over tasks by blocks.
+n * n.  A bucket of more than BLOCK members is dealt over tasks by blocks.  Two
+postings late in the order of their sets never make a pair (`_early`), so texts
+that share no more than a passage are not dealt.
 
 Sets are compared by 64-bit hashes of their shingles, and equal sets are told
 by a 64-bit fingerprint.
@@ -336,7 +338,7 @@ def _block_buckets(percent: int, closest: bool):
     """The same for larger buckets: each block's own members, which come first, against all that were sent to the block."""
 
     def compare(home: list[np.ndarray], other: list[np.ndarray], kind: str) -> tuple[np.ndarray, np.ndarray]:
-        (uid, at, part, parity, common), (uid2, at2, part2, parity2, _) = home, other
+        (uid, at, part, parity, stays), (uid2, at2, part2, parity2, _) = home, other
         bits, bits2 = _bits(parity), _bits(parity2)
         best, best2 = _Closest(len(uid)), _Closest(len(uid2))
         left, right = [], []
@@ -346,8 +348,8 @@ def _block_buckets(percent: int, closest: bool):
             i = mine[i]
             if kind == "same":  # rows with themselves
                 once = uid[i] < uid2[j]
-            elif kind == "away":  # of two rarer members the one with the lesser id is compared at its home
-                once = common[i] | (uid[i] < uid2[j])
+            elif kind == "away":  # of two that are both sent the one with the lesser id is compared at its home
+                once = stays[i] | (uid[i] < uid2[j])
             else:
                 once = np.ones(len(i), bool)
             i, j = i[once], j[once]
@@ -369,7 +371,7 @@ def _block_buckets(percent: int, closest: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, home = None, []
-        names = ["uid", "at", "part", "parity", "common"]
+        names = ["uid", "at", "part", "parity", "stays"]
         for batch in batches:
             token, block, away = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "block", "away"))
             edge = np.flatnonzero((token[1:] != token[:-1]) | (block[1:] != block[:-1]) | (away[1:] != away[:-1])) + 1
@@ -477,19 +479,37 @@ def verify(pairs: DataFrame, units: DataFrame, docs: DataFrame, percent: int, si
     return out
 
 
+def _early(percent: int) -> Column:
+    """Whether a posting stands so early in its set that the set can be the smaller one of a pair that meets there first.
+
+    Sets of sizes n >= m that share nothing before positions i and j have
+    (100 + percent) * (m - j) >= percent * (n + m) >= 2 * percent * m, if they
+    are similar.  So two postings that are both late never make a pair: texts
+    that share a passage and have much of their own before it in the order.
+    """
+    n = F.shiftright("at", 32)
+    return (100 + percent) * (n - F.col("at").bitwiseAND(F.lit(PLACE))) >= 2 * percent * n
+
+
 def _parts(units: DataFrame, links: DataFrame) -> DataFrame:
     """uid, gid, n, doc_id and part for every unit."""
     found = components(links)
     return save(units.join(found, units.uid == found.node, "left").select("uid", "gid", "n", "doc_id", F.coalesce("component", "uid").alias("part")))
 
 
-def _open_rows(big: DataFrame, several: DataFrame, parts: DataFrame, book: DataFrame) -> DataFrame:
-    """token, uid, at, part and parity of the members of all buckets that span components; saved."""
+def _open_rows(big: DataFrame, several: DataFrame, parts: DataFrame, book: DataFrame, percent: int) -> DataFrame:
+    """token, uid, at, part and parity of the members of all buckets that span components; saved.
+
+    Without an early posting that is small enough, a late one is left out.
+    """
     inside = parts.join(several, "gid").select("gid", "hub", "k", F.col("uid").alias("m"), "n", F.col("part").alias("of_m"))
     groups = inside.groupBy("gid", "hub", "k").agg(F.min("of_m").alias("lo"), F.max("of_m").alias("hi"))
     posted = big.join(parts.select(F.col("uid").alias("hub"), "part"), "hub").join(groups.select("hub", "lo", "hi"), "hub", "left")
-    spans = posted.groupBy("token").agg(F.min(F.coalesce("lo", "part")).alias("lo"), F.max(F.coalesce("hi", "part")).alias("hi"))
-    rows = posted.select("token", "hub", "at", "part").join(spans.filter("lo <> hi").select("token"), "token")
+    size, early = F.shiftright("at", 32), _early(percent)
+    least, most = (f(F.when(early, size)) for f in (F.min, F.max))
+    spans = posted.groupBy("token").agg(F.min(F.coalesce("lo", "part")).alias("lo"), F.max(F.coalesce("hi", "part")).alias("hi"), least.alias("least"), most.alias("most"))
+    met = posted.select("token", "hub", "at", "part").join(spans.filter("lo <> hi AND least IS NOT NULL").select("token", "least", "most"), "token")
+    rows = met.filter(early | ((size >= F.col("least")) & (percent * size <= 100 * F.col("most")))).select("token", "hub", "at", "part")
     rows = rows.join(inside.select("hub", "m", "of_m"), "hub", "left").select("token", F.coalesce("m", "hub").alias("uid"), "at", F.coalesce("of_m", "part").alias("part"))
     # in the bucket of a smaller group all pairs have met
     own = inside.join(groups.filter((F.col("lo") != F.col("hi")) & (F.col("k") > SMALL)).select("gid"), "gid")
@@ -503,7 +523,9 @@ def _open_rows(big: DataFrame, several: DataFrame, parts: DataFrame, book: DataF
 
 def _remaining(rows: DataFrame, percent: int, closest: bool) -> DataFrame:
     """Pairs (a, b) of the open rows: every one that may be similar, or the closest partner of each row only; saved."""
-    counts = rows.groupBy("token", "part").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("total"), F.max_by("part", "c").alias("main"))
+    early = _early(percent)
+    by_part = rows.groupBy("token", "part").agg(F.count("*").alias("c"), F.sum(early.cast("int")).alias("e"))
+    counts = by_part.groupBy("token").agg(F.sum("c").alias("total"), F.sum("e").alias("early"), F.max_by("part", "c").alias("main"), F.max_by("c", "c").alias("of_main"), F.max_by("e", "c").alias("early_main"))
     many = save(counts.filter(F.col("total") > BLOCK))
     fields = "a long, b long, token long, at long"
     marked = rows.join(many, "token", "left")
@@ -512,12 +534,15 @@ def _remaining(rows: DataFrame, percent: int, closest: bool) -> DataFrame:
     found = whole.mapInArrow(_whole_buckets(percent, closest), fields)
     if many.limit(1).count():
         blocks = F.ceil(F.col("total") / BLOCK).cast("int")
+        # a pair has an early posting, and one outside the commonest component: those that are both are sent to every block,
+        # and either the early ones of the commonest component or the late ones outside it, whichever are fewer
+        common, late = F.col("part") == F.col("main"), F.expr("total - of_main - (early - early_main)")
+        sent = (early & ~common) | F.when(F.col("early_main") <= late, early & common).otherwise(~early & ~common)
         split = marked.filter("total IS NOT NULL").select(
-            "token", "uid", "at", "part", "parity", (F.col("part") == F.col("main")).alias("common"), blocks.alias("blocks"), F.pmod(F.xxhash64("uid"), blocks).cast("int").alias("block")
+            "token", "uid", "at", "part", "parity", (~sent).alias("stays"), blocks.alias("blocks"), F.pmod(F.xxhash64("uid"), blocks).cast("int").alias("block")
         )
-        # members of the commonest component never meet each other; the rarer ones are sent to every block
-        rare = split.filter("NOT common").withColumn("to", F.explode(F.expr("filter(sequence(0, blocks - 1), x -> x <> block)")))
-        columns = ["token", "uid", "at", "part", "parity", "common"]
+        rare = split.filter("NOT stays").withColumn("to", F.explode(F.expr("filter(sequence(0, blocks - 1), x -> x <> block)")))
+        columns = ["token", "uid", "at", "part", "parity", "stays"]
         dealt = split.select(*columns, "block", F.lit(False).alias("away")).union(rare.select(*columns, F.col("to").alias("block"), F.lit(True).alias("away")))
         dealt = dealt.repartition("token", "block").sortWithinPartitions("token", "block", "away")
         found = found.union(dealt.mapInArrow(_block_buckets(percent, closest), fields))
@@ -556,7 +581,7 @@ def join(docs: DataFrame, percent: int = 75, size: int = SIZE) -> DataFrame:
     links = verify(pairs, units, docs, percent, size)
     parts = _parts(units, links)
     for closest in (True, False):
-        rest = _open_rows(big, several, parts, book)
+        rest = _open_rows(big, several, parts, book, percent)
         if rest.limit(1).count():
             more = _remaining(rest, percent, closest)
             fresh_pairs = save(more.join(pairs, ["a", "b"], "left_anti"))

@@ -111,6 +111,41 @@ def test_blocks_and_spread_shingles(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def own_words_and_a_passage(n, seed=4):
+    rng = random.Random(seed)
+    passage = " ".join(f"p{i}" for i in range(100))
+    return [(i, " ".join(f"u{rng.randrange(10**9)}" for _ in range(20)) + " " + passage) for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [1500, 3000])
+def test_a_shared_passage_is_not_dealt(spark, monkeypatch, n):
+    """Texts that share a passage and are not alike: no postings are dealt for them, however many there are."""
+    dealt = []
+    whole = ngramjoin._open_rows
+
+    def counted(*args):
+        out = whole(*args)
+        dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngramjoin, "_open_rows", counted)
+    rows = own_words_and_a_passage(n) + [(n, own_words_and_a_passage(1)[0][1] + " end")]
+    got = run(spark, rows)
+    assert [r for r in got if r[2] != r[0]] == [(n, 117, 0)] and len(got) == n + 1
+    assert sum(dealt) <= 20, dealt
+
+
+@pytest.mark.parametrize("own", [6, 10, 14, 18])
+def test_early_and_late_postings_in_blocks(spark, monkeypatch, own):
+    """Texts of many sizes around one passage, some alike and some not, in blocks of a few."""
+    monkeypatch.setattr(ngramjoin, "BLOCK", 16)
+    rng = random.Random(own)
+    passage = [f"p{i}" for i in range(100)]
+    rows = [(i, " ".join([*(f"u{rng.randrange(10**9)}" for _ in range(rng.choice([own, 2 * own, 3, 40]))), *passage[: rng.choice([100, 90, 60])], *rng.choice([[], ["s"] * 9])])) for i in range(160)]
+    rows += [(200 + i, " ".join([*(f"v{i % 4}x{j}" for j in range(own)), *passage])) for i in range(60)]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_difference_bound_drops_no_link():
     rng = np.random.default_rng(3)
     for n in (1, 7, 60, 400, 3000):
