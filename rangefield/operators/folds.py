@@ -84,16 +84,16 @@ _LIMIT_STEPS = """WITH RECURSIVE numbered AS (SELECT node_id, t_ms, seq, row_num
   SELECT node_id, seq, t_ms FROM steps WHERE goes"""
 
 
-#: Pins as they are recorded: the first one within a metre is taken up again, or a new one is added.
-_NEAR = "sqrt((p.x - e.x) * (p.x - e.x) + (p.y - e.y) * (p.y - e.y)) <= 1.0D"
+#: Pins as they are recorded: the first one less than a metre away is taken up again and keeps its place, or a new one is added.
+_NEAR = "sqrt((p.x - e.x) * (p.x - e.x) + (p.y - e.y) * (p.y - e.y)) < 1.0D"
 _PINS = f"""SELECT device_id, p.first AS first_seq, p.last AS last_seq, p.n AS n, round(p.x, 6) AS x, round(p.y, 6) AS y FROM (SELECT device_id, explode(aggregate(a, CAST(array() AS ARRAY<STRUCT<x: DOUBLE, y: DOUBLE, first: BIGINT, last: BIGINT, n: BIGINT>>),
-    (s, e) -> CASE WHEN exists(s, p -> {_NEAR}) THEN transform(s, p -> CASE WHEN p.first = filter(s, p -> {_NEAR})[0].first THEN named_struct('x', e.x, 'y', e.y, 'first', p.first, 'last', e.seq, 'n', p.n + 1) ELSE p END)
+    (s, e) -> CASE WHEN exists(s, p -> {_NEAR}) THEN transform(s, p -> CASE WHEN p.first = filter(s, p -> {_NEAR})[0].first THEN named_struct('x', p.x, 'y', p.y, 'first', p.first, 'last', e.seq, 'n', p.n + 1) ELSE p END)
       ELSE array_append(s, named_struct('x', e.x, 'y', e.y, 'first', e.seq, 'last', e.seq, 'n', CAST(1 AS BIGINT))) END)) AS p
   FROM (SELECT device_id, array_sort(collect_list(named_struct('t_ms', CAST(t_ms AS BIGINT), 'seq', CAST(seq AS BIGINT), 'x', x, 'y', y))) AS a FROM pin_events GROUP BY device_id))"""
 _PINS_STEPS = """WITH RECURSIVE numbered AS (SELECT device_id, seq, x, y, row_number() OVER (PARTITION BY device_id ORDER BY t_ms, seq) AS k, count(*) OVER (PARTITION BY device_id) AS total FROM pin_events),
   steps AS (SELECT device_id, k, total, [{'x': x, 'y': y, 'first': CAST(seq AS BIGINT), 'last': CAST(seq AS BIGINT), 'n': CAST(1 AS BIGINT)}] AS s FROM numbered WHERE k = 1
-    UNION ALL SELECT r.device_id, r.k, r.total, CASE WHEN len(list_filter(t.s, lambda p: sqrt((p.x - r.x) * (p.x - r.x) + (p.y - r.y) * (p.y - r.y)) <= 1.0D)) > 0
-      THEN list_transform(t.s, lambda p: CASE WHEN p.first = list_filter(t.s, lambda q: sqrt((q.x - r.x) * (q.x - r.x) + (q.y - r.y) * (q.y - r.y)) <= 1.0D)[1].first THEN {'x': r.x, 'y': r.y, 'first': p.first, 'last': CAST(r.seq AS BIGINT), 'n': p.n + 1} ELSE p END)
+    UNION ALL SELECT r.device_id, r.k, r.total, CASE WHEN len(list_filter(t.s, lambda p: sqrt((p.x - r.x) * (p.x - r.x) + (p.y - r.y) * (p.y - r.y)) < 1.0D)) > 0
+      THEN list_transform(t.s, lambda p: CASE WHEN p.first = list_filter(t.s, lambda q: sqrt((q.x - r.x) * (q.x - r.x) + (q.y - r.y) * (q.y - r.y)) < 1.0D)[1].first THEN {'x': p.x, 'y': p.y, 'first': p.first, 'last': CAST(r.seq AS BIGINT), 'n': p.n + 1} ELSE p END)
       ELSE list_append(t.s, {'x': r.x, 'y': r.y, 'first': CAST(r.seq AS BIGINT), 'last': CAST(r.seq AS BIGINT), 'n': CAST(1 AS BIGINT)}) END FROM steps t JOIN numbered r ON r.device_id = t.device_id AND r.k = t.k + 1)
   SELECT device_id, p.first AS first_seq, p.last AS last_seq, p.n AS n, round(p.x, 6) AS x, round(p.y, 6) AS y FROM (SELECT device_id, unnest(s) AS p FROM steps WHERE k = total) z"""
 

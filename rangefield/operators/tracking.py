@@ -32,7 +32,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dialect import spark_sql
@@ -684,4 +684,56 @@ def replay(rows: DataFrame, scene: Scene, settings: Settings = Settings(), until
     return dealt.mapInArrow(run, fields)
 
 
+#: The clock of the test tables runs 50,000 times too fast, so whoever is silent for 1.2 s is away.
+QUICK = Settings(room_ms=100, room_far_ms=400, away_ms=1200, cleanup_ms=300, commit_ms=300)
+
+
+def tracked(spark, sf_dir: str, settings: Settings = QUICK, own: dict[str, str] | None = None) -> DataFrame:
+    """The replay of a folder's messages and pins, with everyone away at its end who has been silent for long enough."""
+    until = spark_sql(with_("SELECT CAST(max(t_ms) AS BIGINT) AS t FROM obs"))(spark, sf_dir).first().t
+    return replay(events(spark, sf_dir, own=own), scene_of(spark, sf_dir, own), settings, until)
+
+
+def _rounded(*names: str) -> list:
+    return [F.round(x, 6).alias(x) for x in names]
+
+
+def _positions(spark, sf_dir: str) -> DataFrame:
+    own = tracked(spark, sf_dir).filter("kind = 'message' AND raw_x IS NOT NULL")
+    return own.select("device_id", "seq", "t_ms", "fixes", *_rounded("raw_x", "raw_y", "raw_z", "confidence", "x", "y", "z"), "algorithm", "room_id", "floor_id")
+
+
+def _posterior(spark, sf_dir: str) -> DataFrame:
+    return tracked(spark, sf_dir).filter("smart_room IS NOT NULL").select("device_id", "seq", "t_ms", *_rounded("smart_x", "smart_y", "smart_chance"), "smart_room")
+
+
+def _presence(spark, sf_dir: str) -> DataFrame:
+    """What devices report when it changes: by the held room, and by room probabilities; not_home also of devices that fall silent."""
+    told = tracked(spark, sf_dir).filter("changed OR smart_changed")
+    news = F.explode(F.array(*[F.struct(F.lit(e).alias("entity"), F.col(s).alias("state"), F.col(c).alias("news")) for e, s, c in (("location", "state", "changed"), ("smart", "smart_state", "smart_changed"))]))
+    return told.select("device_id", "t_ms", "kind", news.alias("n")).filter("n.news").select("device_id", "t_ms", "kind", "n.entity", "n.state")
+
+
+def _pin_book(spark, sf_dir: str) -> DataFrame:
+    return tracked(spark, sf_dir).filter("kind = 'pin'").select("device_id", "pin_ms", *_rounded("x", "y", "z"), F.col("t_ms").alias("active_until_ms"), F.col("pin_samples").alias("samples"))
+
+
+def _upstream_offsets(spark, sf_dir: str) -> DataFrame:
+    """Each upstream place against the device's active place when it arrived."""
+    at = tracked(spark, sf_dir).filter("kind = 'message' AND x IS NOT NULL").select("device_id", "t_ms", "seq", "x", "y")
+    up = spark_sql(with_("SELECT device_id, CAST(t_ms AS BIGINT) AS t_ms, CAST(seq AS BIGINT) AS seq, x AS ux, y AS uy FROM upstream"))(spark, sf_dir)
+    both = at.select("*", F.lit(None).cast("double").alias("ux"), F.lit(None).cast("double").alias("uy")).unionByName(up.withColumns({"x": F.lit(None).cast("double"), "y": F.lit(None).cast("double")}))
+    past = Window.partitionBy("device_id").orderBy("t_ms", F.col("ux").isNotNull(), "seq").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumns({"x": F.last("x", True).over(past), "y": F.last("y", True).over(past)}).filter("ux IS NOT NULL AND x IS NOT NULL")
+    return seen.select("device_id", "seq", F.round(F.hypot(F.col("ux") - F.col("x"), F.col("uy") - F.col("y")), 6).alias("off"))
+
+
+QUERIES = {
+    "w01_replayed_positions": _positions,
+    "l12_bayesian": _posterior,
+    "w09_presence_log": _presence,
+    "m02_pin_book": _pin_book,
+    "j19_upstream_offsets": _upstream_offsets,
+}
+
 __all__ = ["AWAY", "HEARD", "OUT", "Scene", "Settings", "Tracker", "events", "replay", "scene_of", "to_batches"]

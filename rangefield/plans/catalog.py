@@ -8,7 +8,7 @@ import uuid
 from pyspark import StorageLevel
 
 from ..functions.dialect import duck_sql, render, spark_sql
-from ..operators import folds, solvers
+from ..operators import folds, solvers, tracking
 from . import calibration, geometry, ingest, locate, views
 from .relations import RELATIONS, with_
 
@@ -53,7 +53,7 @@ def queries() -> dict:
     """Every query; each takes (spark, sf_dir)."""
     out = {k: spark_sql(with_(v)) for k, v in SQL.items()}
     out |= {k: locating(v) for k, v in locate.QUERIES.items()}
-    return out | folds.QUERIES | solvers.QUERIES
+    return out | folds.QUERIES | solvers.QUERIES | tracking.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
