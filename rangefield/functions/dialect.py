@@ -22,6 +22,7 @@ FORMS: dict[str, tuple[str, str]] = {
     "grab": ("regexp_extract($1, $2, $3)", "regexp_extract($1, $2, $3)"),
     "like": ("($1 RLIKE $2)", "regexp_matches($1, $2)"),
     "part": ("element_at(split($1, '/'), $2)", "split_part($1, '/', $2)"),
+    "part_of": ("element_at(split($1, $2), $3)", "split_part($1, $2, $3)"),
     "parts": ("size(split($1, '/'))", "len(string_split($1, '/'))"),
     "num": ("try_cast($1 as double)", "try_cast($1 as double)"),
     "days": ("datediff(cast($1 as date), date '$2')", "date_diff('day', date '$2', cast($1 as date))"),

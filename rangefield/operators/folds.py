@@ -6,9 +6,8 @@ The rows of a key are sorted by (t_ms, seq) and folded with Catalyst's
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions.dialect import spark_sql
+from ..plans import sites
 from ..plans.relations import with_
 
 #: Exponential smoothing of a node's distance: time constant 2 s, a gap of 30 s starts anew, variance alongside.
@@ -98,23 +97,12 @@ _PINS_STEPS = """WITH RECURSIVE numbered AS (SELECT device_id, seq, x, y, row_nu
   SELECT device_id, p.first AS first_seq, p.last AS last_seq, p.n AS n, round(p.x, 6) AS x, round(p.y, 6) AS y FROM (SELECT device_id, unnest(s) AS p FROM steps WHERE k = total) z"""
 
 
-def hops(spark, sf_dir):
-    """Least number of doors between rooms: breadth first from all rooms at once, a frontier of new pairs per step."""
-    walk = spark_sql(with_("SELECT a, b FROM walk UNION SELECT b, a FROM walk"))(spark, sf_dir).persist()
-    seen = spark_sql(with_("SELECT room_id AS a, room_id AS b, 0 AS hops FROM rooms"))(spark, sf_dir)
-    frontier = seen
-    while True:
-        step = frontier.join(walk.withColumnRenamed("a", "m").withColumnRenamed("b", "n"), F.col("b") == F.col("m")).select("a", F.col("n").alias("b"), (F.col("hops") + 1).alias("hops")).distinct()
-        frontier = step.join(seen.select("a", "b"), ["a", "b"], "left_anti").persist()
-        if frontier.isEmpty():  # rooms are few, steps fewer
-            return seen
-        seen = seen.union(frontier)
-
-
-_HOPS = """WITH RECURSIVE trips(a, b, hops) AS (SELECT room_id, room_id, 0 FROM rooms UNION SELECT p.a, w.b, p.hops + 1 FROM trips p JOIN (SELECT a, b FROM walk UNION SELECT b, a FROM walk) w ON p.b = w.a WHERE p.hops < (SELECT count(*) FROM rooms))
-  SELECT a, b, min(hops) AS hops FROM trips GROUP BY a, b"""
+#: Least number of doors between rooms of a site: breadth first from every room, over the one array of the site's ways.
+_HOPS = """SELECT site, a, h.b AS b, h.hops AS hops FROM (SELECT r.site, r.room_id AS a, explode(aggregate(sequence(1, coalesce(size(w.ways), 0) + 1), array(named_struct('b', r.room_id, 'hops', 0)),
+    (s, k) -> concat(s, transform(array_distinct(transform(filter(coalesce(w.ways, array()), e -> exists(s, x -> x.b = e.a AND x.hops = k - 1) AND NOT exists(s, x -> x.b = e.b)), e -> e.b)), b -> named_struct('b', b, 'hops', k))))) AS h
+  FROM h_rooms r LEFT JOIN (SELECT site, collect_list(struct(a, b)) AS ways FROM (SELECT site, a, b FROM h_walk UNION ALL SELECT site, b, a FROM h_walk) u GROUP BY site) w ON r.site = w.site)"""
 
-_SQL = {"w02_smoothed_distance": _SMOOTH, "w04_kalman": _KALMAN, "w05_position_ema": _EMA, "w06_hysteresis": _HOLD, "w10_rate_limit": _LIMIT, "m01_recorded_pins": _PINS}
-QUERIES = {k: spark_sql(with_(v)) for k, v in _SQL.items()} | {"g17_hops": hops}
-_STEPS = {"w02_smoothed_distance": _SMOOTH_STEPS, "w04_kalman": _KALMAN_STEPS, "w05_position_ema": _EMA_STEPS, "w06_hysteresis": _HOLD_STEPS, "w10_rate_limit": _LIMIT_STEPS, "m01_recorded_pins": _PINS_STEPS, "g17_hops": _HOPS}
+_SQL = {"w02_smoothed_distance": _SMOOTH, "w04_kalman": _KALMAN, "w05_position_ema": _EMA, "w06_hysteresis": _HOLD, "w10_rate_limit": _LIMIT, "m01_recorded_pins": _PINS, "g17_hops": _HOPS}
+QUERIES = {k: spark_sql(with_(v)) for k, v in _SQL.items()}
+_STEPS = {"w02_smoothed_distance": _SMOOTH_STEPS, "w04_kalman": _KALMAN_STEPS, "w05_position_ema": _EMA_STEPS, "w06_hysteresis": _HOLD_STEPS, "w10_rate_limit": _LIMIT_STEPS, "m01_recorded_pins": _PINS_STEPS, "g17_hops": sites.HOPS}
 ORACLES = {k: with_(v, engine="duckdb") for k, v in _STEPS.items()}

@@ -9,12 +9,13 @@ from pyspark import StorageLevel
 
 from ..functions.dialect import duck_sql, render, spark_sql
 from ..operators import folds, solvers, tracking
-from . import calibration, geometry, ingest, locate, views
+from . import calibration, geometry, ingest, locate, sites, views
 from .relations import RELATIONS, with_
 
 FLAGSHIP = "l09_room_aware"
 #: Relations that locators read many times: they are computed once per query and kept on the executors.
 SHARED = ("fixes", "trust2", "pair_fits")
+#: Queries as SQL; those of a house alone are registered over many houses (`sites`), and stay here for any one house.
 SQL: dict[str, str] = {}
 for _module in (ingest, geometry, calibration, views):
     SQL |= _module.QUERIES
@@ -51,14 +52,14 @@ def locating(sql: str):
 
 def queries() -> dict:
     """Every query; each takes (spark, sf_dir)."""
-    out = {k: spark_sql(with_(v)) for k, v in SQL.items()}
+    out = {k: spark_sql(with_(v)) for k, v in (SQL | sites.QUERIES).items()}
     out |= {k: locating(v) for k, v in locate.QUERIES.items()}
     return out | folds.QUERIES | solvers.QUERIES | tracking.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query."""
-    out = {k: duck_sql(with_(v, engine="duckdb")) for k, v in SQL.items()}
+    out = {k: duck_sql(with_(v, engine="duckdb")) for k, v in (SQL | sites.QUERIES).items()}
     out |= {k: duck_sql(with_(_filled(v, locate.idw_relational()), engine="duckdb")) for k, v in locate.QUERIES.items()}
     return out | {k: duck_sql(v) for k, v in folds.ORACLES.items()}
 

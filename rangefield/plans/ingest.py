@@ -80,9 +80,11 @@ QUERIES: dict[str, str] = {
         CROSS JOIN (SELECT DISTINCT p_type AS text FROM {t:part} UNION SELECT DISTINCT 'dev_' || CAST(user_id AS STRING) FROM {t:events} UNION SELECT v.text FROM (VALUES ('dev_13x'), ('dev_'), ('devX123'), ('X'), ('a.b'), ('axb'), ('100% x'), ('1000'), ('')) AS v(text)) t""",
     "x22_duration": """SELECT text, CASE WHEN {like: lower(text); '^[0-9]+([.][0-9]+)? *[dhwm]?$'} THEN CAST(round(CAST({grab: lower(text); '^([0-9]+([.][0-9]+)?)'; 1} AS DOUBLE) * CASE {grab: lower(text); '([dhwm]?)$'; 1}
         WHEN 'w' THEN 604800000 WHEN 'd' THEN 86400000 WHEN 'h' THEN 3600000 WHEN 'm' THEN 60000 ELSE 1000 END) AS BIGINT) ELSE 2592000000 END AS ms
-        FROM (VALUES ('30d'), ('12h'), ('2w'), ('30m'), ('3600'), ('bogus'), ('1.5h')) AS d(text)""",
+        FROM (SELECT DISTINCT text FROM (SELECT * FROM (VALUES ('30d'), ('12h'), ('2w'), ('30m'), ('3600'), ('bogus'), ('1.5h')) AS d(text)
+          UNION ALL SELECT CASE WHEN o_orderkey % 11 = 0 THEN lower(o_orderpriority) ELSE CAST({div: o_orderkey; 7} AS STRING) || CASE o_orderkey % 6 WHEN 0 THEN 'd' WHEN 1 THEN ' h' WHEN 2 THEN 'W' WHEN 3 THEN '.5m' WHEN 4 THEN '' ELSE ' days' END END FROM {t:orders}) u) d""",
     "x23_imperial": """SELECT text, round((coalesce({num: nullif({grab: text; '^([0-9.]+) *(ft|[q])'; 1}, '')}, 0.0D) * 12.0D + coalesce({num: nullif({grab: text; '([0-9.]+) *i?$'; 1}, '')}, 0.0D)) * 0.0254D, 6) AS meters
-        FROM (VALUES ('17q6i'), ('5.5ft'), ('6i'), ('210')) AS d(text)""",
+        FROM (SELECT DISTINCT text FROM (SELECT * FROM (VALUES ('17q6i'), ('5.5ft'), ('6i'), ('210')) AS d(text)
+          UNION ALL SELECT CAST(p_size AS STRING) || CASE p_partkey % 3 WHEN 0 THEN 'q' || CAST(p_partkey % 12 AS STRING) || 'i' WHEN 1 THEN '.25 ft' ELSE '' END FROM {t:part}) u) d""",
     "x24_inches": "SELECT seq, round(raw / 0.0254D, 1) AS inches, CAST(floor(round(raw / 0.0254D, 1) / 12.0D) AS BIGINT) AS feet FROM obs_raw",
     "x25_relative": "SELECT device_id, CASE WHEN age < 60 THEN 's' WHEN age < 3600 THEN 'm' WHEN age < 86400 THEN 'h' ELSE 'd' END AS unit, age FROM (SELECT device_id, {div: (SELECT max(t_ms) FROM obs) - max(t_ms); 10} AS age FROM obs GROUP BY device_id) a",
     "x27_topics": "SELECT DISTINCT 'site/' || device_id || '/' || room_id || '/state' AS topic FROM fixes WHERE room_id IS NOT NULL",

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 
+from . import sites
+
 RELATIONS: dict[str, str] = {
     # rooms of one floor: a grid of 4 m x 5 m rectangles, corners counter-clockwise
     "rooms": """SELECT * FROM (VALUES
@@ -195,7 +197,7 @@ def with_(sql: str, given: tuple[str, ...] = (), engine: str = "spark", scene: d
 
     `scene` holds relations of another house, as `sources.config.scene` makes them.
     """
-    known = RELATIONS | (SPARK if engine == "spark" else {}) | (scene or {})
+    known = RELATIONS | sites.RELATIONS | (SPARK if engine == "spark" else {}) | (scene or {})
     order: list[str] = list(given)
 
     def visit(text: str) -> None:
