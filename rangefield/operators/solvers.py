@@ -680,6 +680,27 @@ def room_aware(fixes: Fixes) -> Places:
     return out
 
 
+#: Intersection locator: width of agreement in metres, share of the best score that counts.
+AGREED, TOP_SHARE = 1.5, 0.7
+
+
+def intersection(fixes: Fixes) -> Places:
+    """The mean of the crossings that nearly as many circles pass as the best one; without crossings, or with fewer than three fixes, the centroid."""
+    out = centroid(fixes)
+    x, y, good, _, _, _ = _crossings(fixes)
+    off = np.abs(np.hypot(x[:, :, None] - fixes.x[:, None, :], y[:, :, None] - fixes.y[:, None, :]) - fixes.d[:, None, :])
+    score = np.where(good, np.where(fixes.on[:, None, :], np.maximum(0.0, 1 - off / AGREED), 0.0).sum(2), -1.0)
+    score = np.where(score >= TOP_SHARE * score.max(1, initial=-1.0, keepdims=True) - 1e-9, np.maximum(score, 0.0), 0.0)
+    total = score.sum(1)
+    found = (total > 0) & (fixes.count >= 3)
+    safe = np.where(total > 0, total, 1.0)
+    at = np.stack([(score * x).sum(1) / safe, (score * y).sum(1) / safe, _plain(fixes)[:, 2]], 1)
+    close = (fixes.on & (np.abs(fixes.flat(at) - fixes.d) <= AGREED)).sum(1) / np.maximum(fixes.count, 1)
+    out.at[found] = at[found]
+    out.confidence[found] = (0.7 * close + 0.3 * np.minimum(1, fixes.count / 6))[found]
+    return out
+
+
 SOLVERS: dict[str, Callable[[Fixes], Places]] = {
     "nadaraya_watson": centroid,
     "nelder_mead": nelder_mead,
@@ -717,6 +738,59 @@ def located(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return rows.mapInArrow(run, PLACES)
 
 
+#: Locators of fixes(id, fixes array of structs) alone; the last one also names the room that the nearest nodes speak for.
+PLAIN_SOLVERS: dict[str, Callable[[Fixes], Places]] = {"nadaraya": centroid, "nadaraya_kept": lambda fixes: robust(centroid, fixes), "crossing": intersection, "room_aware": room_aware}
+GATHERED = "SELECT id, array_sort(collect_list(struct(i, node_id, x, y, z, d, room_id))) AS fixes FROM fx GROUP BY id"
+SOLVED = "id string, x double, y double, z double, confidence double, fixes long, room_id string"
+
+
+def gathered(batch: pa.RecordBatch, house: House, nodes: dict[str, int], quality: np.ndarray) -> Fixes:
+    """The padded fixes of a batch as made by GATHERED."""
+    column = batch.column("fixes")
+    length = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    struct = column.flatten()
+    part = dict(zip([f.name for f in struct.type], struct.flatten(), strict=True))
+    shape = len(length), int(length.max(initial=1))
+    on = np.arange(shape[1]) < length[:, None]
+
+    def spread(values, fill=0.0):
+        out = np.full(shape, fill)
+        out[on] = values
+        return out
+
+    x, y, z, d = (spread(part[c].to_numpy(zero_copy_only=False)) for c in ("x", "y", "z", "d"))
+    place = {r: i for i, r in enumerate(house.rooms)}
+    room = spread([place.get(r, len(place)) for r in part["room_id"].to_pylist()], len(place)).astype(np.int64)
+    node = spread([nodes.get(n, len(nodes)) for n in part["node_id"].to_pylist()], len(nodes)).astype(np.int64)
+    none = np.zeros((*shape, 0))
+    return Fixes(x, y, z, d, np.ones(shape), on, none, none, none, none, np.zeros(shape[0], bool), d, x, y, room, quality[node[:, :, None], node[:, None, :]], house)
+
+
+def solved(rows: DataFrame, name: str, rooms: list[str], trust: list[tuple[str, str]], fits: list[tuple[str, str, float]]) -> DataFrame:
+    """Places by one of PLAIN_SOLVERS for rows as made by GATHERED; rooms, trusted pairs and path qualities are those of one house."""
+    house = House({"walls": [], "rooms": [{"room_id": r, "es": []} for r in rooms], "trust": [{"a": a, "b": b} for a, b in trust]})
+    nodes = {n: i for i, n in enumerate(dict.fromkeys([n for a, b, _ in fits for n in (a, b)]))}
+    quality = np.zeros((len(nodes) + 1, len(nodes) + 1))
+    for a, b, r2 in fits:
+        quality[nodes[a], nodes[b]] = r2
+    quality = np.maximum(quality, quality.T)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                fixes = gathered(part, house, nodes, quality)
+                out = PLAIN_SOLVERS[name](fixes)
+                names = np.array([*house.rooms, None], object)[voted_room(fixes)]
+                found = np.flatnonzero(~np.isnan(out.at[:, 0]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id").take(pa.array(found)), *(pa.array(out.at[found, k]) for k in range(3)), pa.array(out.confidence[found]), pa.array(out.count[found].astype(np.int64)), pa.array(names[found].tolist(), pa.string())],
+                    [x.split()[0] for x in SOLVED.split(", ")],
+                )
+
+    return rows.mapInArrow(run, SOLVED)
+
+
 DIAGNOSTICS = "device_id string, node_id string, raw double, corrected double, expected double, raw_residual double, corrected_residual double, n_effective double, n_assumed double, rejected boolean, confidence double"
 
 

@@ -54,7 +54,10 @@ CENTRE = f"""middle AS (SELECT id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM (S
   fit AS (SELECT f.id, sqrt(sum(f.w * (f.d - {R3}) * (f.d - {R3})) / sum(f.w)) AS rmse, max(f.m) AS m FROM w4 f JOIN s4 p ON f.id = p.id GROUP BY f.id),
   nadaraya AS (SELECT s.id, s.x, s.y, s.z, least(greatest(0.7D / (1.0D + t.rmse / 2.0D) + 0.3D * least(1.0D, t.m / 6.0D), 0.0D), 1.0D) AS confidence, t.m AS fixes FROM s4 s JOIN fit t ON s.id = t.id WHERE t.m >= 3
     UNION ALL SELECT c.id, c.x, c.y, c.z, 0.2D, t.m FROM middle c JOIN fit t ON c.id = t.id)"""
-NADARAYA = f"{IDW}, {CENTRE}"
+#: Places that the registry fills in: as chains of relations for the checking engine, from the vectorised locators for Spark.
+PLACES: dict[str, str] = {}
+PLACES["nadaraya"] = f"{IDW}, {CENTRE}"
+NADARAYA = "{place_nadaraya}"
 #: Plain inverse-square means.
 PLAIN = "plain AS (SELECT id, sum(x / (d * d + 1e-6)) / sum(1.0D / (d * d + 1e-6)) AS x, sum(y / (d * d + 1e-6)) / sum(1.0D / (d * d + 1e-6)) AS y, sum(z / (d * d + 1e-6)) / sum(1.0D / (d * d + 1e-6)) AS z, count(*) AS m FROM fx GROUP BY id)"
 
@@ -74,7 +77,8 @@ VOTE = """vote AS (SELECT id, room_id FROM (SELECT id, room_id, row_number() OVE
   linked AS (SELECT f.id, f.node_id, v.room_id AS home, CASE WHEN v.room_id IS NULL THEN 0 WHEN f.room_id = v.room_id OR t.a IS NOT NULL THEN 1 ELSE 0 END AS near
     FROM fx f LEFT JOIN vote v ON f.id = v.id LEFT JOIN trust2 t ON t.a = v.room_id AND t.b = f.room_id)"""
 
-ROOM_AWARE = f"""{PLAIN}, {CROSSINGS}, {VOTE},
+ROOM_AWARE = "{place_room_aware}"
+ROOM_AWARE_CHAIN = f"""{PLAIN}, {CROSSINGS}, {VOTE},
   weighed AS (SELECT c.*, greatest(0.01D, 1.0D - ((ra * ra + rb * rb - g * g) / (2.0D * ra * rb)) * ((ra * ra + rb * rb - g * g) / (2.0D * ra * rb))) / (ra * rb)
       * CASE WHEN la.home IS NULL THEN 0.3D WHEN la.near = 1 AND lb.near = 1 THEN CASE WHEN c.room_a = la.home AND c.room_b = la.home THEN 1.0D ELSE 0.8D END WHEN la.near + lb.near = 1 THEN 0.3D ELSE 0.005D END
       * (0.5D + 0.5D * greatest(coalesce(r1.r2, 0.0D), coalesce(r2.r2, 0.0D))) AS w
@@ -91,7 +95,8 @@ ROOM_AWARE = f"""{PLAIN}, {CROSSINGS}, {VOTE},
     FROM plain b LEFT JOIN middle2 c ON b.id = c.id LEFT JOIN agreed a ON b.id = a.id LEFT JOIN vote v ON b.id = v.id WHERE b.m >= 2)"""
 
 #: Of at least three fixes; without crossings, or with fewer fixes, the centroid.
-INTERSECTION = f"""{NADARAYA}, {PLAIN}, {CROSSINGS},
+INTERSECTION = "{place_crossing}"
+PLACES["crossing"] = f"""{PLACES["nadaraya"]}, {PLAIN}, {CROSSINGS},
   scored AS (SELECT c.id, c.na, c.nb, c.s, c.x, c.y, sum(greatest(0.0D, 1.0D - abs({R2.replace("p.", "c.")} - f.d) / 1.5D)) AS score FROM candidates c JOIN fx f ON c.id = f.id WHERE f.m >= 3 GROUP BY c.id, c.na, c.nb, c.s, c.x, c.y),
   best AS (SELECT id, sum(score * x) / sum(score) AS x, sum(score * y) / sum(score) AS y FROM (SELECT *, max(score) OVER (PARTITION BY id) AS top FROM scored) a WHERE score >= 0.7D * top - 1e-9 GROUP BY id HAVING sum(score) > 0),
   crossing AS (SELECT p.id, p.x, p.y, max(q.z) AS z, 0.7D * avg(CASE WHEN abs({R2} - f.d) <= 1.5D THEN 1.0D ELSE 0.0D END) + 0.3D * least(1.0D, max(f.m) / 6.0D) AS confidence, max(f.m) AS fixes FROM best p JOIN fx f ON p.id = f.id JOIN plain q ON p.id = q.id GROUP BY p.id, p.x, p.y
@@ -103,11 +108,13 @@ OUTLIERS = f"""residuals AS (SELECT f.id, f.node_id, f.i, f.m, abs(f.d - {R3}) A
       AND row_number() OVER (PARTITION BY r.id ORDER BY r.r DESC, r.i) <= least(CAST(floor(0.3D * r.m) AS BIGINT), r.m - 3) THEN 1 ELSE 0 END AS rejected FROM residuals r JOIN centre c ON r.id = c.id)"""
 
 #: The centroid solved again without the outliers of the first solution.
-WRAPPED = f"""{OUTLIERS}, fx_kept AS (SELECT f.id, f.node_id, f.x, f.y, f.z, f.d, f.room_id, f.i, count(*) OVER (PARTITION BY f.id) AS m FROM fx f JOIN flagged g ON f.id = g.id AND f.node_id = g.node_id WHERE g.rejected = 0),
+WRAPPED = "{place_nadaraya_kept}"
+PLACES["nadaraya_kept"] = f"""{IDW}, {OUTLIERS}, fx_kept AS (SELECT f.id, f.node_id, f.x, f.y, f.z, f.d, f.room_id, f.i, count(*) OVER (PARTITION BY f.id) AS m FROM fx f JOIN flagged g ON f.id = g.id AND f.node_id = g.node_id WHERE g.rejected = 0),
   {IDW_KEPT}, {kept(CENTRE)}"""
-BOTH = f"WITH {FIXES}, {ROOM_AWARE}, {NEAREST}, {IDW}, {WRAPPED}, alternatives AS (SELECT id, 'nearest_node' AS algorithm, x, y FROM nearest UNION ALL SELECT id, 'nadaraya_watson', x, y FROM nadaraya_kept), "
+BOTH = f"WITH {FIXES}, {ROOM_AWARE}, {NEAREST}, {WRAPPED}, alternatives AS (SELECT id, 'nearest_node' AS algorithm, x, y FROM nearest UNION ALL SELECT id, 'nadaraya_watson', x, y FROM nadaraya_kept), "
 APART = """apart AS (SELECT a.id, t.algorithm, sqrt((a.x - t.x) * (a.x - t.x) + (a.y - t.y) * (a.y - t.y)) AS delta, CASE WHEN (a.x >= 0 AND a.x <= 12 AND a.y >= 0 AND a.y <= 10) <> (t.x >= 0 AND t.x <= 12 AND t.y >= 0 AND t.y <= 10) THEN 1 ELSE 0 END AS in_out
     FROM room_aware a JOIN alternatives t ON a.id = t.id)"""
+PLACES["room_aware"] = ROOM_AWARE_CHAIN
 ROUND = "round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, round(confidence, 4) AS confidence, fixes"
 
 QUERIES: dict[str, str] = {
@@ -117,11 +124,11 @@ QUERIES: dict[str, str] = {
     "l13_intersection": f"WITH {FIXES}, {INTERSECTION} SELECT id AS device_id, {ROUND} FROM crossing",
     "a10_room_vote": f"WITH {FIXES}, {VOTE} SELECT id AS device_id, room_id FROM vote",
     "a14_outliers": f"WITH {FIXES}, {IDW}, {OUTLIERS} SELECT id AS device_id, node_id, round(r, 4) AS residual, rejected = 1 AS rejected FROM flagged",
-    "l06_outlier_wrapped_idw": f"WITH {FIXES}, {IDW}, {WRAPPED} SELECT id AS device_id, {ROUND} FROM nadaraya_kept",
+    "l06_outlier_wrapped_idw": f"WITH {FIXES}, {WRAPPED} SELECT id AS device_id, {ROUND} FROM nadaraya_kept",
     "u08_rejected_flags": f"WITH {FIXES}, {IDW}, {OUTLIERS} SELECT id AS device_id, CAST(sum(rejected) AS BIGINT) AS dropped, CAST(sum(1 - rejected) AS BIGINT) AS kept, round(max(r), 4) AS worst FROM flagged GROUP BY id",
     "a02_leave_one_out": f"WITH {LEFT_OUT}, {ROOM_AWARE} SELECT o.node_id, count(*) AS n, round(avg(o.d - sqrt((p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y) + (p.z - o.z) * (p.z - o.z))), 4) AS mean FROM room_aware p JOIN fixes o ON p.id = o.device_id || '/' || o.node_id GROUP BY o.node_id",
     "j04_fix_pairs": f"WITH {FIXES}, {CROSSINGS} SELECT id AS device_id, na, nb, round(g, 4) AS apart FROM meets",
-    "j05_consensus": f"WITH {FIXES}, {ROOM_AWARE} SELECT id AS device_id, na, nb, s, round(cons, 4) AS consensus FROM backed",
+    "j05_consensus": f"WITH {FIXES}, {ROOM_AWARE_CHAIN} SELECT id AS device_id, na, nb, s, round(cons, 4) AS consensus FROM backed",
     "a16_isotropy": f"""WITH {FIXES}, {IDW} SELECT id AS device_id, round(4.0D * (xx * yy - xy * xy) / ((xx + yy) * (xx + yy)), 4) AS isotropy FROM (SELECT f.id, sum(ux * ux) AS xx, sum(ux * uy) AS xy, sum(uy * uy) AS yy, count(*) AS k
         FROM (SELECT f.id, (f.x - p.x) / {R2} AS ux, (f.y - p.y) / {R2} AS uy FROM fx f JOIN s4 p ON f.id = p.id WHERE {R2} > 1e-3) f GROUP BY f.id) a WHERE k >= 2""",
     "a17_weighted_rmse": f"WITH {FIXES}, {IDW} SELECT f.id AS device_id, round(sqrt(sum((f.d - {R3}) * (f.d - {R3}) / (f.d * f.d + 1e-6)) / sum(1.0D / (f.d * f.d + 1e-6))), 4) AS rmse FROM fx f JOIN s4 p ON f.id = p.id GROUP BY f.id",

@@ -72,11 +72,14 @@ RELATIONS: dict[str, str] = {
     # the exponent of a sample, without what the walls on its way take (in decibels, as a natural logarithm)
     "gt_valid": """SELECT g.*, (g.absorption * ln(g.measured) - coalesce(w.loss_db, 0.0D) * ln(10.0D) / 10.0D) / ln(g.true_dist) AS n FROM gt_samples g
         LEFT JOIN wall_loss w ON least(g.listener_id, g.transmitter_id) = w.a AND greatest(g.listener_id, g.transmitter_id) = w.b WHERE g.measured > 0 AND g.true_dist > 1.0D""",
-    # decayed sufficient statistics of the path-loss exponent by pair; an hour's time constant, from the last accepted sample
-    "pair_stats": """SELECT listener_id, transmitter_id, count(*) AS samples, max(last_ms) AS last_ms, sum(w) AS w, sum(w * n) / sum(w) AS n,
-          greatest(sum(w * n * n) / sum(w) - (sum(w * n) / sum(w)) * (sum(w * n) / sum(w)), 0.0D) AS var_n, sum(w * true_dist) / sum(w) AS mean_true, sum(w * measured) / sum(w) AS mean_measured
-        FROM (SELECT *, exp(-(last_ms - t_ms) / 3600000.0D) AS w FROM (SELECT *, max(t_ms) OVER (PARTITION BY listener_id, transmitter_id) AS last_ms FROM gt_valid WHERE n >= 1.5D AND n <= 8.0D) a) b
+    # decayed sums of the path-loss exponent by pair, an hour's time constant: partial sums of each hour, as of its end,
+    # merge by decaying them to the last accepted sample, so no window over a pair's samples is needed
+    "pair_hours": """SELECT listener_id, transmitter_id, hour, count(*) AS samples, max(t_ms) AS last_ms, sum(w) AS w, sum(w * n) AS sn, sum(w * n * n) AS sn2, sum(w * true_dist) AS st, sum(w * measured) AS sm
+        FROM (SELECT *, {div: t_ms; 3600000} AS hour, exp((t_ms - ({div: t_ms; 3600000} + 1) * 3600000) / 3600000.0D) AS w FROM gt_valid WHERE n >= 1.5D AND n <= 8.0D) a GROUP BY listener_id, transmitter_id, hour""",
+    "pair_merged": """SELECT listener_id, transmitter_id, sum(samples) AS samples, max(last_ms) AS last_ms, sum(k * w) AS w, sum(k * sn) AS sn, sum(k * sn2) AS sn2, sum(k * st) AS st, sum(k * sm) AS sm
+        FROM (SELECT h.*, exp(((h.hour + 1) * 3600000 - l.upto) / 3600000.0D) AS k FROM pair_hours h JOIN (SELECT listener_id AS li, transmitter_id AS ti, max(last_ms) AS upto FROM pair_hours GROUP BY listener_id, transmitter_id) l ON h.listener_id = l.li AND h.transmitter_id = l.ti) a
         GROUP BY listener_id, transmitter_id""",
+    "pair_stats": """SELECT listener_id, transmitter_id, CAST(samples AS BIGINT) AS samples, last_ms, w, sn / w AS n, greatest(sn2 / w - (sn / w) * (sn / w), 0.0D) AS var_n, st / w AS mean_true, sm / w AS mean_measured FROM pair_merged""",
     "pair_fits": "SELECT listener_id, transmitter_id, samples, w, n, 1.0D / (1.0D + var_n) AS r2, mean_true, mean_measured FROM pair_stats WHERE w >= 5",
     "node_stats": """SELECT listener_id, count(*) AS samples, sum(w) AS w, sum(w * lx) / sum(w) AS mx, sum(w * ly) / sum(w) AS my,
           sum(w * lx * lx) AS sxx, sum(w * lx * ly) AS sxy, sum(w * ly * ly) AS syy
