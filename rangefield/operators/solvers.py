@@ -15,8 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..functions.dialect import spark_sql
-from ..plans.relations import with_
+from ..plans.house import house_sql
 
 #: Distance floor, width of the penalty on distances measured too long, its turns, widths of the Huber losses.
 FLOOR, SHADOW, TURNS, HUBER = 1e-6, 1.5, 4, 1.5
@@ -714,9 +713,15 @@ SOLVERS: dict[str, Callable[[Fixes], Places]] = {
 PLACES = "device_id string, algorithm string, x double, y double, z double, confidence double, fixes long"
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows over as many tasks as a shuffle has: few bytes are much work here, so small partitions are not to be put together."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def problems(spark, sf_dir: str) -> DataFrame:
     """A row per device with its fixes and their listeners' known paths."""
-    return spark_sql(with_(PROBLEMS))(spark, sf_dir)
+    return dealt(house_sql(PROBLEMS)(spark, sf_dir), "id")
 
 
 def located(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -788,7 +793,7 @@ def solved(rows: DataFrame, name: str, rooms: list[str], trust: list[tuple[str,
                     [x.split()[0] for x in SOLVED.split(", ")],
                 )
 
-    return rows.mapInArrow(run, SOLVED)
+    return dealt(rows, "id").mapInArrow(run, SOLVED)
 
 
 DIAGNOSTICS = "device_id string, node_id string, raw double, corrected double, expected double, raw_residual double, corrected_residual double, n_effective double, n_assumed double, rejected boolean, confidence double"

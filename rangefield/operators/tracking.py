@@ -36,8 +36,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dialect import spark_sql
+from ..plans.house import inlined
 from ..plans.relations import with_
-from .solvers import Fixes, House, room_aware
+from .solvers import Fixes, House, dealt, room_aware
 
 OUTSIDE = "outside"
 
@@ -107,7 +108,7 @@ def scene_of(spark, sf_dir: str, own: dict[str, str] | None = None) -> Scene:
     """The scene of a folder's tables; `own` holds the relations of another house, as `sources.config.scene` makes them."""
 
     def rows(sql: str) -> list:
-        return spark_sql(with_(sql, scene=own))(spark, sf_dir).collect()
+        return spark_sql(with_(sql, scene=own if own is not None else inlined(spark, sql)))(spark, sf_dir).collect()
 
     outlines: dict[str, list[dict]] = {}
     for e in rows("SELECT ord, room_id, v, ax, ay, bx, b_y FROM edges ORDER BY ord, v"):
@@ -680,8 +681,7 @@ def replay(rows: DataFrame, scene: Scene, settings: Settings = Settings(), until
             yield from to_batches(tracker.finish(-np.inf if until_ms is None else until_ms), schema)
 
     own = rows.select("device_id", "kind", "seq", "t_ms", "node_id", "distance", "rssi", "x", "y", "z")
-    dealt = own.repartition("device_id").sortWithinPartitions("t_ms", F.col("kind") == "message", "seq")
-    return dealt.mapInArrow(run, fields)
+    return dealt(own, "device_id").sortWithinPartitions("t_ms", F.col("kind") == "message", "seq").mapInArrow(run, fields)
 
 
 #: The clock of the test tables runs 50,000 times too fast, so whoever is silent for 1.2 s is away.

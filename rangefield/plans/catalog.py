@@ -8,9 +8,10 @@ import uuid
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from ..functions.dialect import duck_sql, render, spark_sql
+from ..functions.dialect import duck_sql, render
 from ..operators import folds, solvers, tracking
 from . import calibration, geometry, ingest, locate, sites, views
+from .house import house_sql, inlined
 from .relations import RELATIONS, with_
 
 FLAGSHIP = "l09_room_aware"
@@ -26,7 +27,7 @@ def shared_views(spark, sf_dir: str, names: tuple[str, ...] = SHARED) -> dict[st
     """Temporary views of relations, each persisted; a lost executor's part is computed again."""
     views = {}
     for name in names:
-        frame = spark.sql(render(with_(f"SELECT * FROM {name}"), "spark", lambda t: f"parquet.`{sf_dir}/{t}.parquet`"))
+        frame = house_sql(f"SELECT * FROM {name}")(spark, sf_dir)
         views[name] = f"rangefield_{name}_{uuid.uuid4().hex[:8]}"
         frame.persist(StorageLevel.MEMORY_AND_DISK).createOrReplaceTempView(views[name])
     return views
@@ -43,7 +44,7 @@ def places(spark, sf_dir: str, sql: str) -> dict[str, DataFrame]:
     names = re.findall(r"\{place_(\w+)\}", sql)
 
     def ask(text: str, frame: bool = False):
-        out = spark_sql(with_(text))(spark, sf_dir)
+        out = house_sql(text)(spark, sf_dir)
         return out if frame else [tuple(r) for r in out.collect()]
 
     if not names:
@@ -56,11 +57,11 @@ def places(spark, sf_dir: str, sql: str) -> dict[str, DataFrame]:
 
 def locating(sql: str):
     """The query of a locator: its places from the vectorised locators, relations that are read many times as views, centroids over arrays."""
-    text = with_(_filled(sql, locate.idw_arrays(), lambda x: f"{x} AS (SELECT * FROM place_{x})"), SHARED)
-    used = tuple(x for x in SHARED if re.search(rf"\b(?:FROM|JOIN)\s+{x}\b", text))
+    bare = _filled(sql, locate.idw_arrays(), lambda x: f"{x} AS (SELECT * FROM place_{x})")
+    used = tuple(x for x in SHARED if re.search(rf"\b(?:FROM|JOIN)\s+{x}\b", with_(bare, SHARED)))
 
     def query(spark, sf_dir):
-        own = text
+        own = with_(bare, SHARED, scene=inlined(spark, bare))
         for name, frame in places(spark, sf_dir, sql).items():
             view = f"rangefield_{name}_{uuid.uuid4().hex[:8]}"
             frame.createOrReplaceTempView(view)
@@ -74,7 +75,7 @@ def locating(sql: str):
 
 def queries() -> dict:
     """Every query; each takes (spark, sf_dir)."""
-    out = {k: spark_sql(with_(v)) for k, v in (SQL | sites.QUERIES).items()}
+    out = {k: house_sql(v) for k, v in (SQL | sites.QUERIES).items()}
     out |= {k: locating(v) for k, v in locate.QUERIES.items()}
     return out | folds.QUERIES | solvers.QUERIES | tracking.QUERIES
 

@@ -126,7 +126,7 @@ RELATIONS: dict[str, str] = {
     "paths": "SELECT a.node_id AS a, b.node_id AS b, a.x AS px, a.y AS py, b.x AS qx, b.y AS qy FROM nodes a JOIN nodes b ON a.node_id < b.node_id",
     "cuts": "SELECT p.a, p.b, s.wall, s.exterior, s.ax, s.ay, s.bx, s.b_y, p.px, p.py, p.qx, p.qy, (p.qx - p.px) * (s.b_y - s.ay) - (p.qy - p.py) * (s.bx - s.ax) AS den FROM paths p CROSS JOIN solid s",
     "crossed": """SELECT a, b, wall, exterior, t, px + t * (qx - px) AS hx, py + t * (qy - py) AS hy FROM (
-          SELECT c.*, ((ax - px) * (b_y - ay) - (ay - py) * (bx - ax)) / den AS t, ((ax - px) * (qy - py) - (ay - py) * (qx - px)) / den AS u FROM cuts c WHERE abs(den) >= 1e-12) z
+          SELECT c.*, ((ax - px) * (b_y - ay) - (ay - py) * (bx - ax)) / nullif(den, 0.0D) AS t, ((ax - px) * (qy - py) - (ay - py) * (qx - px)) / nullif(den, 0.0D) AS u FROM cuts c WHERE abs(den) >= 1e-12) z
         WHERE t >= 0 AND t <= 1 AND u >= 0 AND u <= 1""",
     "wall_kinds": """SELECT c.a, c.b, c.wall, c.t, max(CASE WHEN d.wall IS NOT NULL THEN 2 WHEN c.exterior THEN 1 ELSE 0 END) AS kind FROM crossed c
         LEFT JOIN doors d ON c.wall = d.wall AND abs(c.hx - d.door_x) <= d.width / 2 AND abs(c.hy - d.door_y) <= d.width / 2 GROUP BY c.a, c.b, c.wall, c.t""",
@@ -195,6 +195,21 @@ def _needs(sql: str, known: dict[str, str]) -> list[str]:
     return [x for x in known if re.search(rf"\b(?:FROM|JOIN)\s+{x}\b", sql, re.I)]
 
 
+def needed(sql: str) -> list[str]:
+    """The relations that a query reads in Spark, directly or through others."""
+    known = RELATIONS | sites.RELATIONS | SPARK
+    out: list[str] = []
+
+    def visit(text: str) -> None:
+        for name in _needs(text, known):
+            if name not in out:
+                out.append(name)
+                visit(known[name])
+
+    visit(sql)
+    return out
+
+
 def with_(sql: str, given: tuple[str, ...] = (), engine: str = "spark", scene: dict[str, str] | None = None) -> str:
     """A query with the relations that it needs in front, each after those that it depends on, but for those `given`.
 

@@ -89,7 +89,7 @@ RELATIONS: dict[str, str] = {
     # paths from a sender to a listener of the same floor; a wall at the sender counts if the sender's room is on its other side
     "h_paths": "SELECT a.site, a.node_id AS a, b.node_id AS b, a.x AS px, a.y AS py, b.x AS qx, b.y AS qy, m.x AS mx, m.y AS my FROM h_node_rooms a JOIN h_node_rooms b ON a.site = b.site AND a.node_id <> b.node_id AND a.level = b.level AND a.enabled AND b.enabled LEFT JOIN h_anchors m ON a.site = m.site AND a.room_id = m.room_id",
     "h_crossed": f"""SELECT site, a, b, wall, exterior, t, u, px + t * (qx - px) AS hx, py + t * (qy - py) AS hy FROM (
-          SELECT p.*, s.wall, s.exterior, ((s.ax - p.px) * (s.b_y - s.ay) - (s.ay - p.py) * (s.bx - s.ax)) / ((p.qx - p.px) * (s.b_y - s.ay) - (p.qy - p.py) * (s.bx - s.ax)) AS t, ((s.ax - p.px) * (p.qy - p.py) - (s.ay - p.py) * (p.qx - p.px)) / ((p.qx - p.px) * (s.b_y - s.ay) - (p.qy - p.py) * (s.bx - s.ax)) AS u,
+          SELECT p.*, s.wall, s.exterior, ((s.ax - p.px) * (s.b_y - s.ay) - (s.ay - p.py) * (s.bx - s.ax)) / nullif((p.qx - p.px) * (s.b_y - s.ay) - (p.qy - p.py) * (s.bx - s.ax), 0.0D) AS t, ((s.ax - p.px) * (p.qy - p.py) - (s.ay - p.py) * (p.qx - p.px)) / nullif((p.qx - p.px) * (s.b_y - s.ay) - (p.qy - p.py) * (s.bx - s.ax), 0.0D) AS u,
             sqrt((p.px - s.ax - {along("p.px", "p.py")} * (s.bx - s.ax)) * (p.px - s.ax - {along("p.px", "p.py")} * (s.bx - s.ax)) + (p.py - s.ay - {along("p.px", "p.py")} * (s.b_y - s.ay)) * (p.py - s.ay - {along("p.px", "p.py")} * (s.b_y - s.ay))) < {MOUNTED} AS mounted,
             ((s.bx - s.ax) * (p.my - s.ay) - (s.b_y - s.ay) * (p.mx - s.ax)) * ((s.bx - s.ax) * (p.qy - s.ay) - (s.b_y - s.ay) * (p.qx - s.ax)) AS sides
           FROM h_paths p JOIN h_solid s ON p.site = s.site WHERE abs((p.qx - p.px) * (s.b_y - s.ay) - (p.qy - p.py) * (s.bx - s.ax)) >= 1e-12) z WHERE t >= 0 AND t <= 1 AND u >= 0 AND u <= 1 AND (NOT mounted OR coalesce(sides < 0, false))""",

@@ -301,11 +301,12 @@ class Device:
         return self.kept, (px / total, py / total)
 
 
+#: Inner walls where no mirrored place falls on one.
 TWO_FLOORS = {
     "floors": [
         {"id": "down", "bounds": [[0, 0, 0], [12, 10, 1.4]], "rooms": [
-            {"id": "ell", "name": "Ell", "points": [[0, 0], [12, 0], [12, 4], [5, 4], [5, 10], [0, 10]], "open_to": [{"id": "den", "door": [8.0, 4.0], "width": 1.0}, "outside"]},
-            {"id": "den", "points": [[5, 4], [12, 4], [12, 10], [5, 10]], "open_to": ["loft"]}]},
+            {"id": "ell", "name": "Ell", "points": [[0, 0], [12, 0], [12, 4.03], [5.07, 4.03], [5.07, 10], [0, 10]], "open_to": [{"id": "den", "door": [8.0, 4.03], "width": 1.0}, "outside"]},
+            {"id": "den", "points": [[5.07, 4.03], [12, 4.03], [12, 10], [5.07, 10]], "open_to": ["loft"]}]},
         {"id": "up", "bounds": [[0, 0, 1.4], [12, 10, 5]], "rooms": [{"id": "loft", "points": [[0, 0], [12, 0], [12, 10], [0, 10]]}]}],
     "nodes": [{"id": f"n{i}", "point": [1 + (i * 5) % 11, 1 + (i * 3) % 9, 0.5 + i % 4]} for i in range(11)],
 }
