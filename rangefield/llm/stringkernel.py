@@ -354,14 +354,14 @@ def fit(bags: list[list[bytes]], toxic: np.ndarray, sizes: np.ndarray) -> Machin
     picked = choose(bags, toxic) if toxic.any() and not toxic.all() else []
     if not picked:
         return Machine(None)
-    every = sorted({x[:WINDOW] for bag in bags for x in bag})
+    every = sorted({x for bag in bags for x in bag})
     place = {x: i for i, x in enumerate(every)}
     matrix = padded(every, max(map(len, every)))
     first = Landmarks(picked)
     i, j, k = first.values(matrix)
     nearest = np.zeros(len(every))
     np.maximum.at(nearest, i, k)
-    clean = {x[:WINDOW] for bag, bad in zip(bags, toxic, strict=True) if not bad for x in bag}
+    clean = {x for bag, bad in zip(bags, toxic, strict=True) if not bad for x in bag}
     near: list[bytes] = []
     for x in sorted((x for x in clean if nearest[place[x]] > 0), key=lambda x: (-nearest[place[x]], x)):
         # the stretch of a clean string that is closest to a landmark
@@ -385,7 +385,7 @@ def fit(bags: list[list[bytes]], toxic: np.ndarray, sizes: np.ndarray) -> Machin
     dense = np.zeros((len(order), m))
     dense[np.searchsorted(order, i), j] = k
     row = {every[x]: y for y, x in enumerate(order) if x < len(every)}
-    members = [[row[x[:WINDOW]] for x in bag if x[:WINDOW] in row] for bag in bags]
+    members = [[row[x] for x in bag if x in row] for bag in bags]
     a, b = np.divmod(np.arange(m * m), m)
     cells = [kernel(marks.matrix[a[k]], marks.matrix[b[k]]) for k in np.split(np.arange(m * m), range(8192, m * m, 8192))]
     full = (np.concatenate(cells) * marks.scale[a] * marks.scale[b]).reshape(m, m)
@@ -412,7 +412,7 @@ def fit(bags: list[list[bytes]], toxic: np.ndarray, sizes: np.ndarray) -> Machin
     counts, met = np.zeros((len(bags), bad_marks)), np.zeros((len(bags), bad_marks), np.int64)
     for d, bag in enumerate(bags):
         for x in bag:
-            at = place[x[:WINDOW]]
+            at = place[x]
             if side[at] > 0:
                 counts[d, closest[at]] += side[at]
                 met[d, closest[at]] += side[at] >= 0.5
@@ -469,7 +469,8 @@ def _bag_kernel(batch: pa.RecordBatch) -> dict:
     bags: list[set] = [set() for _ in range(batch.num_rows)]
     for a, b, d in zip(start.tolist(), end.tolist(), doc.tolist(), strict=True):
         if b - a >= SHORT:
-            bags[d].add(raw[a:b])
+            # long strings as the overlapping windows that scoring takes
+            bags[d].update(raw[lo : min(lo + WINDOW, b)] for lo in range(a, max(b - 2 * LONGEST, a + 1), WINDOW - 2 * LONGEST))
         elif b > a:
             bags[d].add(b"\x01" + raw[a:b] + b"\x02")
     return {"toxic": batch.column("toxic"), "size": words.count, "bag": pa.array([sorted(x) for x in bags], pa.list_(pa.binary()))}
