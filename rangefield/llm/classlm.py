@@ -48,6 +48,8 @@ SWEEPS = 6
 ADD = 0.1
 #: Counts of neighbours that a task holds before it merges them.
 HELD = 1_000_000
+#: The most that one place of a packed count holds.
+MOST = (1 << 24) - 1
 #: Weight of class frequencies in the transitions.
 BACKOFF = 0.05
 END = np.uint64(0x5D1C3A7E90B2F468)
@@ -221,11 +223,16 @@ def contexts(docs: DataFrame, known: Head, label: np.ndarray) -> DataFrame:
             key, n = key[order], n[order]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             key = key[first]
-            return unique[key // (2 * CLASSES)], (key % (2 * CLASSES)).astype(np.uint8), np.add.reduceat(n, first).astype(np.int32)
+            return unique[key // (2 * CLASSES)], (key % (2 * CLASSES)).astype(np.uint8), np.add.reduceat(n, first)
 
         def emit(word, slot, n):
+            # a count of more than 24 bits takes several places, which are added up where they are read
+            pieces = np.maximum(-(-n.astype(np.int64) // MOST), 1)
+            last = np.cumsum(pieces) - 1
+            word, slot, whole = np.repeat(word, pieces), np.repeat(slot, pieces), np.full(int(pieces.sum()), MOST)
+            whole[last] = n - (pieces - 1) * MOST
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            packed = (slot.astype(np.uint32) << np.uint32(24)) | np.minimum(n, (1 << 24) - 1).astype(np.uint32)
+            packed = (slot.astype(np.uint32) << np.uint32(24)) | whole.astype(np.uint32)
             return pa.RecordBatch.from_arrays([pa.array(word[first].view(np.int64)), ragged(packed, np.append(first, len(word)))], ["word", "near"])
 
         for batch in batches:
@@ -241,7 +248,7 @@ def contexts(docs: DataFrame, known: Head, label: np.ndarray) -> DataFrame:
                     continue
                 key = np.concatenate([back * (2 * CLASSES) + before[mine], back * (2 * CLASSES) + CLASSES + after[mine]])
                 key, n = np.unique(key, return_counts=True)
-                held.append((word[key // (2 * CLASSES)], (key % (2 * CLASSES)).astype(np.uint8), n.astype(np.int32)))
+                held.append((word[key // (2 * CLASSES)], (key % (2 * CLASSES)).astype(np.uint8), n.astype(np.int64)))
                 rows += len(key)
                 if rows > HELD:
                     held[:] = [merged()]

@@ -111,3 +111,10 @@ def test_odd_tables(spark):
     only_held = [(d, "a b c") for d in range(100) if zlib.crc32(str(d).encode()) % 10 == 0]
     rows = classlm.op3(spark.createDataFrame(only_held, "doc_id long, text string")).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.held_out for r in rows) and len(rows) == len(only_held)
+
+
+def test_counts_of_more_than_one_place(spark, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    want = sorted(map(tuple, classlm.op3(rows).collect()))
+    monkeypatch.setattr(classlm, "MOST", 2)
+    assert sorted(map(tuple, classlm.op3(rows).collect())) == want
