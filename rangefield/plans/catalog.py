@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ..functions.dialect import duck_sql, render
-from ..operators import folds, solvers, tracking
+from ..operators import folds, outlines, solvers, tracking
 from . import calibration, geometry, ingest, locate, sites, views
 from .house import house_sql, inlined
 from .relations import RELATIONS, with_
@@ -77,7 +77,7 @@ def queries() -> dict:
     """Every query; each takes (spark, sf_dir)."""
     out = {k: house_sql(v) for k, v in (SQL | sites.QUERIES).items()}
     out |= {k: locating(v) for k, v in locate.QUERIES.items()}
-    return out | folds.QUERIES | solvers.QUERIES | tracking.QUERIES
+    return out | folds.QUERIES | solvers.QUERIES | tracking.QUERIES | outlines.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

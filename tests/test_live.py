@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import copy
+import dataclasses
 import math
 import time
+from pathlib import Path
 
 import pytest
 
@@ -65,3 +68,29 @@ def test_recorded_pins_keep_their_place(spark, monkeypatch):
             own.append([seq, seq, 1, x, y])
     assert got == sorted((d, *p[:4]) for d, own in pins.items() for p in own)
     assert [r[4] for r in got] == [0.0, 1.8, 3.0, 0.0, 1.0]
+
+
+def test_a_changed_house_shows_in_the_next_batch(spark, parts, tmp_path):
+    """The third batch meets another house: its rooms are reported from then on, and states start anew."""
+    one = tracking.scene_of(spark, SMALL)
+    two = dataclasses.replace(one, house=copy.deepcopy(one.house))
+    two.house.rooms = [f"new_{r}" for r in one.house.rooms]
+    asked, got = [], {}
+
+    def current():
+        asked.append(None)
+        return ("one", one) if len(asked) <= 2 else ("two", two)
+
+    def publish(rows, number):
+        got[number] = rows.collect()
+
+    stream = spark.readStream.schema(live.IN).option("maxFilesPerTrigger", 1).parquet(parts)
+    live.in_batches(stream, current, str(tmp_path), publish).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(got) == [0, 1, 2, 3] and len(asked) == 4
+    files = sorted(Path(parts).glob("*.parquet"))
+    for own, scene in ((files[:2], one), (files[2:], two)):
+        want = tracking.replay(spark.read.schema(live.IN).parquet(*map(str, own)), scene).filter("kind = 'message'").collect()
+        have = [r for n in ((0, 1) if scene is one else (2, 3)) for r in got[n] if r.kind == "message"]
+        brief = lambda rows, state: sorted((r.device_id, r.seq, r.room_id or "", r[state] or "", round(r.x or 0, 6)) for r in rows)
+        assert brief(have, "reported") == brief(want, "state")
+    assert {r.room_id[:4] for n in (2, 3) for r in got[n] if r.room_id} == {"new_"}

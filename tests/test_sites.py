@@ -140,3 +140,39 @@ def test_rooms_split_walls_at_t_junctions(spark, houses):
     site = next(s for s, h in houses.items() if "ell" in h["rooms"])
     assert len(build(houses[site])) > 10
     assert {h for h in (r.hops for r in catalog.queries()["g17_hops"](spark, SMALL).collect())} >= {0, 1, 2, 3}
+
+
+def test_outlines_of_groups(spark, houses):
+    """Every outline is closed and turns at right angles; walked in order it holds as much as the cells within a tenth of a metre of the group."""
+    got = defaultdict(lambda: defaultdict(list))
+    for r in catalog.queries()["g13_outlines"](spark, SMALL).orderBy("site", "floor_area", "part", "corner").collect():
+        got[r.site, r.floor_area][r.part].append((r.x, r.y))
+    want = {(s, t) for s, h in houses.items() for t in h["tag"].values() if t}
+    assert set(got) == want
+    for (site, tag), parts in got.items():
+        rooms = [c for r, c in houses[site]["rooms"].items() if houses[site]["tag"][r] == tag]
+        area = 0.0
+        for line in parts.values():
+            for a, b in zip(line, line[1:] + line[:1], strict=True):
+                assert (abs(a[0] - b[0]) < 1e-6) != (abs(a[1] - b[1]) < 1e-6)
+                area += (a[0] * b[1] - b[0] * a[1]) / 2
+        x0, y0 = min(p[0] for c in rooms for p in c) - 0.2, min(p[1] for c in rooms for p in c) - 0.2
+        x1, y1 = max(p[0] for c in rooms for p in c), max(p[1] for c in rooms for p in c)
+        cols, rows = math.ceil((x1 + 0.2 - x0) / 0.1) + 1, math.ceil((y1 + 0.2 - y0) / 0.1) + 1
+        full = {(r, c) for r in range(rows) for c in range(cols) if any(inside(x0 + (c + 0.5) * 0.1, y0 + (r + 0.5) * 0.1, k) for k in rooms)}
+        grown = {(r + i, c + j) for r, c in full for i in (-1, 0, 1) for j in (-1, 0, 1)}
+        assert abs(abs(area) - len(grown) * 0.01) < 1e-4, (site, tag)
+
+
+def test_outlines_with_a_hole_and_two_parts():
+    import numpy as np
+
+    from rangefield.operators import outlines
+
+    grid = np.zeros((12, 20), bool)
+    grid[2:9, 2:9] = True
+    grid[4:6, 4:7] = False
+    grid[3:5, 12:18] = True
+    found = outlines.borders(grid)
+    areas = sorted(float(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, np.roll(p, -1, 0), strict=True)) / 2) for p in found)
+    assert [abs(a) for a in sorted(areas, key=abs)] == [6, 12, 49] and abs(sum(areas)) == 55  # a hole runs the other way round

@@ -11,8 +11,8 @@ import oracle
 from rangefield.functions.dialect import duck_sql, spark_sql
 from rangefield.plans import catalog, geometry, relations, views
 from rangefield.plans.relations import with_
-from rangefield.sources import config, state
-from rangefield.streaming import replay
+from rangefield.sources import config, state, versions
+from rangefield.streaming import feed, replay
 
 SMALL = "/root/testdata/sf0.001"
 HOUSE = {
@@ -75,6 +75,74 @@ def test_state_round_trip(spark, tmp_path):
         state.restore(spark, snapshot, again)
 
 
+def test_a_crash_leaves_the_old_or_the_new_state(spark, tmp_path, monkeypatch):
+    path, snapshot = str(tmp_path / "state"), str(tmp_path / "snapshot")
+    pins = lambda n: spark.createDataFrame([(f"dev_{i}", i, 1.0, 2.0, 1.0, 99) for i in range(n)], state.PINS)
+    audit = lambda n: spark.createDataFrame([("n1", 2.5, 3.0, 0.5, 10.0, 0.9, 1000 + i) for i in range(n)], state.AUDIT)
+    now = lambda: (state.load(spark, "pins", path).count(), state.load(spark, "audit", path).count())
+    state.save(pins(3), "pins", snapshot)
+    state.save(audit(3), "audit", snapshot)
+    with pytest.raises(ValueError):
+        state.restore(spark, snapshot, path)  # no head: not a whole snapshot
+    state.export(spark, snapshot, snapshot, "")
+    state.save(pins(1), "pins", path)
+    state.save(audit(1), "audit", path)
+    whole = state._write
+    for step in range(3):  # dies before the first, second, third part
+
+        def dying(rows, kind, where, left=[step]):  # noqa: B006
+            if not left[0]:
+                raise OSError("lost")
+            left[0] -= 1
+            return whole(rows, kind, where)
+
+        monkeypatch.setattr(state, "_write", dying)
+        with pytest.raises(OSError):
+            state.restore(spark, snapshot, path)
+        assert now() == (1, 1)
+    monkeypatch.setattr(state, "_write", whole)
+    # a manifest that was not written to its end does not count
+    number = versions.append(spark, f"{path}/manifest", {"pins": "x"})
+    place, store = versions.files(spark, f"{path}/manifest/{number:012d}.json")
+    store.create(place, True).close()
+    assert now() == (1, 1)
+    state.restore(spark, snapshot, path)
+    assert now() == (3, 3)
+    for n in range(1, 20):
+        state.save(pins(n), "pins", path)
+    assert now() == (19, 3)
+    kept, store = versions.files(spark, f"{path}/parts")
+    assert len(list(store.listStatus(kept))) <= 12
+
+
+def test_feed_goes_on_from_an_offset(spark, parts, tmp_path):
+    path = str(tmp_path / "feed")
+    with pytest.raises(ValueError):
+        feed.poll(spark, path)
+    stream = replay.observations(spark, parts)
+    stream.writeStream.foreachBatch(feed.sink(path)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    obs = spark_sql(with_("SELECT device_id, t_ms, seq FROM obs"))(spark, SMALL).collect()
+    order = sorted(obs, key=lambda r: (r.t_ms, r.seq))
+    want = {r.device_id: r.seq for r in order}
+    last = lambda rows: {r.device_id: r.seq for r in rows.collect()}
+    first = feed.poll(spark, path)
+    assert first.snapshot and last(first.rows) == want and first.offset == 4
+    # whoever comes back with an offset has the same last states in the end
+    known = {r.device_id: r.seq for r in order[:500]}
+    more = feed.poll(spark, path, 2)
+    assert not more.snapshot and {**known, **last(more.rows)} == want and set(last(more.rows)) == {r.device_id for r in order[500:]}
+    assert last(feed.poll(spark, path, 4).rows) == {}
+    one = feed.follow(spark, path, "map")
+    feed.done(spark, path, "map", one)
+    assert one.snapshot and not feed.follow(spark, path, "map").snapshot
+    feed.sink(path)(spark.read.schema(replay.OBS).parquet(parts).limit(0), 4)  # a tick without changes
+    beat = feed.follow(spark, path, "map")
+    assert beat.offset == 5 and last(beat.rows) == {}
+    assert feed.compact(spark, path) == 5
+    again = feed.poll(spark, path, 2)
+    assert again.snapshot and last(again.rows) == want and feed.follow(spark, path, "map").offset == 5
+
+
 @pytest.fixture(scope="module")
 def parts(spark, tmp_path_factory):
     """The observations in files of 250 messages, in order."""
