@@ -14,6 +14,7 @@ from dataclasses import dataclass, fields, replace
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..plans.house import house_sql
 
@@ -26,6 +27,8 @@ QUALITY, LIKE, CERTAIN, CORRECTIONS, STILL = 0.25, 3.0, 1.0, 4, 0.05
 
 #: Radio: loss of an inner wall, an outer wall and a door in decibels, what weighs as one e-fold, reference and exponent, widths.
 WALL_DB, EXTERIOR_DB, DOOR_DB, FOLD_DB, REFERENCE, EXPONENT, HUBER_DB = 4.0, 10.0, 0.0, 4.0, -59.0, 3.0, 8.0
+#: Exponent of a node that was never set, for the radio locator.
+UNSET = 4.0
 #: How close to a wall a node counts as mounted on it, and how close along a path crossings count as one.
 MOUNTED, MERGED = 0.1, 0.005
 #: Share of a distance within which a circle passes a point; bonus of the closest node's room and of those next to it, up to what distance.
@@ -38,7 +41,7 @@ PROBLEMS = """WITH heard AS (SELECT p.listener_id, collect_list(struct(n.x AS x,
     FROM (SELECT *, (bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay) AS l2 FROM solid) s JOIN doors d ON s.wall = d.wall GROUP BY s.wall),
   house AS (SELECT (SELECT collect_list(struct(s.ax, s.ay, s.bx, s.b_y, s.exterior, o.opens)) FROM solid s LEFT JOIN openings o ON s.wall = o.wall) AS walls, (SELECT rooms FROM polygons) AS rooms, (SELECT collect_list(struct(a, b)) FROM trust2) AS trust)
   SELECT f.id, f.fixes, f.calibrated, h.walls, h.rooms, h.trust FROM (SELECT f.device_id AS id,
-      array_sort(collect_list(struct(f.i AS i, f.node_id AS node_id, f.x AS x, f.y AS y, f.z AS z, f.d AS d, coalesce(c.absorption, 2.7D) AS n, f.rssi AS rssi, f.room_id AS room_id, coalesce(m.x, f.x) AS mx, coalesce(m.y, f.y) AS my, h.fits AS fits))) AS fixes,
+      array_sort(collect_list(struct(f.i AS i, f.node_id AS node_id, f.x AS x, f.y AS y, f.z AS z, f.d AS d, coalesce(c.absorption, 2.7D) AS n, c.absorption AS set_n, f.rssi AS rssi, f.room_id AS room_id, coalesce(m.x, f.x) AS mx, coalesce(m.y, f.y) AS my, h.fits AS fits))) AS fixes,
       (SELECT count(*) FROM pair_fits) > 0 AS calibrated
     FROM fixes f LEFT JOIN heard h ON f.node_id = h.listener_id LEFT JOIN set_n c ON f.node_id = c.node_id LEFT JOIN anchors m ON f.room_id = m.room_id GROUP BY f.device_id) f CROSS JOIN house h"""
 
@@ -124,6 +127,8 @@ class Fixes:
     middle_y: np.ndarray
     room: np.ndarray
     pair_r2: np.ndarray
+    #: exponents that were set, NaN where none was
+    set_n: np.ndarray
     house: House
 
     def rows(self, pick: np.ndarray) -> Fixes:
@@ -201,7 +206,7 @@ def unpack(batch: pa.RecordBatch) -> tuple[Fixes, list]:
     fixes = Fixes(
         *(spread(part[c]) for c in ("x", "y", "z", "d")), spread(part["n"], 1.0), on.reshape(rows, most), *(paths_of(c) for c in ("x", "y", "n", "r2")),
         batch.column("calibrated").to_numpy(zero_copy_only=False).astype(bool),
-        spread(part["rssi"].fill_null(np.nan)), spread(part["mx"]), spread(part["my"]), room.reshape(rows, most), quality[node[:, :, None], node[:, None, :]], house,
+        spread(part["rssi"].fill_null(np.nan)), spread(part["mx"]), spread(part["my"]), room.reshape(rows, most), quality[node[:, :, None], node[:, None, :]], spread(part["set_n"].fill_null(np.nan), np.nan), house,
     )
     ends = np.cumsum(length)
     return fixes, [names[e - k : e] for e, k in zip(ends, length, strict=True)]
@@ -609,7 +614,7 @@ def rf_physics(fixes: Fixes) -> Places:
     """The best crossing, refined on signal strengths as distance and walls would make them."""
 
     def refine(part: Fixes, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own_n = np.where(part.n > 0.1, part.n, 4.0)
+        own_n = np.where(part.set_n > 0.1, part.set_n, UNSET)
         heard = np.where(np.isnan(part.rssi), REFERENCE - 10 * own_n * np.log10(np.maximum(part.d, 0.1)), part.rssi)
 
         def off(points, own, sounds):
@@ -768,7 +773,7 @@ def gathered(batch: pa.RecordBatch, house: House, nodes: dict[str, int], quality
     room = spread([place.get(r, len(place)) for r in part["room_id"].to_pylist()], len(place)).astype(np.int64)
     node = spread([nodes.get(n, len(nodes)) for n in part["node_id"].to_pylist()], len(nodes)).astype(np.int64)
     none = np.zeros((*shape, 0))
-    return Fixes(x, y, z, d, np.ones(shape), on, none, none, none, none, np.zeros(shape[0], bool), d, x, y, room, quality[node[:, :, None], node[:, None, :]], house)
+    return Fixes(x, y, z, d, np.ones(shape), on, none, none, none, none, np.zeros(shape[0], bool), d, x, y, room, quality[node[:, :, None], node[:, None, :]], np.full(shape, np.nan), house)
 
 
 def solved(rows: DataFrame, name: str, rooms: list[str], trust: list[tuple[str, str]], fits: list[tuple[str, str, float]]) -> DataFrame:
@@ -796,6 +801,45 @@ def solved(rows: DataFrame, name: str, rooms: list[str], trust: list[tuple[str,
     return dealt(rows, "id").mapInArrow(run, SOLVED)
 
 
+COMPARED = "device_id string, algorithm string, delta double, room_off boolean, in_out boolean"
+
+
+def nearest_node(fixes: Fixes) -> Places:
+    """The middle of the nearest node's room."""
+    nearest, row = np.where(fixes.on, fixes.d, np.inf).argmin(1), np.arange(len(fixes.d))
+    at = np.stack([c[row, nearest] for c in (fixes.middle_x, fixes.middle_y, fixes.z)], 1)
+    return Places(at, np.maximum(0.0, 1 - fixes.d[row, nearest] / 10), fixes.count)
+
+
+def compared(rows: DataFrame) -> DataFrame:
+    """How far each alternative is from the active locator's place, and whether room or being inside differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fixes, _ = unpack(batch)
+            active = room_aware(fixes).at
+            none = len(fixes.house.rooms)
+            home = fixes.house.room(active[:, 0], active[:, 1])
+            for name, solve in (SOLVERS | {"nearest_node": nearest_node}).items():
+                at = (robust(solve, fixes) if name != "nearest_node" else solve(fixes)).at
+                room = fixes.house.room(at[:, 0], at[:, 1])
+                found = np.flatnonzero(~np.isnan(at[:, 0]) & ~np.isnan(active[:, 0]))
+                values = [np.hypot(*(at - active)[found, :2].T), (room != home)[found], ((room == none) != (home == none))[found]]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(found)), pa.array([name] * len(found), pa.string()), *map(pa.array, values)], [x.split()[0] for x in COMPARED.split(", ")])
+
+    return rows.mapInArrow(run, COMPARED)
+
+
+def _pooled(spark, sf_dir: str) -> DataFrame:
+    """By alternative: mean and spread of the distance from the active place, and the rates of other rooms and of in against out."""
+    rate = lambda c: F.round(F.avg(F.col(c).cast("double")), 6)
+    return compared(problems(spark, sf_dir)).groupBy("algorithm").agg(
+        F.count("*").alias("n"), F.round(F.avg("delta"), 6).alias("mean"), F.round(F.stddev_pop("delta"), 6).alias("sigma"), rate("room_off").alias("room_rate"), rate("in_out").alias("in_out_rate")
+    )
+
+
 DIAGNOSTICS = "device_id string, node_id string, raw double, corrected double, expected double, raw_residual double, corrected_residual double, n_effective double, n_assumed double, rejected boolean, confidence double"
 
 
@@ -848,5 +892,7 @@ QUERIES = {
     "l10_rf_physics": _one("rf_physics"),
     "l11_rf_room_aware": _one("rf_room_aware"),
     "l14_solver_bundle": _bundle,
+    "a04_all_locators": lambda spark, sf_dir: compared(problems(spark, sf_dir)),
+    "a05_all_locators": _pooled,
     "l16_path_diagnostics": lambda spark, sf_dir: diagnosed(problems(spark, sf_dir)),
 }

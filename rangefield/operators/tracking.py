@@ -317,7 +317,7 @@ class Tracker:
         place = scene.place
         return Fixes(
             wide(place[:, 0]), wide(place[:, 1]), wide(place[:, 2]), distance, np.ones(on.shape), on, none, none, none, none, np.zeros(len(d), bool), s["rssi"][d],
-            wide(place[:, 0]), wide(place[:, 1]), wide(scene.node_room), np.broadcast_to(scene.pair_r2, (len(d), *scene.pair_r2.shape)), scene.house,
+            wide(place[:, 0]), wide(place[:, 1]), wide(scene.node_room), np.broadcast_to(scene.pair_r2, (len(d), *scene.pair_r2.shape)), np.full(on.shape, np.nan), scene.house,
         )
 
     def _active(self, d: np.ndarray, t: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ CURRENT = """current_n AS (SELECT node_id, absorption FROM (SELECT *, row_number
 #: Weighted normal equations of 10 * n * log10(measured) on 10 * log10(distance), inner walls, outer walls and doors; every pair of nodes weighs the same.
 NORMAL = """by_pair AS (SELECT g.listener_id, g.transmitter_id, CAST(count(*) AS DOUBLE) AS c, avg(10.0D * log10(g.true_dist)) AS x, avg(10.0D * g.absorption * log10(g.measured)) AS y,
       avg(100.0D * log10(g.true_dist) * g.absorption * log10(g.measured)) AS xy, avg(10.0D * g.absorption * log10(g.measured) * 10.0D * g.absorption * log10(g.measured)) AS yy
-    FROM gt_samples g WHERE g.measured > 0.1D AND g.true_dist > 1.0D AND g.absorption > 0.1D GROUP BY g.listener_id, g.transmitter_id),
+    FROM ring g WHERE g.measured > 0.1D AND g.true_dist > 1.0D AND g.absorption > 0.1D GROUP BY g.listener_id, g.transmitter_id),
   rows_ AS (SELECT p.*, CAST(w.interior AS DOUBLE) AS i, CAST(w.exterior AS DOUBLE) AS e, CAST(w.doors AS DOUBLE) AS d FROM by_pair p JOIN counted w ON least(p.listener_id, p.transmitter_id) = w.a AND greatest(p.listener_id, p.transmitter_id) = w.b),
   normal AS (SELECT count(*) AS pairs, CAST(sum(c) AS BIGINT) AS samples, sum(x * x) AS xx, sum(x * i) AS xi, sum(x * e) AS xe, sum(x * d) AS xd, sum(i * i) AS ii, sum(i * e) AS ie, sum(i * d) AS id, sum(e * e) AS ee, sum(e * d) AS ed, sum(d * d) AS dd,
       sum(xy) AS xy, sum(i * y) AS iy, sum(e * y) AS ey, sum(d * y) AS dy, sum(y) AS sy, sum(yy) AS yy FROM rows_),
@@ -60,7 +60,9 @@ QUERIES: dict[str, str] = {
     "k02_config_outbox": """SELECT 'site/settings/' || original_id || '/config' AS topic, '{"id":"' || coalesce(alias, original_id) || '","name":"' || name || '","rssi@1m":' || CAST(ref_rssi AS STRING) || '}' AS payload, 1 AS qos, true AS retain FROM device_settings""",
     "k03_presence_outbox": """SELECT 'site/presence/' || device_id AS topic, state AS payload, 1 AS qos, false AS retain, seq FROM (SELECT *, lag(state) OVER (PARTITION BY device_id ORDER BY t_ms, seq) AS before FROM (
         SELECT device_id, seq, t_ms, coalesce(room_id, 'not_home') AS state FROM located) a) b WHERE before IS NULL OR before <> state""",
-    "w11_clamped": "SELECT listener_id, transmitter_id, round(least(w, 50.0D), 6) AS w, round(n * least(w, 50.0D), 6) AS sum_n, w > 50.0D AS clamped FROM pair_stats",
+    # sums of a weight above 10,000 are all scaled down to it
+    "w11_clamped": """SELECT listener_id, transmitter_id, round(w * f, 6) AS w, round(sn * f, 6) AS sum_n, round(sn2 * f, 6) AS sum_n2, round(st * f, 6) AS sum_true, round(sm * f, 6) AS sum_measured, w > 10000.0D AS clamped
+        FROM (SELECT *, CASE WHEN w > 10000.0D THEN 10000.0D / w ELSE 1.0D END AS f FROM pair_merged) p""",
     "z06_away_rows": """SELECT device_id, seq, t_ms + 2000 AS t_ms, 'not_home' AS state FROM (SELECT device_id, seq, t_ms, lead(t_ms) OVER (PARTITION BY device_id ORDER BY t_ms, seq) AS next_ms FROM upstream) o WHERE next_ms IS NULL OR next_ms - t_ms > 2000""",
     "z07_upstream_offsets": """SELECT device_id, count(*) AS n, round(avg(off), 6) AS mean, round(CASE WHEN count(*) < 2 THEN 0.0D ELSE stddev_pop(off) END, 6) AS sigma FROM (
         SELECT u.device_id, sqrt((u.x - n.x) * (u.x - n.x) + (u.y - n.y) * (u.y - n.y)) AS off FROM (SELECT device_id, seq, is_up, x, y, {lastn: node_id} OVER (PARTITION BY device_id ORDER BY t_ms, is_up, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS node_id

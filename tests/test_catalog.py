@@ -13,7 +13,7 @@ SMALL = "/root/testdata/sf0.001"
 #: What SQL cannot express: iterative locators, checked in test_locators.py.
 WITHOUT_SQL = {"l03_nelder_mead", "l04_bfgs", "l05_mle", "l07_path_aware", "l08_environment_aware", "l10_rf_physics", "l11_rf_room_aware", "l14_solver_bundle", "l16_path_diagnostics"}
 #: Replays in order of time, checked in test_tracking.py.
-WITHOUT_SQL |= {"w01_replayed_positions", "l12_bayesian", "w09_presence_log", "m02_pin_book", "j19_upstream_offsets", "g13_outlines"}
+WITHOUT_SQL |= {"w01_replayed_positions", "l12_bayesian", "w09_presence_log", "m02_pin_book", "j19_upstream_offsets", "g13_outlines", "a04_all_locators", "a05_all_locators"}
 SAMPLE = [
     "s02_topic_parse", "s03_device_payload", "s07_device_config", "f01_tracked", "a19_device_row", "j10_calibration", "j15_settings_by_alias", "j19_upstream_as_of", "j21_setting_as_of", "x21_glob", "x22_duration",
     "x26_open_to", "x28_iso_dates", "g02_find_room", "g06_adjacency", "g09_crossings", "g17_hops", "g18_distance_to_room", "a06_pair_fits", "a08_node_fit", "a15_ruler_scale", "f15_auto_apply", "a12_reference_rssi", "t04_recent_devices",

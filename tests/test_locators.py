@@ -292,3 +292,25 @@ def test_wall_losses_of_the_radio_locators(spark):
     for name in ("l10_rf_physics", "l11_rf_room_aware"):
         places = catalog.queries()[name](spark, SMALL).collect()
         assert len(places) == 15 and all(-6 < r.x < 18 and -6 < r.y < 16 and 0 <= r.confidence <= 1 for r in places)
+
+
+def test_all_alternatives_against_the_active_place(spark):
+    """Distances and rooms of every alternative, from the places that the queries of the locators give."""
+    active = {r.device_id: r for r in catalog.queries()["l09_room_aware"](spark, SMALL).collect()}
+    places = defaultdict(dict)
+    for r in catalog.queries()["l14_solver_bundle"](spark, SMALL).collect():
+        places[r.algorithm][r.device_id] = (r.x, r.y)
+    places["nearest_node"] = {r.device_id: (r.x, r.y) for r in catalog.queries()["l02_nearest_node"](spark, SMALL).collect()}
+    rooms = {r.room_id: (r.x0, r.y0, r.x1, r.y1) for r in spark_sql(with_("SELECT * FROM rooms"))(spark, SMALL).collect()}
+    where = lambda x, y: next((k for k, (x0, y0, x1, y1) in rooms.items() if x0 < x < x1 and y0 < y < y1), None)
+    got = catalog.queries()["a04_all_locators"](spark, SMALL).collect()
+    assert {(r.algorithm, r.device_id) for r in got} == {(a, d) for a, own in places.items() for d in own if d in active} and len(places) == 9
+    for r in got:
+        (x, y), own = places[r.algorithm][r.device_id], active[r.device_id]
+        assert abs(r.delta - math.hypot(x - own.x, y - own.y)) < 1e-3
+        assert r.room_off == (where(x, y) != where(own.x, own.y)) and r.in_out == ((where(x, y) is None) != (where(own.x, own.y) is None))
+    pooled = {r.algorithm: r for r in catalog.queries()["a05_all_locators"](spark, SMALL).collect()}
+    for name, row in pooled.items():
+        own = [r for r in got if r.algorithm == name]
+        assert row.n == len(own) and abs(row["mean"] - np.mean([r.delta for r in own])) < 1e-5 and abs(row.room_rate - np.mean([r.room_off for r in own])) < 1e-5
+        assert abs(row.sigma - np.std([r.delta for r in own])) < 1e-5 and abs(row.in_out_rate - np.mean([r.in_out for r in own])) < 1e-5
