@@ -15,8 +15,9 @@ Vectors at cosine 0.93 (distance 0.374) meet in some table with probability
 Defined cases: a vector that is null, zero, empty, or holds a null or
 non-finite component, or whose label is null, links with nothing; vectors of
 different lengths are never compared; rows that share a vec_id are vectors of
-their own but get the least id of their component; an empty table gives no
-rows; extra columns are not looked at.
+their own but get the least id of their component; a vector without a vec_id is
+compared and linked like any other, names no component, and has a null `kept`;
+an empty table gives no rows; extra columns are not looked at.
 """
 
 from __future__ import annotations

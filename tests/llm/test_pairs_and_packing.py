@@ -217,3 +217,15 @@ def test_sql(spark, sf, query):
     from rangefield.llm import queries
 
     assert not oracle.difference(queries.QUERIES[query](spark, sf), queries.ORACLES[query], sf)
+
+
+def test_embeddings_without_id_and_with_other_columns(spark):
+    """A vector without an id is compared like any other; columns named like those of the result are not looked at."""
+    close = [1.0, 0.1, 0.0]
+    rows = [(1, close, 0), (2, [1.0, 0.12, 0.0], 0), (None, [1.0, 0.11, 0.0], 0), (4, [0.0, 0.0, 1.0], 0), (5, None, 0), (6, [0.0, 0.0, 0.0], 0), (7, close, None), (8, close, 1)]
+    table = spark.createDataFrame([(*r, 9, 9, True, "b") for r in rows], "vec_id long, embedding array<float>, label int, n_links long, component_id long, kept boolean, bucket string")
+    out = embeddings.op9(table)
+    assert out.columns[:4] == ["vec_id", "n_links", "component_id", "kept"]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out.collect()}
+    assert len(got) == 8 and {k: got[k] for k in (1, 4, 5, 6, 7, 8)} == {1: (2, 1, True), 4: (0, 4, True), 5: (0, 5, True), 6: (0, 6, True), 7: (0, 7, True), 8: (0, 8, True)}
+    assert got[None] == (2, 1, None)

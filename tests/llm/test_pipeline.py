@@ -5,12 +5,16 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from rangefield.llm import factorization, packing, rules, stringkernel
+from rangefield.llm.textkit import Words, id_part
 from test_ngramjoin import brute
 
 
@@ -178,3 +182,41 @@ def test_sum_of_squares_identity():
         for b in range(a):
             want += machine.v[index[a]] @ machine.v[index[b]] * value[a] * value[b]
     assert abs(machine.margin(index, value, np.array([0, len(index)]))[0] - want) < 1e-9
+
+
+def plain_features(text):
+    """{feature: value} of one text by plain string handling."""
+    text = text or ""
+    words = [w for w in re.split("[ \\t-\\r]+", text) if w]
+    lines = [x for x in text.split("\n") if re.search("[^ \\t-\\r]", x)]
+    windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    inside = {j for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
+    letters = sum(c.isascii() and c.isalpha() or ord(c) >= 0x80 for c in text)
+    n, chars = max(len(words), 1), max(sum(map(len, words)), 1)
+    stats = {
+        "symbols": sum(c in "#*$%&|<>" for c in text) / n, "capitals": sum("A" <= c <= "Z" for c in text) / max(letters, 1), "bangs": text.count("!") / n,
+        "same_lines": (len(lines) - len(set(lines))) / max(len(lines), 1), "repeats": len(inside) / n, "stutter": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
+        "letters": letters / chars, "digits": sum("0" <= c <= "9" for c in text) / chars, "word_size": sum(map(len, words)) / n,
+        "words": len(words), "lines": len(lines), "longest": max((len(w.encode()) for w in words), default=0),
+    }
+    out = {factorization.BUCKETS + factorization.BINS * i + sum(v > e for e in factorization.STATS[k]): factorization.STAT_WEIGHT for i, (k, v) in enumerate(stats.items())}
+    lower = lambda w: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w)
+    counts = Counter(int(Words(pa.array([lower(w)])).hashes()[0] >> np.uint64(50)) for w in words)
+    norm = math.sqrt(sum(math.log1p(c) ** 2 for c in counts.values()))
+    return out | {b: math.log1p(c) / norm for b, c in counts.items()}
+
+
+def test_quality_scores_by_brute_force(spark, sf):
+    """Every feature and every pair of features of odd and of real texts, under the trained machine."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    machine = factorization.train(docs, labels, id_part(4) != 2)
+    texts = [None, "", " \n ", "a", "Zu ZU zu!! 12 #", "été 日本 x", "one two three four five six seven eight " * 3, "line\nline\n\nother", "w" * 300]
+    texts += [r.text for r in docs.orderBy(F.length("text")).limit(30).collect()]
+    odd = spark.createDataFrame([(i, t, "s", 1, 2.0, False) for i, t in enumerate(texts)], "doc_id long, text string, score string, label int, value double, held_out boolean")
+    assert factorization.op1(odd, labels).columns == ["doc_id", "held_out", "score", "predicted"]
+    got = {r.doc_id: r.score for r in factorization.score(odd, machine).collect()}
+    for i, text in enumerate(texts):
+        own = list(plain_features(text).items())
+        margin = machine.bias + sum(machine.w[f] * x for f, x in own)
+        margin += sum(float(machine.v[f] @ machine.v[g]) * x * y for k, (f, x) in enumerate(own) for g, y in own[k + 1 :])
+        assert abs(got[i] - 1 / (1 + math.exp(-margin))) < 1e-9, text
