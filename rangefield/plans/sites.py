@@ -85,7 +85,7 @@ RELATIONS: dict[str, str] = {
           FROM (SELECT o.*, s.wall, s.ax, s.ay, s.bx, s.b_y, sqrt((s.bx - s.ax) * (s.bx - s.ax) + (s.b_y - s.ay) * (s.b_y - s.ay)) AS len, {along("o.door_x", "o.door_y")} AS t FROM h_open o JOIN h_solid s ON o.site = s.site) p) d) e WHERE k = 1""",
     "h_openings": """SELECT site, wall, part, min(t0) AS t0, max(t1) AS t1 FROM (SELECT *, sum(fresh) OVER (PARTITION BY site, wall ORDER BY t0, t1 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part FROM (
           SELECT *, CASE WHEN t0 <= max(t1) OVER (PARTITION BY site, wall ORDER BY t0, t1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM (
-            SELECT site, wall, greatest(0.0D, t - width / (2.0D * len)) AS t0, least(1.0D, t + width / (2.0D * len)) AS t1 FROM h_door_walls WHERE len >= 1e-6) r) f) g GROUP BY site, wall, part""",
+            SELECT DISTINCT site, wall, greatest(0.0D, t - width / (2.0D * len)) AS t0, least(1.0D, t + width / (2.0D * len)) AS t1 FROM h_door_walls WHERE len >= 1e-6) r) f) g GROUP BY site, wall, part""",
     # paths from a sender to a listener of the same floor; a wall at the sender counts if the sender's room is on its other side
     "h_paths": "SELECT a.site, a.node_id AS a, b.node_id AS b, a.x AS px, a.y AS py, b.x AS qx, b.y AS qy, m.x AS mx, m.y AS my FROM h_node_rooms a JOIN h_node_rooms b ON a.site = b.site AND a.node_id <> b.node_id AND a.level = b.level AND a.enabled AND b.enabled LEFT JOIN h_anchors m ON a.site = m.site AND a.room_id = m.room_id",
     "h_crossed": f"""SELECT site, a, b, wall, exterior, t, u, px + t * (qx - px) AS hx, py + t * (qy - py) AS hy FROM (
