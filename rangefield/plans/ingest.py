@@ -74,6 +74,10 @@ QUERIES: dict[str, str] = {
     "x09_decay": "SELECT seq, round(exp(-greatest(t_ms - 1000, 0) / 3600.0D), 6) AS w FROM obs",
     "x11_round_half_up": "SELECT seq, CAST(floor(rssi + 0.5D) AS BIGINT) AS whole, round(least(greatest(rssi, -80.0D), -60.0D), 6) AS clamped FROM obs",
     "x13_rssi_stop": "SELECT seq, CASE WHEN t <= 0.25D THEN 0 WHEN t <= 0.5D THEN 1 WHEN t <= 0.75D THEN 2 ELSE 3 END AS stop, round(t, 6) AS t FROM (SELECT seq, least(greatest((rssi + 120.0D) / 80.0D, 0.0D), 1.0D) AS t FROM obs) o",
+    # fixed values: the colours at the ends of four equal stretches of the scale from -120 to -40
+    "x13_rgba": """WITH stops AS (SELECT * FROM (VALUES (0, 68, 1, 84, 59, 82, 139), (1, 59, 82, 139, 33, 144, 140), (2, 33, 144, 140, 94, 201, 97), (3, 94, 201, 97, 253, 231, 37)) AS s(stop, r0, g0, b0, r1, g1, b1))
+        SELECT o.seq, CAST(floor(r0 + f * (r1 - r0) + 0.5D) AS BIGINT) AS r, CAST(floor(g0 + f * (g1 - g0) + 0.5D) AS BIGINT) AS g, CAST(floor(b0 + f * (b1 - b0) + 0.5D) AS BIGINT) AS b, 255 AS a FROM (SELECT seq, stop, (t - stop * 0.25D) / 0.25D AS f FROM (
+          SELECT seq, t, CASE WHEN t <= 0.25D THEN 0 WHEN t <= 0.5D THEN 1 WHEN t <= 0.75D THEN 2 ELSE 3 END AS stop FROM (SELECT seq, least(greatest((rssi + 120.0D) / 80.0D, 0.0D), 1.0D) AS t FROM obs) i) k) o JOIN stops s ON o.stop = s.stop""",
     "x20_slugify": "SELECT p_partkey, {rx: {rx: lower(p_name || ' - ' || p_brand); '[^a-z0-9]+'; '_'}; '^_+|_+$'; ''} AS slug FROM {t:part}",
     "x21_glob": """SELECT g.pattern, t.text, t.text LIKE replace(replace(replace(replace(g.pattern, '!', '!!'), '%', '!%'), '_', '!_'), '*', '%') ESCAPE '!' AS hit
         FROM (VALUES ('dev_1*3'), ('dev_*'), ('x'), ('a.b'), ('*.*'), ('100%*'), ('PROMO*'), ('*')) AS g(pattern)
@@ -87,6 +91,16 @@ QUERIES: dict[str, str] = {
           UNION ALL SELECT CAST(p_size AS STRING) || CASE p_partkey % 3 WHEN 0 THEN 'q' || CAST(p_partkey % 12 AS STRING) || 'i' WHEN 1 THEN '.25 ft' ELSE '' END FROM {t:part}) u) d""",
     "x24_inches": "SELECT seq, round(raw / 0.0254D, 1) AS inches, CAST(floor(round(raw / 0.0254D, 1) / 12.0D) AS BIGINT) AS feet FROM obs_raw",
     "x25_relative": "SELECT device_id, CASE WHEN age < 60 THEN 's' WHEN age < 3600 THEN 'm' WHEN age < 86400 THEN 'h' ELSE 'd' END AS unit, age FROM (SELECT device_id, {div: (SELECT max(t_ms) FROM obs) - max(t_ms); 10} AS age FROM obs GROUP BY device_id) a",
+    # lengths as texts: for input boxes and for display, in metres and in feet and inches
+    "x24_displays": """SELECT seq, metre_text || ' m' AS metric, metre_text AS metric_input, inch_text AS imperial_input, CASE WHEN meters < 0 THEN '-' ELSE '' END || CASE WHEN tenths >= 120 THEN CAST({div: tenths; 120} AS STRING) || ' ft ' || CAST({div: tenths % 120; 10} AS STRING) || '.' || CAST(tenths % 10 AS STRING) ELSE CAST({div: tenths; 10} AS STRING) || '.' || CAST(tenths % 10 AS STRING) END || ' in' AS imperial
+        FROM (SELECT seq, meters, CAST(floor(abs(meters) / 0.0254D * 10 + 0.5D) AS BIGINT) AS tenths, CASE WHEN meters < 0 THEN '-' ELSE '' END || CAST({div: cm; 100} AS STRING) || '.' || lpad(CAST(cm % 100 AS STRING), 2, '0') AS metre_text, CASE WHEN meters < 0 THEN '-' ELSE '' END || CAST({div: ci; 100} AS STRING) || '.' || lpad(CAST(ci % 100 AS STRING), 2, '0') AS inch_text
+          FROM (SELECT seq, raw - 5.0D AS meters, CAST(floor(abs(raw - 5.0D) * 100 + 0.5D) AS BIGINT) AS cm, CAST(floor(abs(raw - 5.0D) / 0.0254D * 100 + 0.5D) AS BIGINT) AS ci FROM obs_raw) r) d""",
+    # ages, countdowns and running times as texts
+    "x25_texts": """SELECT seq, CASE WHEN ms < 1000 THEN 'just now' WHEN ms < 60000 THEN CAST({div: ms; 1000} AS STRING) || 's ago' WHEN ms < 3600000 THEN CAST({div: ms; 60000} AS STRING) || 'm ago' ELSE CAST({div: ms; 3600000} AS STRING) || 'h ago' END AS relative,
+        CASE WHEN ms < 60000 THEN CAST({div: ms; 1000} AS STRING) || 's ago' WHEN ms < 3600000 THEN CAST({div: ms; 60000} AS STRING) || 'm ago' WHEN ms < 86400000 THEN CAST({div: ms; 3600000} AS STRING) || 'h ago' ELSE CAST({div: ms; 86400000} AS STRING) || 'd ago' END AS relative_long,
+        CASE WHEN ms <= 0 THEN 'now' WHEN {div: ms + 999; 1000} < 60 THEN CAST({div: ms + 999; 1000} AS STRING) || 's' ELSE CAST({div: ms + 999; 60000} AS STRING) || 'm ' || lpad(CAST({div: ms + 999; 1000} % 60 AS STRING), 2, '0') || 's' END AS countdown,
+        CASE WHEN ms >= 86400000 THEN CAST({div: ms; 86400000} AS STRING) || 'd ' || CAST({div: ms % 86400000; 3600000} AS STRING) || 'h' WHEN ms >= 3600000 THEN CAST({div: ms; 3600000} AS STRING) || 'h ' || CAST({div: ms % 3600000; 60000} AS STRING) || 'm' ELSE CAST({div: ms; 60000} AS STRING) || 'm' END AS uptime
+        FROM (SELECT seq, t_ms * t_ms AS ms FROM obs_raw) a""",
     "x27_topics": "SELECT DISTINCT 'site/' || device_id || '/' || room_id || '/state' AS topic FROM fixes WHERE room_id IS NOT NULL",
     # the median lies in one thousandth of the scale; only rows of that one are put in order
     "a15_ruler_scale": """WITH scales AS (SELECT id, actual_distance / config_distance AS s, CAST(floor(actual_distance / config_distance * 1000.0D) AS BIGINT) AS b FROM ruler WHERE config_distance > 0),
