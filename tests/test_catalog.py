@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import oracle
 import pytest
 
@@ -67,3 +69,32 @@ def test_forms_render_inside_out():
 def test_relations_come_after_what_they_need():
     text = with_("SELECT * FROM fixes")
     assert text.index("fix_last AS") < text.index("fixes AS") and set(RELATIONS) >= {"obs", "fixes"}
+
+
+def test_texts_and_colours_as_the_map_shows_them(spark):
+    ask = lambda sql: {r.seq: r for r in spark_sql(with_(sql))(spark, SMALL).collect()}
+    raw, obs = ask("SELECT seq, raw, t_ms FROM obs_raw"), ask("SELECT seq, rssi FROM obs")
+    half_up = lambda v, n: math.floor(abs(v) * 10**n + 0.5) / 10**n
+    for r in catalog.queries()["x24_displays"](spark, SMALL).collect():
+        meters = raw[r.seq].raw - 5
+        sign, inches = "-" if meters < 0 else "", half_up(meters / 0.0254, 1)
+        feet = math.floor(inches / 12 + 1e-9)
+        assert r.metric_input == f"{sign}{half_up(meters, 2):.2f}" and r.metric == f"{r.metric_input} m" and r.imperial_input == f"{sign}{half_up(meters / 0.0254, 2):.2f}"
+        assert r.imperial == sign + (f"{feet} ft {inches - 12 * feet:.1f} in" if feet else f"{inches:.1f} in")
+    seen = set()
+    for r in catalog.queries()["x25_texts"](spark, SMALL).collect():
+        ms = raw[r.seq].t_ms ** 2
+        s, m, h, d = ms // 1000, ms // 60_000, ms // 3_600_000, ms // 86_400_000
+        assert r.relative == ("just now" if ms < 1000 else f"{s}s ago" if s < 60 else f"{m}m ago" if m < 60 else f"{h}h ago")
+        assert r.relative_long == (f"{s}s ago" if s < 60 else f"{m}m ago" if m < 60 else f"{h}h ago" if h < 24 else f"{d}d ago")
+        up = -(-ms // 1000)
+        assert r.countdown == ("now" if ms <= 0 else f"{up}s" if up < 60 else f"{up // 60}m {up % 60:02d}s")
+        assert r.uptime == (f"{d}d {h % 24}h" if d else f"{h}h {m % 60}m" if h else f"{m}m")
+        seen.add(r.relative_long[-5])
+    assert seen >= {"d", "h", "m"}
+    stops = [(68, 1, 84), (59, 82, 139), (33, 144, 140), (94, 201, 97), (253, 231, 37)]
+    for r in catalog.queries()["x13_rgba"](spark, SMALL).collect():
+        t = min(max((obs[r.seq].rssi + 120) / 80, 0.0), 1.0)
+        i = next(k for k in range(4) if t <= (k + 1) / 4)
+        want = [math.floor(a + (t - i / 4) * 4 * (b - a) + 0.5) for a, b in zip(stops[i], stops[i + 1], strict=True)]
+        assert [r.r, r.g, r.b] == want and r.a == 255
