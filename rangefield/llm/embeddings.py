@@ -3,7 +3,8 @@
 Equal vectors of one label form a class that is compared once and counts with
 its multiplicity.  Class vectors are normalised; TABLES tables each hash them
 by WIDTH-quantised random projections, and classes that share a bucket are
-compared by cosine in double precision.  A pair is counted in the first table
+compared by cosine in double precision.  Only hashes are shuffled to find the
+shared buckets; a vector then goes to those, and not to buckets of its own.  A pair is counted in the first table
 where it meets, so link counts need no list of pairs; components need only a
 spanning forest of each bucket's links.  A bucket of more than BLOCK classes
 is split into blocks, and each pair of blocks is a task of its own, so every
@@ -38,8 +39,6 @@ HASHES = 5
 WIDTH = 1.0
 BLOCK = 1024
 SMALL = 96
-#: Most oversized buckets whose list is broadcast.
-BROADCAST_BUCKETS = 50_000
 THRESHOLD = 0.93
 
 
@@ -73,32 +72,12 @@ def _by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBat
             yield part, _matrix(part.column("vector"))
 
 
-def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _to_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, vectors in _by_length(batches):
-        values, counts = np.unique(signatures(vectors, part.column("label").to_numpy()).ravel(), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], ["bucket", "n"])
-
-
-def _to_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, vectors in _by_length(batches):
-        for lo in range(0, part.num_rows, 512):
-            rows, own = part.slice(lo, 512), vectors[lo : lo + 512]
-            sig = signatures(own, rows.column("label").to_numpy())
-            n = rows.num_rows
-            again = pa.array(np.tile(np.arange(n), TABLES))
-            raw = pa.array([x.tobytes() for x in own / np.linalg.norm(own, axis=1, keepdims=True)], pa.binary())
-            marks = pa.array([x.tobytes() for x in sig], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(sig.T.ravel().view(np.int64)),
-                    pa.array(np.repeat(np.arange(TABLES, dtype=np.int32), n)),
-                    rows.column("cid").take(again),
-                    rows.column("n").take(again),
-                    raw.take(again),
-                    marks.take(again),
-                ],
-                ["bucket", "tab", "cid", "n", "unit", "marks"],
-            )
+        n = part.num_rows
+        sig = signatures(vectors, part.column("label").to_numpy())
+        arrays = [pa.array(sig.ravel().view(np.int64)), pa.array(np.tile(np.arange(TABLES, dtype=np.int32), n)), part.column("cid").take(pa.array(np.repeat(np.arange(n), TABLES)))]
+        yield pa.RecordBatch.from_arrays(arrays, ["bucket", "tab", "cid"])
 
 
 def _pairs(rows: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -111,29 +90,29 @@ def _pairs(rows: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.nd
     new[1:] = (key[1:] != key[:-1]) | (side_a[1:] != side_a[:-1]) | (side_b[1:] != side_b[:-1])
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(key)))
-    units = rows.column("unit").combine_chunks() if isinstance(rows.column("unit"), pa.ChunkedArray) else rows.column("unit")
-    marks = rows.column("marks").combine_chunks() if isinstance(rows.column("marks"), pa.ChunkedArray) else rows.column("marks")
+    vectors, marks = (rows.column(c).combine_chunks() for c in ("vector", "marks"))
+    long = vectors.value_lengths().to_numpy()
 
     def unit(at):
-        return np.frombuffer(b"".join(units.take(pa.array(at)).to_pylist()), np.float64).reshape(len(at), -1)
+        own = _matrix(vectors.take(pa.array(at)))
+        return own / np.linalg.norm(own, axis=1, keepdims=True)
 
     def mark(at):
-        return np.frombuffer(b"".join(marks.take(pa.array(at)).to_pylist()), np.int64).reshape(len(at), TABLES)
+        return marks.take(pa.array(at)).flatten().to_numpy().reshape(len(at), TABLES)
 
     for n in np.unique(size[(size > 1) & (size <= SMALL)]):
         starts = first[size == n]
         for lo in range(0, len(starts), max(1, 200_000 // int(n * n))):
             at = (starts[lo : lo + max(1, 200_000 // int(n * n))][:, None] + np.arange(n)).ravel()
-            dims = np.array([len(x) for x in units.take(pa.array(at)).to_pylist()])
-            for d in np.unique(dims):
-                pick = at[dims == d]
-                u, m = unit(pick).reshape(-1, n, d // 8), mark(pick).reshape(-1, n, TABLES)
+            for d in np.unique(long[at]):
+                pick = at[long[at] == d]
+                u, m = unit(pick).reshape(-1, n, d), mark(pick).reshape(-1, n, TABLES)
                 i, j = np.triu_indices(n, 1)
                 cos = np.einsum("gid,gjd->gij", u, u)[:, i, j]
                 g, p = np.nonzero((cos >= threshold))
                 a, b = pick.reshape(-1, n)[g, i[p]], pick.reshape(-1, n)[g, j[p]]
                 fair = (side_a[a] == side_b[a]) | (own[a] != own[b])  # two blocks: only pairs across them
-                yield from _emit(a[fair], b[fair], (m[g, i[p]] == m[g, j[p]])[fair], tab, cid, mult)
+                yield from _emit(a[fair], b[fair], _meets(m[g, i[p]], m[g, j[p]])[fair], tab, cid, mult)
     for f, n in zip(first[size > SMALL], size[size > SMALL], strict=True):
         at = np.arange(f, f + n)
         left = at[own[at] == side_a[at]]
@@ -147,7 +126,12 @@ def _pairs(rows: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.nd
             i, j = np.nonzero(ok)
             for s in range(0, len(i), 100_000):
                 x, y = i[s : s + 100_000] + lo, j[s : s + 100_000]
-                yield from _emit(left[x], right[y], m[x] == w[y], tab, cid, mult)
+                yield from _emit(left[x], right[y], _meets(m[x], w[y]), tab, cid, mult)
+
+
+def _meets(m: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Whether two rows share their bucket, by table; 0 stands for a bucket of one class."""
+    return (m == w) & (m != 0)
 
 
 def _emit(a, b, meets, tab, cid, mult):
@@ -165,14 +149,15 @@ def _emit(a, b, meets, tab, cid, mult):
 
 def links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (cid, links, other): partial link counts (other null) and forest edges (links 0) of the classes."""
-    big = save(classes.mapInArrow(_count_buckets, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > BLOCK))
-    blocks = big.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    if big.count() <= BROADCAST_BUCKETS:
-        blocks = F.broadcast(blocks)
-    spread = classes.mapInArrow(_to_tables, "bucket long, tab int, cid long, n long, unit binary, marks binary").join(blocks, "bucket", "left")
-    own = F.coalesce(F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"), F.lit(0))
-    dealt = spread.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks") - 1, F.lit(0)))))
-    dealt = dealt.select("bucket", F.least("own", "with").alias("bi"), F.greatest("own", "with").alias("bj"), "own", "tab", "cid", "n", "unit", "marks")
+    hashed = classes.mapInArrow(_to_buckets, "bucket long, tab int, cid long")
+    shared = hashed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1 AND bucket <> 0").withColumn("blocks", F.when(F.col("n") > BLOCK, F.ceil(F.col("n") / BLOCK)).otherwise(1).cast("int"))
+    # buckets of one class end here, as three numbers; a vector then travels to its shared buckets only
+    met = hashed.join(shared.select("bucket", "blocks"), "bucket").groupBy("cid").agg(F.collect_list(F.struct("tab", "bucket", "blocks")).alias("met"))
+    marks = f"transform(sequence(0, {TABLES - 1}), t -> coalesce(element_at(map_from_entries(transform(met, x -> struct(x.tab, x.bucket))), t), 0L))"
+    spread = classes.select("cid", "n", "vector").join(met, "cid").withColumn("marks", F.expr(marks)).select("cid", "n", "vector", "marks", F.inline("met"))
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    dealt = spread.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "with").alias("bi"), F.greatest("own", "with").alias("bj"), "own", "tab", "cid", "n", "vector", "marks")
     keys = ["bucket", "bi", "bj"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,11 +198,13 @@ def op9(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.col("label").cast("long").alias("label"),
         F.expr("transform(embedding, x -> double(x))").alias("vector"),
         F.expr(f"label IS NOT NULL AND embedding IS NOT NULL AND coalesce({fine}, false)").alias("fine"),
+        # single precision travels as such; norms and cosines are in double precision all the same
+        (F.col("embedding") if table.schema["embedding"].dataType.simpleString() == "array<float>" else F.expr("transform(embedding, x -> double(x))")).alias("given"),
     )
     keyed = rows.withColumn("k1", F.xxhash64(F.lit(1), "label", "vector")).withColumn("k2", F.xxhash64(F.lit(2), "label", "vector"))
     grouped = save(
         keyed.filter("fine").groupBy("k1", "k2").agg(
-            F.min("vec_id").alias("least_id"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector")
+            F.min("vec_id").alias("least_id"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("given").alias("vector")
         )
     )  # a class id of its own, as rows may share a vec_id
     classes = grouped.select(F.col("k1").alias("cid"), "n", "label", "vector")
