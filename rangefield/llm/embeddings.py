@@ -90,7 +90,7 @@ def _pairs(rows: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.nd
     new[1:] = (key[1:] != key[:-1]) | (side_a[1:] != side_a[:-1]) | (side_b[1:] != side_b[:-1])
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(key)))
-    vectors, marks = (rows.column(c).combine_chunks() for c in ("vector", "marks"))
+    vectors, tabs, marks = (rows.column(c).combine_chunks() for c in ("vector", "tabs", "marks"))
     long = vectors.value_lengths().to_numpy()
 
     def unit(at):
@@ -98,7 +98,10 @@ def _pairs(rows: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.nd
         return own / np.linalg.norm(own, axis=1, keepdims=True)
 
     def mark(at):
-        return marks.take(pa.array(at)).flatten().to_numpy().reshape(len(at), TABLES)
+        at = pa.array(at)
+        own, out = tabs.take(at), np.zeros((len(at), TABLES), np.int64)
+        out[np.repeat(np.arange(len(at)), own.value_lengths().to_numpy()), own.flatten().to_numpy()] = marks.take(at).flatten().to_numpy()
+        return out
 
     for n in np.unique(size[(size > 1) & (size <= SMALL)]):
         starts = first[size == n]
@@ -153,11 +156,10 @@ def links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shared = hashed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1 AND bucket <> 0").withColumn("blocks", F.when(F.col("n") > BLOCK, F.ceil(F.col("n") / BLOCK)).otherwise(1).cast("int"))
     # buckets of one class end here, as three numbers; a vector then travels to its shared buckets only
     met = hashed.join(shared.select("bucket", "blocks"), "bucket").groupBy("cid").agg(F.collect_list(F.struct("tab", "bucket", "blocks")).alias("met"))
-    marks = f"transform(sequence(0, {TABLES - 1}), t -> coalesce(element_at(map_from_entries(transform(met, x -> struct(x.tab, x.bucket))), t), 0L))"
-    spread = classes.select("cid", "n", "vector").join(met, "cid").withColumn("marks", F.expr(marks)).select("cid", "n", "vector", "marks", F.inline("met"))
+    spread = classes.select("cid", "n", "vector").join(met, "cid").select("cid", "n", "vector", F.col("met.tab").alias("tabs"), F.col("met.bucket").alias("marks"), F.inline("met"))
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     dealt = spread.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "with").alias("bi"), F.greatest("own", "with").alias("bj"), "own", "tab", "cid", "n", "vector", "marks")
+    dealt = dealt.select("bucket", F.least("own", "with").alias("bi"), F.greatest("own", "with").alias("bj"), "own", "tab", "cid", "n", "vector", "tabs", "marks")
     keys = ["bucket", "bi", "bj"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
