@@ -28,6 +28,12 @@ FORMS: dict[str, tuple[str, str]] = {
     "days": ("datediff(cast($1 as date), date '$2')", "date_diff('day', date '$2', cast($1 as date))"),
     "lastn": ("last_value($1, true)", "last_value($1 IGNORE NULLS)"),
     "unnest": ("explode(sequence($1, $2))", "unnest(range($1, ($2) + 1))"),
+    "kind": (
+        "element_at(map('BIGINT', 'number', 'DECIMAL', 'number', 'DOUBLE', 'number', 'FLOAT', 'number', 'STRING', 'string', 'VOID', 'null', 'ABSENT', 'absent'), coalesce(regexp_extract(schema_of_variant(try_variant_get(try_parse_json($1), '$.$2', 'variant')), '^[A-Z]+', 0), 'ABSENT'))",
+        "CASE coalesce(json_type(CASE WHEN json_valid($1) THEN $1 END, '$.$2'), 'ABSENT') WHEN 'BIGINT' THEN 'number' WHEN 'UBIGINT' THEN 'number' WHEN 'HUGEINT' THEN 'number' WHEN 'DOUBLE' THEN 'number' WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'null' WHEN 'ABSENT' THEN 'absent' END",
+    ),
+    "last_of": ("max_by($1, struct($2, $3))", "arg_max($1, row($2, $3))"),
+    "latest": ("max_by($1, struct($2, $3, $4, $5, $6))", "arg_max($1, row($2, $3, $4, $5, $6))"),
     "fmt1": ("format_string('%.1f', $1)", "printf('%.1f', $1)"),
 }
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.dialect import duck_sql, render
 from ..operators import folds, outlines, solvers, tracking
-from . import calibration, geometry, ingest, locate, sites, views
+from . import calibration, geometry, ingest, locate, readmodels, sites, views
 from .house import house_sql, inlined
 from .relations import RELATIONS, with_
 
@@ -19,7 +19,7 @@ FLAGSHIP = "l09_room_aware"
 SHARED = ("fixes", "trust2", "pair_fits")
 #: Queries as SQL; those of a house alone are registered over many houses (`sites`), and stay here for any one house.
 SQL: dict[str, str] = {}
-for _module in (ingest, geometry, calibration, views):
+for _module in (ingest, geometry, calibration, views, readmodels):
     SQL |= _module.QUERIES
 
 

@@ -95,6 +95,42 @@ RELATIONS: dict[str, str] = {
     "pin_devices": "SELECT count(DISTINCT user_id) AS n FROM {t:events}",
     "pins": """SELECT 'dev_' || CAST(c_custkey % n AS STRING) AS device_id, c_custkey AS pin_ts, c_custkey * 37 % 120 / 10.0D AS x, c_custkey * 53 % 100 / 10.0D AS y, 1.0D AS z
         FROM {t:customer} CROSS JOIN pin_devices WHERE c_custkey < 3 * n""",
+    # when each pin is set; a pin stands only if its device has been measured before, and lasts until the device's next one
+    "pin_clicks": "SELECT device_id, pin_ts, x, y, z, pin_ts * 37 % 50 * 1000 AS placed_ms FROM pins",
+    "pin_measured": """SELECT device_id, pin_ts, placed_ms, x, y, z, node_id, measured FROM (SELECT p.device_id, p.pin_ts, p.placed_ms, p.x, p.y, p.z, o.node_id, {last_of: coalesce(o.distance, 0.0D); o.t_ms; o.seq} AS measured
+          FROM pin_clicks p JOIN obs o ON p.device_id = o.device_id AND o.t_ms < p.placed_ms GROUP BY p.device_id, p.pin_ts, p.placed_ms, p.x, p.y, p.z, o.node_id) m WHERE measured > 0""",
+    "pin_spans": """SELECT *, lead(placed_ms) OVER (PARTITION BY device_id ORDER BY placed_ms, pin_ts) AS next_ms FROM (SELECT DISTINCT device_id, pin_ts, placed_ms, x, y, z FROM pin_measured) d""",
+    # plausible samples of a pin while it is active; half an hour (1800 ms of the test clock) after the last one it is not
+    "pin_samples": """SELECT * FROM (SELECT s.*, s.t_ms - lag(s.t_ms, 1, s.placed_ms) OVER (PARTITION BY s.device_id, s.pin_ts ORDER BY s.t_ms, s.seq) AS gap FROM (
+          SELECT p.device_id, p.pin_ts, p.placed_ms, o.seq, o.t_ms, o.node_id, o.distance / sqrt((p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y) + (p.z - n.z) * (p.z - n.z)) AS bias
+          FROM obs o JOIN pin_spans p ON o.device_id = p.device_id AND o.t_ms >= p.placed_ms AND (p.next_ms IS NULL OR o.t_ms < p.next_ms) JOIN nodes n ON o.node_id = n.node_id
+          WHERE o.distance > 0 AND (p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y) + (p.z - n.z) * (p.z - n.z) >= 1.0D) s WHERE s.bias >= 0.2D AND s.bias <= 5.0D) g""",
+    "pin_breaks": "SELECT device_id, pin_ts, min(t_ms) AS broken_ms FROM pin_samples WHERE gap > 1800 GROUP BY device_id, pin_ts",
+    "pin_kept": """SELECT s.device_id, s.pin_ts, s.placed_ms, s.seq, s.t_ms, s.node_id, s.bias FROM pin_samples s LEFT JOIN pin_breaks b ON s.device_id = b.device_id AND s.pin_ts = b.pin_ts WHERE b.broken_ms IS NULL OR s.t_ms < b.broken_ms""",
+    # beyond 10,000 samples of a node each one makes those before it weigh a ten thousandth less
+    "pin_sums": """SELECT device_id, pin_ts, node_id, least(max(k), 10000) AS n, sum(w * bias) / sum(w) AS mean, sum(w * bias * bias) / sum(w) AS mean2 FROM (
+          SELECT r.*, CASE WHEN c > 10000 THEN power(0.9999D, c - greatest(k, 10000)) ELSE 1.0D END AS w FROM (SELECT device_id, pin_ts, node_id, bias, row_number() OVER (PARTITION BY device_id, pin_ts, node_id ORDER BY t_ms, seq) AS k,
+            count(*) OVER (PARTITION BY device_id, pin_ts, node_id) AS c FROM pin_kept) r) w GROUP BY device_id, pin_ts, node_id""",
+    "pin_nodes": """SELECT p.device_id, p.pin_ts, i.node_id, m.measured, coalesce(s.n, 0) AS n, s.mean, s.mean2, sqrt((p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y) + (p.z - n.z) * (p.z - n.z)) AS true_dist
+        FROM (SELECT device_id, pin_ts, node_id FROM pin_measured UNION SELECT device_id, pin_ts, node_id FROM pin_sums) i JOIN pin_spans p ON i.device_id = p.device_id AND i.pin_ts = p.pin_ts JOIN nodes n ON i.node_id = n.node_id
+        LEFT JOIN pin_measured m ON i.device_id = m.device_id AND i.pin_ts = m.pin_ts AND i.node_id = m.node_id LEFT JOIN pin_sums s ON i.device_id = s.device_id AND i.pin_ts = s.pin_ts AND i.node_id = s.node_id""",
+    "pin_states": """SELECT p.device_id, p.pin_ts, p.placed_ms, p.x, p.y, CASE WHEN p.next_ms IS NULL THEN coalesce(k.last_ms, p.placed_ms) + 1800 ELSE 0 END AS active_until_ms, p.next_ms IS NULL AND coalesce(k.last_ms, p.placed_ms) + 1800 > w.now_ms AS active
+        FROM pin_spans p LEFT JOIN (SELECT device_id, pin_ts, max(t_ms) AS last_ms FROM pin_kept GROUP BY device_id, pin_ts) k ON p.device_id = k.device_id AND p.pin_ts = k.pin_ts CROSS JOIN (SELECT max(t_ms) AS now_ms FROM obs) w""",
+    # messages as JSON, some with fields of the wrong type
+    "observed_lines": """SELECT seq, device_id, node_id, CASE WHEN seq % 59 = 0 THEN '{"distance"' ELSE '{"rssi": -' || CAST(50 + seq % 30 AS STRING) || CASE WHEN seq % 2 = 0 THEN ', "refRssi": -' ELSE ', "ref_rssi": -' END || CAST(50 + seq % 20 AS STRING)
+          || CASE WHEN seq % 3 = 0 THEN ', "distVar": 0.5' WHEN seq % 3 = 1 THEN ', "dist_var": 0.25, "rssi_var": 2' ELSE ', "distVar": 1, "dist_var": 9, "rssiVar": 3.5' END || CASE WHEN seq % 47 = 0 THEN ', "name": 7' WHEN seq % 5 = 0 THEN '' ELSE ', "name": "' || name || '"' END
+          || CASE WHEN k = 0 THEN '' WHEN seq % 41 = 0 THEN ', "distance": "3"' WHEN seq % 43 = 0 THEN ', "distance": null' ELSE ', "distance": ' || CAST(CAST(round(raw * 100) AS BIGINT) AS STRING) || CASE WHEN seq % 7 = 0 THEN '.5' ELSE '' END END || ', "more": [1]}' END AS line FROM obs_raw""",
+    "telemetry_lines": """SELECT 'n' || CAST(s_suppkey % 12 AS STRING) AS node_id, s_suppkey AS seq, s_suppkey * 1000 AS t_ms, CASE WHEN s_suppkey % 23 = 0 THEN '{"uptime": 1' ELSE '{"uptime": ' || CASE WHEN s_suppkey % 17 = 0 THEN '"60"' ELSE CAST(s_suppkey * 60 AS STRING) END
+          || ', "rssi": -' || CAST(40 + s_suppkey % 50 AS STRING) || ', "freeHeap": ' || CAST(90000 + s_suppkey AS STRING) || ', "maxAllocHeap": ' || CAST(60000 + s_suppkey AS STRING) || ', "memoryFragmentation": ' || CAST(s_suppkey % 40 AS STRING) || '.5, "count": ' || CAST(s_suppkey % 9 AS STRING)
+          || ', "adverts": ' || CAST(s_suppkey * 3 AS STRING) || ', "seen": ' || CAST(s_suppkey * 2 AS STRING) || CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE ', "reported": ' || CAST(s_suppkey AS STRING) END || ', "scanHighWater": 7, "ip": ' || CASE WHEN s_suppkey % 19 = 0 THEN 'null' ELSE '"10.0.0.' || CAST(s_suppkey % 250 AS STRING) || '"' END
+          || CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE ', "firmware": "basic"' END || ', "version": "v' || CAST(s_suppkey % 4 AS STRING) || '.1"}' END AS line FROM {t:supplier}""",
+    "attribute_lines": """SELECT 'dev_' || CAST(o_custkey % 150 AS STRING) AS device_id, o_orderkey AS seq, {days: o_orderdate; 1970-01-01} * CAST(86400000 AS BIGINT) + 43200000 AS arrived_ms,
+          CASE WHEN o_orderkey % 29 = 0 THEN '{"x": 1' ELSE '{"x": ' || CASE WHEN o_orderkey % 9 = 0 THEN '"4"' ELSE CAST(o_orderkey % 14 AS STRING) || '.5' END || ', "y": ' || CASE WHEN o_orderkey % 13 = 0 THEN 'null' ELSE CAST(o_custkey % 12 AS STRING) END || CASE WHEN o_orderkey % 4 = 0 THEN ', "z": 1.25' WHEN o_orderkey % 4 = 1 THEN ', "z": "up"' ELSE '' END
+          || ', "confidence": ' || CASE WHEN o_orderkey % 7 = 0 THEN '"high"' ELSE CAST(o_orderkey % 120 - 10 AS STRING) END || ', "fixes": ' || CAST(o_orderkey % 6 AS STRING) || CASE WHEN o_orderkey % 2 = 0 THEN '.5' ELSE '' END || ', "best_scenario": ' || CASE WHEN o_orderkey % 8 = 0 THEN '3' ELSE '"plan ' || CAST(o_orderkey % 5 AS STRING) || '"' END
+          || CASE WHEN o_orderkey % 10 = 0 THEN '' WHEN o_orderkey % 11 = 0 THEN ', "last_seen": "soon"' ELSE ', "last_seen": "' || CAST(CAST(o_orderdate AS DATE) - CAST(o_orderkey % 3 AS INT) AS STRING) || 'T12:00:00"' END || '}' END AS line FROM {t:orders}""",
+    # settings that users apply by hand, one or more at a time; one in four updates keeps the residuals
+    "manual_updates": """SELECT s_suppkey AS seq, s_suppkey * 1000 AS t_ms, CASE WHEN s_suppkey % 21 = 0 THEN '' ELSE 'n' || CAST(s_suppkey % 12 AS STRING) END AS node_id, CASE WHEN s_suppkey % 3 <> 1 THEN 2.0D + s_suppkey % 300 / 128.0D END AS absorption,
+          CASE WHEN s_suppkey % 4 < 2 THEN s_suppkey % 21 / 2.0D - 5.0D END AS rx_adj, CASE WHEN s_suppkey % 5 = 0 THEN -59.0D - s_suppkey % 9 / 4.0D END AS tx_ref, s_suppkey % 4 <> 3 AS resets FROM {t:supplier}""",
     "ruler": """SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS config_distance, p_size * p_retailprice / 950.0D AS actual_distance, CASE WHEN p_partkey % 3 = 0 THEN 'Wall: ' || p_name ELSE p_brand END AS label FROM {t:part}""",
     # the latest fixes of each device as of its last message, one per node, within 30 s, in order of first sight
     "fix_last": """SELECT device_id, node_id, seq, t_ms, distance, rssi FROM (
