@@ -40,9 +40,9 @@ def text(name: str) -> str:
     return f"CASE WHEN {{kind: line; {name}}} = 'string' THEN {{json: line; {name}}} END"
 
 
-#: Bias of a pin at a node: the mean of five or more samples if it is plausible, else the distance when the pin was set; null without either.
-ESTIMATE = """estimates AS (SELECT *, CASE WHEN n >= 5 AND mean >= 0.2D AND mean <= 5.0D THEN mean WHEN measured / true_dist >= 0.2D AND measured / true_dist <= 5.0D THEN measured / true_dist END AS bias,
-      CASE WHEN n >= 5 AND mean >= 0.2D AND mean <= 5.0D THEN n WHEN measured / true_dist >= 0.2D AND measured / true_dist <= 5.0D THEN 1 END AS bias_samples FROM pin_nodes)"""
+#: Bias of a pin at a node: the mean of five or more samples if it is plausible, else the distance when the pin was set; null without either, or within a metre.
+ESTIMATE = """estimates AS (SELECT *, CASE WHEN true_dist < 1.0D THEN NULL WHEN n >= 5 AND mean >= 0.2D AND mean <= 5.0D THEN mean WHEN measured / true_dist >= 0.2D AND measured / true_dist <= 5.0D THEN measured / true_dist END AS bias,
+      CASE WHEN true_dist < 1.0D THEN NULL WHEN n >= 5 AND mean >= 0.2D AND mean <= 5.0D THEN n WHEN measured / true_dist >= 0.2D AND measured / true_dist <= 5.0D THEN 1 END AS bias_samples FROM pin_nodes)"""
 #: The reference level that would correct a device: the median over three or more nodes of what each one's ratio asks for.
 DELTAS = """chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY CASE WHEN active THEN 0 ELSE 1 END, placed_ms DESC, pin_ts DESC) AS k FROM pin_states) c WHERE k = 1),
     current_n AS (SELECT node_id, absorption FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY t_ms DESC, seq DESC) AS k FROM absorptions) z WHERE k = 1),
@@ -61,7 +61,7 @@ QUERIES: dict[str, str] = {
         SELECT device_id, seq, arrived_ms, {number("x")} AS x, {number("y")} AS y, {number("z")} AS z, {number("confidence", "0.0D")} AS confidence, {number("fixes", "0.0D")} AS fixes, {text("best_scenario")} AS scenario,
           coalesce(CAST({{div: {{us: try_cast({text("last_seen")} AS TIMESTAMP)}}; 1000}} AS BIGINT), arrived_ms) AS last_seen
         FROM attribute_lines WHERE {{isjson: line}}) a WHERE x IS NOT NULL AND y IS NOT NULL AND arrived_ms - last_seen <= 86400000""",
-    "p02_pin_nodes": f"""WITH {ESTIMATE} SELECT e.device_id, e.pin_ts, s.active, e.node_id, round(e.measured, 6) AS measured, e.n, round(e.mean, 6) AS mean, round(sqrt(greatest(e.mean2 - e.mean * e.mean, 0.0D)), 4) AS sigma, round(e.bias, 6) AS bias, e.bias_samples
+    "p02_pin_nodes": f"""WITH {ESTIMATE} SELECT e.device_id, e.pin_ts, s.active, e.node_id, round(e.measured, 6) AS measured, e.n, round(e.mean, 6) AS mean, CASE WHEN e.n > 0 THEN round(sqrt(greatest(e.mean2 - e.mean * e.mean, 0.0D)), 4) END AS sigma, round(e.bias, 6) AS bias, e.bias_samples
         FROM estimates e JOIN pin_states s ON e.device_id = s.device_id AND e.pin_ts = s.pin_ts""",
     "t05_pins_in_order": """SELECT device_id, pin_ts, placed_ms, active, active_until_ms, row_number() OVER (PARTITION BY device_id ORDER BY placed_ms DESC, pin_ts DESC) AS newest,
         row_number() OVER (PARTITION BY device_id ORDER BY CASE WHEN active THEN 0 ELSE 1 END, placed_ms DESC, pin_ts DESC) = 1 AS calibrates FROM pin_states""",
@@ -71,7 +71,7 @@ QUERIES: dict[str, str] = {
     "x10_bias_at_places": f"""WITH {ESTIMATE} SELECT seq, device_id, node_id, round(w, 6) AS weight, round(CASE WHEN w < 0.05D THEN 1.0D ELSE 1.0D + least(1.0D, w) * (wb / w - 1.0D) END, 6) AS divisor FROM (
         SELECT u.seq, u.device_id, e.node_id, sum(g.g * (0.2D + 0.8D * least(50, e.bias_samples) / 50.0D)) AS w, sum(g.g * (0.2D + 0.8D * least(50, e.bias_samples) / 50.0D) * e.bias) AS wb
         FROM upstream u JOIN (SELECT p.device_id, p.pin_ts, v.seq, exp(-((p.x - v.x) * (p.x - v.x) + (p.y - v.y) * (p.y - v.y)) / 9.0D) AS g FROM pin_states p JOIN upstream v ON p.device_id = v.device_id) g ON u.seq = g.seq AND u.device_id = g.device_id
-        JOIN estimates e ON g.device_id = e.device_id AND g.pin_ts = e.pin_ts WHERE e.bias IS NOT NULL AND e.true_dist >= 1.0D GROUP BY u.seq, u.device_id, e.node_id) b
+        JOIN estimates e ON g.device_id = e.device_id AND g.pin_ts = e.pin_ts WHERE e.bias IS NOT NULL GROUP BY u.seq, u.device_id, e.node_id) b
         WHERE CASE WHEN w < 0.05D THEN 1.0D ELSE 1.0D + least(1.0D, w) * (wb / w - 1.0D) END > 0.1D""",
     # nodes of the configuration, and others that have been measured; those with measured distances first, by how far they are off
     "k10_calibration_rows": """WITH off AS (SELECT listener_id, count(*) AS n, avg(measured - true_dist) AS mean, stddev_pop(measured - true_dist) AS sigma, max(t_ms) AS last_ms, {latest: transmitter_id; t_ms; l_orderkey; l_linenumber; l_partkey; l_suppkey} AS last_from,

@@ -105,7 +105,7 @@ RELATIONS: dict[str, str] = {
           SELECT p.device_id, p.pin_ts, p.placed_ms, o.seq, o.t_ms, o.node_id, o.distance / sqrt((p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y) + (p.z - n.z) * (p.z - n.z)) AS bias
           FROM obs o JOIN pin_spans p ON o.device_id = p.device_id AND o.t_ms >= p.placed_ms AND (p.next_ms IS NULL OR o.t_ms < p.next_ms) JOIN nodes n ON o.node_id = n.node_id
           WHERE o.distance > 0 AND (p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y) + (p.z - n.z) * (p.z - n.z) >= 1.0D) s WHERE s.bias >= 0.2D AND s.bias <= 5.0D) g""",
-    "pin_breaks": "SELECT device_id, pin_ts, min(t_ms) AS broken_ms FROM pin_samples WHERE gap > 1800 GROUP BY device_id, pin_ts",
+    "pin_breaks": "SELECT device_id, pin_ts, min(t_ms) AS broken_ms FROM pin_samples WHERE gap >= 1800 GROUP BY device_id, pin_ts",
     "pin_kept": """SELECT s.device_id, s.pin_ts, s.placed_ms, s.seq, s.t_ms, s.node_id, s.bias FROM pin_samples s LEFT JOIN pin_breaks b ON s.device_id = b.device_id AND s.pin_ts = b.pin_ts WHERE b.broken_ms IS NULL OR s.t_ms < b.broken_ms""",
     # beyond 10,000 samples of a node each one makes those before it weigh a ten thousandth less
     "pin_sums": """SELECT device_id, pin_ts, node_id, least(max(k), 10000) AS n, sum(w * bias) / sum(w) AS mean, sum(w * bias * bias) / sum(w) AS mean2 FROM (
