@@ -218,3 +218,20 @@ def test_regression_with_every_kind_of_wall(spark, monkeypatch):
     want = (np.clip(beta[0], 1.5, 8), *np.clip(beta[1:], 0, 30), max(0.0, 1 - sse / sst), np.sqrt(sse / max(1, w.sum() - 4)))
     assert np.allclose((row.exponent, row.wall_db, row.exterior_db, row.door_db, row.r2, row.residual_db), want, atol=2e-4)
     assert row.samples == len(data) and geometry.QUERIES
+
+
+def test_regression_on_more_samples_than_a_ring_holds(spark, monkeypatch):
+    """All samples of a listener count, however many there are; the parameters against numpy."""
+    size = "/root/testdata/sf0.01"
+    monkeypatch.setitem(relations.RELATIONS, "counted", "SELECT a, b, length(a) % 2 + px % 3 AS interior, CASE WHEN px + qx > 9 THEN 1 ELSE 0 END AS exterior, CASE WHEN py > qy THEN 1 ELSE 0 END AS doors FROM paths")
+    row = spark_sql(with_(views.QUERIES["a13_rf_fit"]))(spark, size).first()
+    walls = {(r.a, r.b): (r.interior, r.exterior, r.doors) for r in spark_sql(with_("SELECT * FROM counted"))(spark, size).collect()}
+    data = spark_sql(with_("SELECT listener_id l, transmitter_id t, true_dist, measured, absorption FROM gt_samples WHERE measured > 0.1D AND true_dist > 1.0D"))(spark, size).toPandas()
+    assert data.groupby("l").size().min() > 1000 and row.samples == len(data)
+    data["x"], data["y"] = 10 * np.log10(data.true_dist), 10 * data.absorption * np.log10(data.measured)
+    pairs = data.groupby(["l", "t"])[["x", "y"]].mean().reset_index()
+    x = np.array([(p.x, *walls[min(p.l, p.t), max(p.l, p.t)]) for p in pairs.itertuples()], float)
+    extra = np.array([0.02, 0.1, 0.2, 1.0]) * np.diag(x.T @ x)
+    beta = np.linalg.solve(x.T @ x + np.diag(extra), x.T @ pairs.y.to_numpy() + extra * np.array([3, 4, 10, 0]))
+    assert row.pairs == len(pairs)
+    assert np.allclose((row.exponent, row.wall_db, row.exterior_db, row.door_db), (np.clip(beta[0], 1.5, 8), *np.clip(beta[1:], 0, 30)), atol=2e-4)
