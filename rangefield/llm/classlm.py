@@ -97,6 +97,23 @@ def endings(words: Words) -> np.ndarray:
     return (mix(last) & np.uint64(ENDINGS - 1)).astype(np.int64) + FREQUENT + 1
 
 
+def merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Pieces (*keys, n) as one piece, n added up by the keys and in their order; empties `held`, so that nothing is in memory twice for long."""
+    *keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
+    order = np.lexsort(keys[::-1])
+    for i in range(len(keys)):
+        keys[i] = keys[i][order]
+    n = n[order]
+    del order
+    new = np.zeros(len(n), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    first = np.flatnonzero(new)
+    return (*(k[first] for k in keys), np.add.reduceat(n, first))
+
+
 def vocabulary(docs: DataFrame) -> DataFrame:
     """word, n over docs(text), with the end token of every row; saved."""
 
@@ -104,11 +121,6 @@ def vocabulary(docs: DataFrame) -> DataFrame:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         rows = 0
 
-        def merged():
-            word, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            unique, back = np.unique(word, return_inverse=True)
-            return unique, np.bincount(back, weights=n).astype(np.int64)
-
         def emit(word, n):
             return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
 
@@ -118,14 +130,13 @@ def vocabulary(docs: DataFrame) -> DataFrame:
                 held.append((np.append(unique, END), np.append(n, part.num_rows)))
                 rows += len(unique)
                 if rows > HELD:
-                    held[:] = [merged()]
+                    held[:] = [merged(held)]
                     rows = len(held[0][0])
                     if rows > HELD // 2:
                         yield emit(*held.pop())
                         rows = 0
         if held:
-            yield emit(*merged())
-        held.clear()
+            yield emit(*merged(held))
         release()
 
     return save(docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
@@ -215,24 +226,18 @@ def contexts(docs: DataFrame, known: Head, label: np.ndarray) -> DataFrame:
         held: list[tuple[np.ndarray, ...]] = []
         rows = 0
 
-        def merged():
-            word, slot, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            unique, back = np.unique(word, return_inverse=True)
-            key = back * (2 * CLASSES) + slot
-            order = np.argsort(key)
-            key, n = key[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            key = key[first]
-            return unique[key // (2 * CLASSES)], (key % (2 * CLASSES)).astype(np.uint8), np.add.reduceat(n, first)
-
         def emit(word, slot, n):
             # a count of more than 24 bits takes several places, which are added up where they are read
-            pieces = np.maximum(-(-n.astype(np.int64) // MOST), 1)
-            last = np.cumsum(pieces) - 1
-            word, slot, whole = np.repeat(word, pieces), np.repeat(slot, pieces), np.full(int(pieces.sum()), MOST)
-            whole[last] = n - (pieces - 1) * MOST
+            if n.max() > MOST:
+                pieces = np.maximum(-(-n // MOST), 1)
+                last = np.cumsum(pieces) - 1
+                word, slot, whole = np.repeat(word, pieces), np.repeat(slot, pieces), np.full(int(pieces.sum()), MOST)
+                whole[last] = n - (pieces - 1) * MOST
+                n = whole
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            packed = (slot.astype(np.uint32) << np.uint32(24)) | whole.astype(np.uint32)
+            packed = slot.astype(np.uint32)
+            packed <<= np.uint32(24)
+            packed |= n.astype(np.uint32)
             return pa.RecordBatch.from_arrays([pa.array(word[first].view(np.int64)), ragged(packed, np.append(first, len(word)))], ["word", "near"])
 
         for batch in batches:
@@ -251,14 +256,13 @@ def contexts(docs: DataFrame, known: Head, label: np.ndarray) -> DataFrame:
                 held.append((word[key // (2 * CLASSES)], (key % (2 * CLASSES)).astype(np.uint8), n.astype(np.int64)))
                 rows += len(key)
                 if rows > HELD:
-                    held[:] = [merged()]
+                    held[:] = [merged(held)]
                     rows = len(held[0][0])
                     if rows > HELD // 2:
                         yield emit(*held.pop())
                         rows = 0
         if held:
-            yield emit(*merged())
-        held.clear()
+            yield emit(*merged(held))
         release()
 
     return docs.select("text").mapInArrow(count, "word long, near binary")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -118,3 +119,28 @@ def test_counts_of_more_than_one_place(spark, monkeypatch):
     want = sorted(map(tuple, classlm.op3(rows).collect()))
     monkeypatch.setattr(classlm, "MOST", 2)
     assert sorted(map(tuple, classlm.op3(rows).collect())) == want
+
+
+def test_memory_of_merging_neighbours():
+    """A task that counts neighbours needs little more than the counts that it holds, and loses none."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 400_000, 13_000)) for _ in range(120)]
+    known = classlm.Head(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    class Docs:
+        """Stands for a table, and gives back the function that its tasks would run."""
+
+        sparkSession = sparkContext = property(lambda self: self)  # noqa: N815
+        broadcast = staticmethod(lambda value: type("Shared", (), {"value": value}))
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run  # noqa: N815, E731
+
+    run = classlm.contexts(Docs(), known, np.arange(classlm.TYPES) % classlm.CLASSES)
+    tracemalloc.start()
+    total = 0
+    for batch in run(iter([pa.record_batch({"text": texts})])):
+        total += int((np.frombuffer(batch.column("near").buffers()[2], np.uint32) & 0xFFFFFF).sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == 2 * 120 * 13_000
+    assert peak < 130_000_000, peak
