@@ -84,11 +84,29 @@ _LIMIT_STEPS = """WITH RECURSIVE numbered AS (SELECT node_id, t_ms, seq, row_num
 
 
 #: Pins as they are recorded: the first one less than a metre away is taken up again and keeps its place, or a new one is added.
+#: A click that is near a pin changes no place, so places come from the first clicks of a device and from those later that are near
+#: none of them (of those at one place the first); then every click finds its pin among those of its square metre and of the eight
+#: around, whichever task holds it. A pin is known by its first click's number: pins that share it are taken up together. A click
+#: without a place is a pin of its own.
 _NEAR = "sqrt((p.x - e.x) * (p.x - e.x) + (p.y - e.y) * (p.y - e.y)) < 1.0D"
-_PINS = f"""SELECT device_id, p.first AS first_seq, p.last AS last_seq, p.n AS n, round(p.x, 6) AS x, round(p.y, 6) AS y FROM (SELECT device_id, explode(aggregate(a, CAST(array() AS ARRAY<STRUCT<x: DOUBLE, y: DOUBLE, first: BIGINT, last: BIGINT, n: BIGINT>>),
-    (s, e) -> CASE WHEN exists(s, p -> {_NEAR}) THEN transform(s, p -> CASE WHEN p.first = filter(s, p -> {_NEAR})[0].first THEN named_struct('x', p.x, 'y', p.y, 'first', p.first, 'last', e.seq, 'n', p.n + 1) ELSE p END)
-      ELSE array_append(s, named_struct('x', e.x, 'y', e.y, 'first', e.seq, 'last', e.seq, 'n', CAST(1 AS BIGINT))) END)) AS p
-  FROM (SELECT device_id, array_sort(collect_list(named_struct('t_ms', CAST(t_ms AS BIGINT), 'seq', CAST(seq AS BIGINT), 'x', x, 'y', y))) AS a FROM pin_events GROUP BY device_id))"""
+_PLACES = f"""SELECT device_id, explode(aggregate(array_sort(collect_list(struct(t_ms, seq, x, y))), CAST(array() AS ARRAY<STRUCT<t_ms: BIGINT, seq: BIGINT, x: DOUBLE, y: DOUBLE>>),
+    (s, e) -> CASE WHEN exists(s, p -> {_NEAR}) THEN s ELSE array_append(s, e) END)) AS p"""
+_CELLS = """SELECT device_id, cx, cy, array_sort(collect_list(p)) AS ps FROM (SELECT device_id, p, cx, explode(sequence(floor(p.y) - 1, floor(p.y) + 1)) AS cy
+    FROM (SELECT device_id, p, explode(sequence(floor(p.x) - 1, floor(p.x) + 1)) AS cx FROM {places})) GROUP BY device_id, cx, cy"""
+_BESIDE = "e.device_id <=> c.device_id AND floor(e.x) = c.cx AND floor(e.y) = c.cy"
+_PINS = f"""WITH recorded AS (SELECT device_id, CAST(t_ms AS BIGINT) AS t_ms, CAST(seq AS BIGINT) AS seq, x, y, coalesce(abs(x) < double('Infinity') AND abs(y) < double('Infinity'), false) AS placed FROM pin_events),
+  early AS ({_PLACES} FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY t_ms, seq, x, y) AS k FROM recorded WHERE placed) WHERE k <= 1000 GROUP BY device_id),
+  early_cells AS ({_CELLS.format(places="early")}),
+  late AS ({_PLACES} FROM (SELECT device_id, m.t_ms AS t_ms, m.seq AS seq, x, y FROM (SELECT e.device_id, e.x, e.y, min(struct(e.t_ms, e.seq)) AS m FROM recorded e LEFT JOIN early_cells c ON {_BESIDE}
+    WHERE e.placed AND NOT coalesce(exists(c.ps, p -> {_NEAR}), false) GROUP BY e.device_id, e.x, e.y)) GROUP BY device_id),
+  nowhere AS (SELECT device_id, struct(t_ms, seq, x, y) AS p FROM recorded WHERE NOT placed),
+  kin AS (SELECT device_id, struct(p.t_ms, p.seq, p.x, p.y, array_distinct(collect_list(p) OVER (PARTITION BY device_id, p.seq)) AS kin) AS p FROM (SELECT * FROM early UNION ALL SELECT * FROM late UNION ALL SELECT * FROM nowhere)),
+  pin_cells AS ({_CELLS.format(places="(SELECT * FROM kin WHERE abs(p.x) < double('Infinity') AND abs(p.y) < double('Infinity'))")}),
+  beside AS (SELECT e.device_id, struct(e.t_ms, e.seq, e.x, e.y) AS e, get(filter(c.ps, p -> {_NEAR}), 0) AS p FROM recorded e LEFT JOIN pin_cells c ON {_BESIDE} WHERE e.placed),
+  taken AS (SELECT device_id, e.t_ms AS t_ms, e.seq AS seq, false AS alone, explode(CASE WHEN struct(p.t_ms, p.seq, p.x, p.y) = e THEN array(e) ELSE filter(p.kin, q -> q.seq = p.seq AND q <= e) END) AS p FROM beside
+    UNION ALL SELECT device_id, p.t_ms, p.seq, true, p FROM nowhere)
+  SELECT device_id, first_seq, last_seq, n - copies + 1 AS n, x, y FROM (SELECT *, explode(sequence(1, copies)) AS copy FROM (
+    SELECT device_id, p.seq AS first_seq, max_by(seq, struct(t_ms, seq)) AS last_seq, count(*) AS n, greatest(count_if(alone), 1) AS copies, round(p.x, 6) AS x, round(p.y, 6) AS y FROM taken GROUP BY device_id, p))"""
 _PINS_STEPS = """WITH RECURSIVE numbered AS (SELECT device_id, seq, x, y, row_number() OVER (PARTITION BY device_id ORDER BY t_ms, seq) AS k, count(*) OVER (PARTITION BY device_id) AS total FROM pin_events),
   steps AS (SELECT device_id, k, total, [{'x': x, 'y': y, 'first': CAST(seq AS BIGINT), 'last': CAST(seq AS BIGINT), 'n': CAST(1 AS BIGINT)}] AS s FROM numbered WHERE k = 1
     UNION ALL SELECT r.device_id, r.k, r.total, CASE WHEN len(list_filter(t.s, lambda p: sqrt((p.x - r.x) * (p.x - r.x) + (p.y - r.y) * (p.y - r.y)) < 1.0D)) > 0

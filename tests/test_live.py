@@ -6,6 +6,7 @@ import copy
 import dataclasses
 import math
 import time
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -70,6 +71,28 @@ def test_recorded_pins_keep_their_place(spark, monkeypatch):
     assert [r[4] for r in got] == [0.0, 1.8, 3.0, 0.0, 1.0]
 
 
+def test_many_recorded_pins(spark, monkeypatch):
+    """30,000 clicks a device, new places also late, some clicks nowhere and two pins with one number, against one click after the other."""
+    monkeypatch.setitem(RELATIONS, "pin_events", """SELECT 'd' || CAST(id % 2 AS STRING) AS device_id, CASE WHEN id < 8 THEN id % 4 ELSE id END AS seq, id div 3 AS t_ms,
+        CASE WHEN id % 7001 = 7 THEN NULL WHEN id % 7001 = 9 THEN double('NaN') ELSE pmod(id * 7919, 1201) / 100.0D - 6 + id div 20000 * 5 END AS x, pmod(id * 104729, 1009) / 100.0D - 5 AS y FROM range(60000)""")
+    pins: dict = {}
+    for device, seq, _, x, y in sorted(map(tuple, spark_sql(with_("SELECT device_id, seq, t_ms, x, y FROM pin_events"))(spark, SMALL).collect()), key=lambda r: r[:1] + r[2:0:-1]):
+        own = pins.setdefault(device, [])
+        near = next((p for p in own if None not in (x, p[3]) and math.sqrt((p[3] - x) ** 2 + (p[4] - y) ** 2) < 1), None)
+        if near:
+            for p in own:
+                if p[0] == near[0]:
+                    p[1], p[2] = seq, p[2] + 1
+        else:
+            own.append([seq, seq, 1, x, y])
+    brief = lambda rows: Counter((*r[:4], *(x if x is None else f"{x:.4f}" for x in r[4:])) for r in rows)
+    want = brief((d, *p) for d, own in pins.items() for p in own)
+    began = time.time()
+    got = brief(spark_sql(with_(folds._PINS))(spark, SMALL).collect())
+    assert time.time() - began < 60
+    assert got == want and len(got) > 200 and sum(r[1] < 4 for r in got) > len({r[:2] for r in got if r[1] < 4})
+
+
 def test_a_changed_house_shows_in_the_next_batch(spark, parts, tmp_path):
     """The third batch meets another house: its rooms are reported from then on, and states start anew."""
     one = tracking.scene_of(spark, SMALL)
