@@ -34,6 +34,8 @@ FORMS: dict[str, tuple[str, str]] = {
     ),
     "last_of": ("max_by($1, struct($2, $3))", "arg_max($1, row($2, $3))"),
     "latest": ("max_by($1, struct($2, $3, $4, $5, $6))", "arg_max($1, row($2, $3, $4, $5, $6))"),
+    # to hundredths as the checking engine has them: from the product in doubles, where Spark's two digits go by the decimal text
+    "cents": ("(round(($1) * 100.0D) / 100.0D)", "round($1, 2)"),
     "fmt1": ("format_string('%.1f', $1)", "printf('%.1f', $1)"),
 }
 

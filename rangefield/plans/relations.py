@@ -60,7 +60,7 @@ RELATIONS: dict[str, str] = {
             CASE WHEN p2 = 'devices' THEN p4 ELSE p3 END AS node_id, CASE WHEN p2 = 'devices' THEN p3 END AS device_id, CASE WHEN p2 = 'rooms' THEN p4 END AS setting
           FROM (SELECT *, {parts: topic} AS n, {part: topic; 2} AS p2, {part: topic; 3} AS p3, {part: topic; 4} AS p4 FROM messages) m) k WHERE kind IS NOT NULL""",
     "settings": """SELECT 'n' || CAST(s_suppkey % 12 AS STRING) AS node_id, s_suppkey * 1000 AS t_ms, s_suppkey AS seq,
-          CASE WHEN s_suppkey % 5 = 0 THEN '0' WHEN s_suppkey % 7 = 0 THEN '2.9dB' ELSE CAST(round(2.0D + abs(s_acctbal) / 5000.0D, 2) AS STRING) END AS value FROM {t:supplier}""",
+          CASE WHEN s_suppkey % 5 = 0 THEN '0' WHEN s_suppkey % 7 = 0 THEN '2.9dB' ELSE CAST({cents: 2.0D + abs(s_acctbal) / 5000.0D} AS STRING) END AS value FROM {t:supplier}""",
     "absorptions": """SELECT node_id, t_ms, seq, value, CASE WHEN n > 0.1D THEN n ELSE 2.7D END AS absorption
         FROM (SELECT *, {num: nullif({grab: value; '^ *([+-]?[0-9]+([.][0-9]+)?)'; 1}, '')} AS n FROM settings) s""",
     "gt_all": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {days: l_shipdate; 1995-01-01} * CAST(6000 AS BIGINT) AS t_ms,

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 
 import oracle
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from rangefield.functions.dialect import duck_sql, render, spark_sql
@@ -49,6 +51,18 @@ def test_every_sql_gives_rows():
         assert oracle.duck(sql, "/root/testdata/sf0.01")[1], name
 
 
+def test_settings_between_two_hundredths(spark, tmp_path):
+    """Balances of every multiple of 25, whose settings lie half-way between two hundredths, and of cents beside them."""
+    for t in oracle.TABLES:
+        if t != "supplier":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{SMALL}/{t}.parquet")
+    cents = [c + d for c in range(-1_000_000, 1_000_001, 2500) for d in (-1, 0, 1)]
+    supplier = pa.table({"s_suppkey": [35 * i + 1 for i in range(len(cents))], "s_name": [""] * len(cents), "s_nationkey": pa.array([0] * len(cents), pa.int32()), "s_acctbal": [c / 100 for c in cents]})
+    pq.write_table(supplier, tmp_path / "supplier.parquet")
+    for name in ("f08_absorption", "m08_manual_apply"):
+        assert not oracle.difference(catalog.queries()[name](spark, str(tmp_path)), catalog.oracle_sql()[name], str(tmp_path))
+
+
 def test_known_hops_and_edges(spark):
     hops = {(r.a, r.b): r.hops for r in catalog.queries()["g17_hops"](spark, SMALL).collect()}
     assert hops[("kitchen", "office")] == 5 and hops[("living", "living")] == 0
